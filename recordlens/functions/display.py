@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from recordlens.functions.text import strip, to_number
+from recordlens.functions.text import is_blank, strip, to_number
 
 
 def clamp01(score: Column) -> Column:
@@ -19,8 +19,7 @@ def percent_of_best(score: Column, best: Column) -> Column:
 
 def sort_class(value: Column) -> Column:
     """0 for numbers and percentages, 1 for other text, 2 for blanks."""
-    blank = F.coalesce(strip(value), F.lit("")) == ""
-    return F.when(blank, 2).when(sort_number(value).isNotNull(), 0).otherwise(1)
+    return F.when(is_blank(value), 2).when(sort_number(value).isNotNull(), 0).otherwise(1)
 
 
 def sort_number(value: Column) -> Column:

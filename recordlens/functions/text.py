@@ -28,18 +28,30 @@ def filled(c: Column) -> Column:
     return F.coalesce(strip(c.cast("string")), F.lit(""))
 
 
+def is_blank(c: Column) -> Column:
+    """NULL, empty or only white space; looks no further than the first other character."""
+    return F.coalesce(F.ltrim(c, F.lit(WHITESPACE)) == "", F.lit(True))
+
+
+def present_text(c: Column) -> Column:
+    """Stripped text, NULL when it stands for a missing value."""
+    s = strip(c)
+    # The length test comes first, so long texts are not lower-cased for the comparison.
+    named = (F.octet_length(s) <= 4) & F.lower(s).isin(*MISSING_TEXTS)
+    return F.when(~named, s)
+
+
 def is_missing(c: Column) -> Column:
-    return F.coalesce(F.lower(strip(c)).isin(*MISSING_TEXTS), F.lit(True))
+    return present_text(c).isNull()
 
 
 def clean_text(c: Column) -> Column:
-    return F.when(is_missing(c), F.lit("")).otherwise(strip(c))
+    return F.coalesce(present_text(c), F.lit(""))
 
 
 def embedding_text(title: Column, tags: Column, body: Column) -> Column:
     """Non-blank cleaned parts joined by one space."""
-    parts = [F.nullif(clean_text(c), F.lit("")) for c in (title, tags, body)]
-    return F.concat_ws(" ", *parts)
+    return F.concat_ws(" ", present_text(title), present_text(tags), present_text(body))
 
 
 def normalize_id(raw: Column) -> Column:
@@ -63,10 +75,10 @@ def id_to_int(c: Column) -> Column:
     return F.coalesce(whole, to_number(s).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def id_order(c: Column) -> tuple[Column, Column]:
-    """Sort keys of an identifier: by number where it is one, then by text."""
+def id_number(c: Column) -> Column:
+    """Number of an all-digit identifier, NULL for other text; the first sort key of ids."""
     s = strip(c)
-    return F.when(s.rlike("^[0-9]+$"), s.try_cast("bigint")).asc_nulls_last(), c.asc()
+    return F.when(s.rlike("^[0-9]+$"), s.try_cast("bigint"))
 
 
 def fingerprint(work_item_id: Column, title: Column, body: Column) -> Column:

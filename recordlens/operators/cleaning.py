@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from recordlens.functions.text import filled, normalize_id
+from recordlens.functions.text import filled, is_blank, normalize_id, strip
 from recordlens.schema import REQUIRED_RECORD, canonical
 
 
@@ -16,12 +16,14 @@ def clean_records(df: DataFrame, *, drop_null_title: bool = True) -> DataFrame:
     """
     rows = canonical(df, REQUIRED_RECORD)
     rows = rows.na.drop(subset=["work_item_id", "title"] if drop_null_title else ["work_item_id"])
-    title, body = filled(F.col("title")), filled(F.col("semantic_text"))
-    cleaned = rows.withColumns(
+    no_body = is_blank(F.col("semantic_text"))
+    # Filtering on the raw columns keeps the pushed-down condition short.
+    rows = rows.where(~is_blank(F.col("work_item_id")) & ~(no_body & is_blank(F.col("title"))))
+    body = F.when(no_body, F.col("title")).otherwise(F.col("semantic_text"))
+    return rows.withColumns(
         {
             "work_item_id": normalize_id(F.col("work_item_id")),
-            "title": title,
-            "semantic_text": F.when(body == "", title).otherwise(body),
+            "title": filled(F.col("title")),
+            "semantic_text": strip(body),
         }
     )
-    return cleaned.where((F.col("work_item_id") != "") & (F.col("semantic_text") != ""))

@@ -12,6 +12,13 @@ def display_sort(df: DataFrame, column: str, desc: bool = False) -> DataFrame:
 
     A range-partitioned global sort. Ties fall back to the raw value, so the order is total.
     """
-    keys = (sort_class(F.col(column)), sort_number(F.col(column)), sort_text(F.col(column)))
-    keys = (*keys, F.col(column))
-    return df.orderBy(*[k.desc_nulls_last() if desc else k.asc_nulls_first() for k in keys])
+    keyed = df.withColumns(
+        {
+            "_class": sort_class(F.col(column)),
+            "_number": sort_number(F.col(column)),
+            "_text": sort_text(F.col(column)),
+        }
+    )
+    keys = [F.col(c) for c in ("_class", "_number", "_text", column)]
+    order = [k.desc_nulls_last() if desc else k.asc_nulls_first() for k in keys]
+    return keyed.orderBy(*order).drop("_class", "_number", "_text")

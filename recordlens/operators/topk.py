@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from recordlens.functions.text import id_order, strip
+from recordlens.functions.text import id_number, strip
 from recordlens.operators.scoring import BOOSTS, WEIGHTS
 
 BLOCK_QUERIES = 4096
@@ -39,17 +39,17 @@ _HITS = (
 
 def top_per_query(hits: DataFrame, k: int, salts: int = 32) -> DataFrame:
     """Best k hits per query in two steps, so no query's hits gather in one task at once."""
-    order = (F.desc("final_score"), *id_order(F.col("work_item_id")))
+    order = (F.desc("final_score"), F.asc_nulls_last("_number"), F.asc("work_item_id"))
     salt = F.pmod(F.xxhash64("work_item_id"), F.lit(salts))
     partial = Window.partitionBy("query_id", "_salt").orderBy(*order)
     final = Window.partitionBy("query_id").orderBy(*order)
     reduced = (
-        hits.withColumn("_salt", salt)
+        hits.withColumns({"_salt": salt, "_number": id_number(F.col("work_item_id"))})
         .withColumn("rank", F.row_number().over(partial))
         .where(F.col("rank") <= k)
     )
     ranked = reduced.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
-    return ranked.drop("_salt")
+    return ranked.drop("_salt", "_number")
 
 
 def batch_hits(
@@ -74,8 +74,7 @@ def batch_hits(
     )
     rows = index.select(
         "work_item_id",
-        F.when(strip("work_item_id").rlike("^[0-9]+$"), strip("work_item_id").try_cast("bigint"))
-        .alias("number"),
+        id_number(F.col("work_item_id")).alias("number"),
         F.lower("title").alias("title"),
         F.lower("semantic_text").alias("body"),
         F.col("embedding").cast("array<double>").alias("vector"),

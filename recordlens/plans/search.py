@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recordlens.functions.display import clamp01, percent_of_best
 from recordlens.functions.links import choose_link
-from recordlens.functions.text import id_order, id_to_int
+from recordlens.functions.text import id_number, id_to_int
 from recordlens.functions.vectors import dot
 from recordlens.operators.scoring import BOOSTS, WEIGHTS, blend, keyword_score
 from recordlens.operators.topk import batch_hits
@@ -71,7 +71,9 @@ def search(
     )
     scored = score_rows(rows, F.lit(query), vector, weights, boosts)
     slim = scored.drop("semantic_text", "embedding")
-    best = slim.orderBy(F.desc("final_score"), *id_order(F.col("work_item_id"))).limit(k)
+    slim = slim.withColumn("_number", id_number(F.col("work_item_id")))
+    order = (F.desc("final_score"), F.asc_nulls_last("_number"), F.asc("work_item_id"))
+    best = slim.orderBy(*order).limit(k)
     return best.select(*result_columns())
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from recordlens.functions.text import present_text
+
 # Header names of the accepted record tables, in order of preference.
 HEADERS = {
     "work_item_id": ("BugID", "WorkItemId", "work_item_id"),
@@ -72,7 +74,7 @@ def canonical(df: DataFrame, required=REQUIRED_RECORD) -> DataFrame:
         if not found:
             return F.lit(None).cast(_DEFAULT_TYPE.get(name, "string"))
         if name == "tags":
-            return F.coalesce(*[_non_missing(F.col(f"_c{i}").cast("string")) for i in found])
+            return F.coalesce(*[present_text(F.col(f"_c{i}").cast("string")) for i in found])
         column = F.col(f"_c{found[0]}")
         if name == "work_item_id":
             return id_string(column, df.schema[found[0]].dataType)
@@ -83,12 +85,6 @@ def canonical(df: DataFrame, required=REQUIRED_RECORD) -> DataFrame:
     return flat.select(*[pick(name).alias(name) for name in HEADERS])
 
 
-def _non_missing(column: Column) -> Column:
-    from recordlens.functions.text import clean_text
-
-    return F.nullif(clean_text(column), F.lit(""))
-
-
 def schema_report(df: DataFrame, required=REQUIRED_RECORD) -> DataFrame:
     """One row per required column: is it present, and how many rows fill it."""
     missing = set(missing_columns(df, required))

@@ -29,6 +29,7 @@ from recordlens.functions.links import (
     shift_rows,
 )
 from recordlens.functions.text import strip, to_number
+from recordlens.session import materialize
 
 # XML name spaces of the workbook format.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -202,7 +203,7 @@ def sheet_records(workbooks: DataFrame, headers=None) -> DataFrame:
     """
     from recordlens.schema import HEADERS
 
-    sheet = cells(workbooks)
+    sheet = materialize(cells(workbooks), "cells")
     head = header_cells(sheet).select("path", "col", F.col("value").alias("name"))
     if headers is None:
         known = [h for names in HEADERS.values() for h in names]
@@ -271,9 +272,10 @@ def evaluate_hyperlinks(formulas: DataFrame, sheet: DataFrame) -> DataFrame:
 def workbook_links(workbooks: DataFrame) -> DataFrame:
     """``(work_item_id bigint, link)`` of all workbooks; the last row of an id wins.
 
-    A link comes from the cell's hyperlink, else its formula, else its text.
+    A link comes from the cell's hyperlink, else its formula, else its text. The cells are
+    written to the shared folder once, so that unzipping is not repeated by every join.
     """
-    sheet = cells(workbooks)
+    sheet = materialize(cells(workbooks), "cells")
     head = header_cells(sheet)
 
     def column_of(names: tuple[str, ...]):

@@ -93,7 +93,8 @@ def _prints(records: DataFrame) -> DataFrame:
 
 def _vector_entries(df: DataFrame, *keep: str) -> DataFrame:
     """One row per vector element, which compares in any engine."""
-    return df.select(*keep, F.posexplode("embedding").alias("pos", "weight")).withColumn(
+    # The outer form, as the plain one adds a filter that would embed every text twice.
+    return df.select(*keep, F.posexplode_outer("embedding").alias("pos", "weight")).withColumn(
         "weight", F.col("weight").cast("double")
     )
 
