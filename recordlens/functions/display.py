@@ -17,17 +17,18 @@ def percent_of_best(score: Column, best: Column) -> Column:
     return F.concat(F.format_number(share, 1), F.lit("%"))
 
 
-def sort_class(value: Column) -> Column:
-    """0 for numbers and percentages, 1 for other text, 2 for blanks."""
-    return F.when(is_blank(value), 2).when(sort_number(value).isNotNull(), 0).otherwise(1)
-
-
 def sort_number(value: Column) -> Column:
+    """Value of a number or percentage, NULL for other text."""
     return to_number(F.regexp_replace(strip(value), "%$", ""))
 
 
-def sort_text(value: Column) -> Column:
-    return F.when(sort_class(value) == 1, F.lower(strip(value))).otherwise("")
+def sort_class(value: Column, number: Column) -> Column:
+    """0 for numbers and percentages, 1 for other text, 2 for blanks."""
+    return F.when(is_blank(value), 2).when(number.isNotNull(), 0).otherwise(1)
+
+
+def sort_text(value: Column, kind: Column) -> Column:
+    return F.when(kind == 1, F.lower(strip(value))).otherwise("")
 
 
 def short_timestamp(ts: Column) -> Column:

@@ -7,18 +7,21 @@ from pyspark.sql import DataFrame, functions as F
 from recordlens.functions.display import sort_class, sort_number, sort_text
 
 
+def display_keys(df: DataFrame, column: str) -> DataFrame:
+    """Add the sort keys ``sort_number``, ``sort_class`` and ``sort_text``."""
+    value = F.col(column)
+    numbered = df.withColumn("sort_number", sort_number(value))
+    classed = numbered.withColumn("sort_class", sort_class(value, F.col("sort_number")))
+    return classed.withColumn("sort_text", sort_text(value, F.col("sort_class")))
+
+
 def display_sort(df: DataFrame, column: str, desc: bool = False) -> DataFrame:
     """Numbers and percentages, then text without case, then blanks; ``desc`` flips it all.
 
-    A range-partitioned global sort. Ties fall back to the raw value, so the order is total.
+    A range-partitioned global sort. Ties fall back to the raw value, so the order is total. The
+    keys are columns, as a sort would evaluate expressions anew in every comparison; they stay in
+    the result.
     """
-    keyed = df.withColumns(
-        {
-            "_class": sort_class(F.col(column)),
-            "_number": sort_number(F.col(column)),
-            "_text": sort_text(F.col(column)),
-        }
-    )
-    keys = [F.col(c) for c in ("_class", "_number", "_text", column)]
+    keys = [F.col(c) for c in ("sort_class", "sort_number", "sort_text", column)]
     order = [k.desc_nulls_last() if desc else k.asc_nulls_first() for k in keys]
-    return keyed.orderBy(*order).drop("_class", "_number", "_text")
+    return display_keys(df, column).orderBy(*order)

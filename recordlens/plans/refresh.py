@@ -12,6 +12,7 @@ from recordlens.operators.cleaning import clean_records
 from recordlens.operators.dedupe import dedupe_last
 from recordlens.plans.build import check_dimension, record_text, with_fingerprint
 from recordlens.schema import INDEX_COLUMNS, canonical
+from recordlens.session import materialize
 from recordlens.sources.store import overlay
 
 NEW, MODIFIED, UNCHANGED = "new", "modified", "unchanged"
@@ -33,14 +34,12 @@ def latest_changes(changes: DataFrame, *, include_tags: bool = False) -> DataFra
 
 
 def classify(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """``current`` with a ``status`` against ``previous(work_item_id, fingerprint)``.
+    """``current`` with a ``status`` against ``previous(work_item_id, fingerprint, …)``.
 
-    Only matching rows of ``previous`` reach the outer join; the semi join is the one place
-    where the large side meets the small one.
+    Columns of ``previous`` come along with the prefix ``_old_``.
     """
-    known = previous.join(current.select("work_item_id"), "work_item_id", "left_semi")
-    old = known.withColumnsRenamed(
-        {c: f"_old_{c}" for c in known.columns if c != "work_item_id"}
+    old = previous.withColumnsRenamed(
+        {c: f"_old_{c}" for c in previous.columns if c != "work_item_id"}
     )
     joined = current.join(old, "work_item_id", "left")
     status = (
@@ -52,9 +51,13 @@ def classify(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def snapshot_diff(previous: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Status per id of a full snapshot against the stored fingerprints; nothing is deleted."""
-    cleaned = clean_records(snapshot)
-    current = with_fingerprint(dedupe_last(cleaned, "work_item_id", "changed_at", "seq"))
+    """Status per id of a full snapshot against the stored fingerprints; nothing is deleted.
+
+    Only ids and hashes are shuffled, not the texts.
+    """
+    hashed = with_fingerprint(clean_records(snapshot))
+    slim = hashed.select("work_item_id", "fingerprint", "changed_at", "seq")
+    current = dedupe_last(slim, "work_item_id", "changed_at", "seq")
     stored = previous.select("work_item_id", "fingerprint")
     return classify(current, stored).select("work_item_id", "fingerprint", "status")
 
@@ -72,37 +75,47 @@ def changed_rows(snapshot: DataFrame, diff: DataFrame) -> DataFrame:
     return rows.orderBy("work_item_id")
 
 
-def refresh(
+def refresh_delta(
     index: DataFrame,
     changes: DataFrame,
     embedder,
     *,
     skip_unchanged: bool = True,
     include_tags: bool = False,
-) -> Refresh:
-    """Apply a change feed. Unchanged rows are neither embedded nor written again.
+) -> DataFrame:
+    """New and changed index rows with their ``status``; only these are embedded.
 
     ``skip_unchanged=False`` re-embeds every row of the feed, changed or not. Fields that the
-    feed does not have keep their stored value, and a change older than the stored row is stale
-    and skipped, so feeds may arrive out of order.
+    feed does not have keep their stored value. A change older than the stored row is stale and
+    skipped.
     """
     check_dimension(index, embedder.dim)
     latest = latest_changes(changes, include_tags=include_tags)
+    # The index meets the feed once, in few columns. While the ids of the feed are small enough
+    # to broadcast, the index is not shuffled at all.
     stored = index.select(
         "work_item_id", "fingerprint", "tags", "link", "bug_url", "changed_at"
-    )
+    ).join(latest.select("work_item_id"), "work_item_id", "left_semi")
     stale = F.coalesce(F.col("_old_changed_at") > F.col("changed_at"), F.lit(False))
-    marked = classify(latest, stored).where(~stale)
-    touched = marked if not skip_unchanged else marked.where(F.col("status") != UNCHANGED)
+    touched = classify(latest, stored).where(~stale)
+    if skip_unchanged:
+        touched = touched.where(F.col("status") != UNCHANGED)
     kept = {
         c: F.coalesce(F.col(c), F.col(f"_old_{c}")) for c in ("tags", "link", "bug_url")
     }
-    merged = touched.withColumns(kept)
-    delta = merged.withColumn("embedding", embedder.column(record_text()))
-    delta = delta.select(*INDEX_COLUMNS, "status")
-    stats = refresh_stats(changes, touched.select("status"))
-    rows = delta.select(*INDEX_COLUMNS)
-    return Refresh(delta, stats, overlay(index, rows))
+    embedded = touched.withColumns(kept).withColumn("embedding", embedder.column(record_text()))
+    return embedded.select(*INDEX_COLUMNS, "status")
+
+
+def refresh(index: DataFrame, changes: DataFrame, embedder, **options) -> Refresh:
+    """Apply a change feed; options as for :func:`refresh_delta`.
+
+    The delta is written to the shared folder first, so its rows are classified and embedded once
+    for all three results and the overlay knows its true size.
+    """
+    delta = materialize(refresh_delta(index, changes, embedder, **options), "delta")
+    stats = refresh_stats(changes, delta.select("status"))
+    return Refresh(delta, stats, overlay(index, delta.select(*INDEX_COLUMNS)))
 
 
 def refresh_stats(changes: DataFrame, touched: DataFrame) -> DataFrame:

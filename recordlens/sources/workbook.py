@@ -170,9 +170,10 @@ def hyperlinks(workbooks: DataFrame) -> DataFrame:
 
 def cells(workbooks: DataFrame) -> DataFrame:
     """Cells with their text: shared strings are looked up, an unknown index gives empty text."""
-    raw = raw_cells(workbooks).withColumn(
-        "idx", F.when(F.col("kind") == "s", strip("stored").try_cast("bigint"))
-    )
+    # Cells that need no string get numbers of their own, so no join key gathers them all.
+    unique = -F.lit(1) - F.col("row_order") * F.lit(1 << 20) - F.col("place")
+    index = F.when(F.col("kind") == "s", strip("stored").try_cast("bigint"))
+    raw = raw_cells(workbooks).withColumn("idx", F.coalesce(index, unique))
     joined = raw.join(shared_strings(workbooks), ["path", "idx"], "left")
     value = (
         F.when((F.col("kind") == "s") & F.col("stored").isNotNull(), F.col("text"))
@@ -230,10 +231,16 @@ def resolve_shared(formulas: DataFrame) -> DataFrame:
         .groupBy("path", "shared")
         .agg(F.min(F.struct("row_order", "row", "formula")).alias("b"))
     )
-    joined = formulas.join(base, ["path", "shared"], "left")
+    # Rows without a shared formula get keys of their own, so no join key gathers them all.
+    own = F.coalesce(F.col("shared"), F.concat(F.lit("row "), F.col("row_order")))
+    keyed = formulas.withColumn("_key", own)
+    base = base.withColumnRenamed("shared", "_key")
+    joined = keyed.join(base, ["path", "_key"], "left")
     usable = (F.col("formula") == "") & (F.col("b.row_order") < F.col("row_order"))
     moved = shift_rows(F.col("b.formula"), F.col("b.row"), F.col("row"))
-    return joined.withColumn("formula", F.when(usable, moved).otherwise(F.col("formula"))).drop("b")
+    return joined.withColumn("formula", F.when(usable, moved).otherwise(F.col("formula"))).drop(
+        "b", "_key"
+    )
 
 
 def evaluate_hyperlinks(formulas: DataFrame, sheet: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from recordlens.plans.refresh import NEW, refresh
+from recordlens.plans.refresh import NEW, refresh_delta
 from recordlens.schema import INDEX_COLUMNS
 from recordlens.sources.store import load_index, next_version, publish_delta, versions
 
@@ -21,7 +21,7 @@ def apply_changes(
     spark = changes.sparkSession
     number = next_version(versions(spark, base_path), tag)
     index = load_index(spark, base_path, number - 1)
-    delta = refresh(index, changes, embedder, **options).delta
+    delta = refresh_delta(index, changes, embedder, **options)
     seen = Observation()
     counted = delta.observe(
         seen,

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recordlens.embedders import HashEmbedder
-from recordlens.functions.display import sort_class, sort_number, sort_text
 from recordlens.functions.links import choose_link, clean_link
 from recordlens.functions.text import (
     clean_text,
@@ -42,7 +41,7 @@ from recordlens.plans.refresh import (
 from recordlens.plans.repair import augment_links, repair_urls
 from recordlens.plans.search import lookup, present, search, search_batch, search_front
 from recordlens.schema import canonical, schema_report
-from recordlens.session import scratch_path
+from recordlens.session import materialize, scratch_path
 from recordlens.sources.records import (
     export_csv,
     incremental_pull,
@@ -130,7 +129,7 @@ def fingerprint_json_load(spark, folder):
 
 @query
 def workbook_links_(spark, folder):
-    return workbook_links(given.workbooks(spark, folder))
+    return workbook_links(materialize(given.workbooks(spark, folder), "books"))
 
 
 @query
@@ -521,15 +520,7 @@ def id_to_int_(spark, folder):
 @query
 def display_sort_(spark, folder):
     """Mixed values of all events in descending display order, with their sort keys."""
-    ordered = display_sort(_mixed_values(spark, folder), "value_text", desc=True)
-    value = F.col("value_text")
-    return ordered.select(
-        "event_id",
-        "value_text",
-        sort_class(value).alias("class"),
-        sort_number(value).alias("number"),
-        sort_text(value).alias("text"),
-    )
+    return display_sort(_mixed_values(spark, folder), "value_text", desc=True)
 
 
 def _mixed_values(spark, folder):

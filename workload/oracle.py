@@ -363,9 +363,9 @@ def sql() -> dict[str, str]:
                   WHEN 'view' THEN '-' || user_id || 'e1' WHEN 'click' THEN event_type || user_id
                   ELSE CAST(user_id AS VARCHAR) END AS raw_id FROM events)""",
         "display_sort": f"""SELECT event_id, value_text,
-            CASE WHEN value_text = '' THEN 2 WHEN num IS NOT NULL THEN 0 ELSE 1 END AS class,
-            num AS number,
-            CASE WHEN value_text <> '' AND num IS NULL THEN lower(value_text) ELSE '' END AS text
+            CASE WHEN value_text = '' THEN 2 WHEN num IS NOT NULL THEN 0 ELSE 1 END AS sort_class,
+            num AS sort_number,
+            CASE WHEN value_text <> '' AND num IS NULL THEN lower(value_text) ELSE '' END AS sort_text
             FROM (SELECT event_id, value_text,
                   {number_of("rtrim(value_text, '%')")} AS num
                   FROM (SELECT event_id, {MIXED} AS value_text
