@@ -70,14 +70,14 @@ def batch_hits(
         F.col("query_id").cast("string").alias("query_id"),
         strip("query").alias("query"),
         F.lower(strip("query")).alias("lowered"),
-        F.col("embedding").cast("array<double>").alias("vector"),
+        F.col("embedding").alias("vector"),
     )
     rows = index.select(
         "work_item_id",
         id_number(F.col("work_item_id")).alias("number"),
         F.lower("title").alias("title"),
         F.lower("semantic_text").alias("body"),
-        F.col("embedding").cast("array<double>").alias("vector"),
+        F.col("embedding").alias("vector"),
     )
     size = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(_bytes_of_query()).alias("b")).first()
     if size.n <= block_queries and (size.b or 0) <= block_bytes:
@@ -137,24 +137,29 @@ def _against_query_blocks(rows, asked, k, weights, boosts, parts, block_rows, bl
 
 @dataclass
 class QueryBlock:
+    """Queries of one block; ``text_of`` numbers their distinct texts, the last number is none."""
+
     ids: list[str]
-    exact: dict[str, np.ndarray]
-    texts: dict[str, np.ndarray]
+    exact: dict[str, list[int]]
+    texts: list[str]
+    text_of: np.ndarray
     matrix: np.ndarray
 
     @classmethod
     def from_arrow(cls, table: pa.Table) -> "QueryBlock":
-        table = table.combine_chunks()
         exact: dict[str, list[int]] = {}
-        texts: dict[str, list[int]] = {}
-        for i, (q, low) in enumerate(
-            zip(table["query"].to_pylist(), table["lowered"].to_pylist())
-        ):
+        numbers: dict[str, int] = {}
+        for i, q in enumerate(table["query"].to_pylist()):
             if q:
                 exact.setdefault(q, []).append(i)
-                texts.setdefault(low, []).append(i)
-        as_arrays = [{t: np.array(i) for t, i in d.items()} for d in (exact, texts)]
-        return cls(table["query_id"].to_pylist(), *as_arrays, _matrix(table["vector"]))
+        lowered = table["lowered"].to_pylist()
+        for text in lowered:
+            if text:
+                numbers.setdefault(text, len(numbers))
+        text_of = np.array([numbers.get(t, len(numbers)) for t in lowered], dtype=np.int64)
+        return cls(
+            table["query_id"].to_pylist(), exact, list(numbers), text_of, _matrix(table["vector"])
+        )
 
 
 def _matrix(column) -> np.ndarray:
@@ -166,7 +171,8 @@ def _matrix(column) -> np.ndarray:
     lengths = np.unique(np.diff(column.offsets.to_numpy()))
     if column.null_count or flat.null_count or len(lengths) != 1:
         raise ValueError("vectors must be non-NULL and of one length")
-    matrix = flat.to_numpy(zero_copy_only=False).reshape(len(column), lengths[0])
+    matrix = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    matrix = matrix.reshape(len(column), lengths[0])
     if not np.isfinite(matrix).all():
         raise ValueError("vectors must be finite")
     return matrix
@@ -175,25 +181,25 @@ def _matrix(column) -> np.ndarray:
 class TextMatcher:
     """Which of the query texts occur in a text, each text scanned about once."""
 
-    def __init__(self, texts: dict[str, np.ndarray]):
+    def __init__(self, texts: list[str]):
         try:
             import ahocorasick
         except ImportError:
             ahocorasick = None
         # Short texts occur all over; a plain search for them stops at the first hit.
-        long = [t for t in texts if len(t) >= SHORT_TEXT] if ahocorasick else []
-        self.plain = [t for t in texts if not ahocorasick or len(t) < SHORT_TEXT]
+        plain = [n for n, t in enumerate(texts) if not ahocorasick or len(t) < SHORT_TEXT]
+        self.plain = [(n, texts[n]) for n in plain]
         self.automaton = None
-        if long:
+        if len(plain) < len(texts):
             self.automaton = ahocorasick.Automaton()
-            for t in long:
-                self.automaton.add_word(t, t)
+            for n in set(range(len(texts))).difference(plain):
+                self.automaton.add_word(texts[n], n)
             self.automaton.make_automaton()
 
-    def found(self, text: str) -> set[str]:
-        hits = {t for t in self.plain if t in text}
+    def found(self, text: str) -> set[int]:
+        hits = {n for n, t in self.plain if t in text}
         if self.automaton is not None:
-            hits.update(t for _, t in self.automaton.iter(text))
+            hits.update(n for _, n in self.automaton.iter(text))
         return hits
 
 
@@ -243,14 +249,20 @@ class Best:
 
     def _keyword(self, batch: pa.RecordBatch) -> np.ndarray:
         score = np.zeros((len(self.block.ids), batch.num_rows))
-        if len(self.id_set):
-            where = pc.index_in(batch.column("work_item_id"), value_set=self.id_set)
-            for r in np.flatnonzero(where.is_valid().to_numpy(zero_copy_only=False)):
-                score[self.block.exact[self.id_set[where[r].as_py()].as_py()], r] += self.boosts[0]
+        where = pc.index_in(batch.column("work_item_id"), value_set=self.id_set)
+        for r in np.flatnonzero(where.is_valid().to_numpy(zero_copy_only=False)):
+            score[self.block.exact[self.id_set[where[r].as_py()].as_py()], r] += self.boosts[0]
         for name, boost in (("title", self.boosts[1]), ("body", self.boosts[2])):
-            for r, text in enumerate(batch.column(name).to_pylist()):
-                for t in self.matcher.found(text) if text else ():
-                    score[self.block.texts[t], r] += boost
+            hits = [
+                (n, r)
+                for r, text in enumerate(batch.column(name).to_pylist())
+                if text
+                for n in self.matcher.found(text)
+            ]
+            if hits:
+                by_text = np.zeros((len(self.block.texts) + 1, batch.num_rows))
+                by_text[tuple(np.array(hits).T)] = boost
+                score += by_text[self.block.text_of]
         return score
 
     def _keep(self, query, number, ident, semantic, keyword) -> None:

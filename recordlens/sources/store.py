@@ -12,8 +12,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordlens.operators.dedupe import dedupe_last
-
 SNAPSHOTS, DELTAS = "snapshots", "deltas"
 _NAME = re.compile(r"^v(\d+)(?:-(.+))?$")
 
@@ -58,7 +56,9 @@ def next_version(known: list[Version], tag: str | None = None) -> int:
 def _publish(df: DataFrame, base_path: str, kind: str, tag: str | None) -> int:
     number = next_version(versions(df.sparkSession, base_path), tag)
     name = f"v{number:010d}" + (f"-{tag}" if tag else "")
-    df.write.mode("overwrite").parquet(f"{base_path}/{kind}/{name}")
+    # Bloom filters let an exact lookup skip the row groups without the id.
+    writer = df.write.mode("overwrite").option("parquet.bloom.filter.enabled#work_item_id", True)
+    writer.parquet(f"{base_path}/{kind}/{name}")
     return number
 
 
@@ -88,8 +88,12 @@ def load_index(spark: SparkSession, base_path: str, version: int | None = None)
         return base
     number = F.regexp_extract(F.input_file_name(), f"/{DELTAS}/v([0-9]+)", 1).cast("bigint")
     deltas = spark.read.schema(base.schema).parquet(*[v.path for v in later])
-    newest = dedupe_last(deltas.withColumn("_version", number), "work_item_id", "_version")
-    return overlay(base, newest.drop("_version"))
+    numbered = deltas.withColumn("_version", number)
+    if len(later) > 1:
+        # The join leaves the columns separate, so a reader of few of them scans only those.
+        newest = numbered.groupBy("work_item_id").agg(F.max("_version").alias("_version"))
+        numbered = numbered.join(newest, ["work_item_id", "_version"], "left_semi")
+    return overlay(base, numbered.drop("_version"))
 
 
 def overlay(index: DataFrame, delta: DataFrame) -> DataFrame:
