@@ -18,10 +18,11 @@ def display_keys(df: DataFrame, column: str) -> DataFrame:
 def display_sort(df: DataFrame, column: str, desc: bool = False) -> DataFrame:
     """Numbers and percentages, then text without case, then blanks; ``desc`` flips it all.
 
-    A range-partitioned global sort. Ties fall back to the raw value, so the order is total. The
-    keys are columns, as a sort would evaluate expressions anew in every comparison; they stay in
-    the result.
+    A range-partitioned global sort. The keys are columns, as a sort would evaluate expressions
+    anew in every comparison; they stay in the result. Ties fall back to the raw value and then
+    to a hash of the row, so that rows of one frequent value still spread over many tasks.
     """
-    keys = [F.col(c) for c in ("sort_class", "sort_number", "sort_text", column)]
+    keyed = display_keys(df, column).withColumn("_tie", F.xxhash64(*df.columns))
+    keys = [F.col(c) for c in ("sort_class", "sort_number", "sort_text", column, "_tie")]
     order = [k.desc_nulls_last() if desc else k.asc_nulls_first() for k in keys]
-    return display_keys(df, column).orderBy(*order)
+    return keyed.orderBy(*order).drop("_tie")

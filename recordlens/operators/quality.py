@@ -53,6 +53,13 @@ def row_alignment(records: DataFrame, vectors: DataFrame, key: str = "work_item_
     return counts.withColumn("aligned", aligned)
 
 
+def require_alignment(records: DataFrame, vectors: DataFrame, key: str = "work_item_id") -> None:
+    """Raise unless every record has exactly one vector and the reverse."""
+    figures = row_alignment(records, vectors, key).first()
+    if not figures.aligned:
+        raise ValueError(f"records and vectors are out of step: {figures.asDict()}")
+
+
 def unaligned_ids(records: DataFrame, vectors: DataFrame, key: str = "work_item_id") -> DataFrame:
     """The offending ids, with the side that lacks them."""
     no_vector = records.join(vectors.select(key), key, "left_anti").select(key)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -97,10 +97,12 @@ def _bytes_of_query():
 def _against_shipped_queries(rows, asked, k, weights, boosts) -> DataFrame:
     spark = rows.sparkSession
     # Bounded: batch_hits has checked the number and the bytes of the queries.
-    block = spark.sparkContext.broadcast(QueryBlock.from_arrow(asked.toArrow()))
+    block = QueryBlock.from_arrow(asked.toArrow())
+    # Plain values, as a broadcast pickles classes by name and workers need not have this package.
+    shipped = spark.sparkContext.broadcast(astuple(block))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(block.value, k, weights, boosts)
+        best = Best(QueryBlock(*shipped.value), k, weights, boosts)
         for batch in batches:
             best.add(batch)
         yield best.result()

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from recordlens.functions.text import embedding_text, fingerprint
 from recordlens.functions.vectors import has_unit_norm, l2_normalize
 from recordlens.operators.cleaning import clean_records
+from recordlens.operators.quality import require_alignment
 from recordlens.schema import INDEX_COLUMNS
 
 
@@ -30,11 +31,14 @@ def build_index(records: DataFrame, embedder, *, include_tags: bool = False) ->
     return embedded.select(*INDEX_COLUMNS)
 
 
-def make_index(records: DataFrame, vectors: DataFrame) -> DataFrame:
+def make_index(records: DataFrame, vectors: DataFrame, *, strict: bool = False) -> DataFrame:
     """Index from cleaned records and given ``vectors(work_item_id, embedding)``.
 
-    An inner join on the id, once at ingest; afterwards record and vector share a row.
+    An inner join on the id, once at ingest; afterwards record and vector share a row. With
+    ``strict`` a record without vector, or the reverse, is an error instead of being left out.
     """
+    if strict:
+        require_alignment(clean_records(records), vectors)
     cleaned = with_fingerprint(clean_records(records))
     paired = cleaned.join(vectors.select("work_item_id", "embedding"), "work_item_id")
     return paired.select(*INDEX_COLUMNS)

@@ -11,7 +11,7 @@ from recordlens.functions.text import strip
 from recordlens.operators.cleaning import clean_records
 from recordlens.operators.dedupe import dedupe_last
 from recordlens.plans.build import check_dimension, record_text, with_fingerprint
-from recordlens.schema import INDEX_COLUMNS, canonical
+from recordlens.schema import INDEX_COLUMNS, canonical, missing_columns
 from recordlens.session import materialize
 from recordlens.sources.store import overlay
 
@@ -26,9 +26,11 @@ class Refresh(NamedTuple):
     index: DataFrame
 
 
-def latest_changes(changes: DataFrame, *, include_tags: bool = False) -> DataFrame:
+def latest_changes(
+    changes: DataFrame, *, include_tags: bool = False, full_table: bool = False
+) -> DataFrame:
     """Cleaned change feed, the last row per id, with fingerprints."""
-    cleaned = clean_records(changes, drop_null_title=False)
+    cleaned = clean_records(changes, drop_null_title=full_table)
     last = dedupe_last(cleaned, "work_item_id", "changed_at", "seq")
     return with_fingerprint(last, include_tags=include_tags)
 
@@ -82,15 +84,17 @@ def refresh_delta(
     *,
     skip_unchanged: bool = True,
     include_tags: bool = False,
+    full_table: bool = False,
 ) -> DataFrame:
     """New and changed index rows with their ``status``; only these are embedded.
 
-    ``skip_unchanged=False`` re-embeds every row of the feed, changed or not. Fields that the
-    feed does not have keep their stored value. A change older than the stored row is stale and
-    skipped.
+    ``skip_unchanged=False`` re-embeds every row of the feed, changed or not. ``full_table``
+    says that the feed is a whole snapshot, whose rows without title are invalid. Columns that
+    the feed does not have keep their stored value. A change older than the stored row is stale
+    and skipped.
     """
     check_dimension(index, embedder.dim)
-    latest = latest_changes(changes, include_tags=include_tags)
+    latest = latest_changes(changes, include_tags=include_tags, full_table=full_table)
     # The index meets the feed once, in few columns. While the ids of the feed are small enough
     # to broadcast, the index is not shuffled at all.
     stored = index.select(
@@ -100,9 +104,8 @@ def refresh_delta(
     touched = classify(latest, stored).where(~stale)
     if skip_unchanged:
         touched = touched.where(F.col("status") != UNCHANGED)
-    kept = {
-        c: F.coalesce(F.col(c), F.col(f"_old_{c}")) for c in ("tags", "link", "bug_url")
-    }
+    absent = missing_columns(changes, ("tags", "link", "bug_url"))
+    kept = {c: F.col(f"_old_{c}") for c in absent}
     embedded = touched.withColumns(kept).withColumn("embedding", embedder.column(record_text()))
     return embedded.select(*INDEX_COLUMNS, "status")
 

@@ -34,8 +34,14 @@ def augment_links(records: DataFrame, link_map: DataFrame) -> DataFrame:
     any_link = records.select(F.coalesce(F.bool_or(own != ""), F.lit(False)).alias("b")).scalar()
     number = to_number(F.col("work_item_id"))
     key = F.when(number == F.floor(number), number.try_cast("bigint"))
-    keyed = records.withColumns({"_key": key, "_own": own})
-    found = link_map.select(F.col("work_item_id").alias("_key"), F.col("link").alias("_found"))
-    joined = keyed.join(found, "_key", "left")
+    # Records without a number match nothing; a second key spreads them over the tasks.
+    odd = F.when(key.isNull(), F.xxhash64("work_item_id").bitwiseOR(F.lit(1))).otherwise(0)
+    keyed = records.withColumns({"_key": F.coalesce(key, F.lit(0)), "_odd": odd, "_own": own})
+    found = link_map.select(
+        F.col("work_item_id").alias("_key"),
+        F.lit(0).cast("bigint").alias("_odd"),
+        F.col("link").alias("_found"),
+    )
+    joined = keyed.join(found, ["_key", "_odd"], "left")
     link = F.when(any_link, F.col("_own")).otherwise(clean_link(F.col("_found")))
     return joined.withColumn("link", link).select(*records.columns)

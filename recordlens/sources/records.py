@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from recordlens.functions.text import filled, normalize_id, strip
@@ -54,8 +56,25 @@ def parse_fingerprint_map(df: DataFrame, json: Column, *keep: str) -> DataFrame:
 
 
 def load_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """Fingerprint side file(s): one JSON object per file."""
-    return parse_fingerprint_map(spark.read.text(path, wholetext=True), F.col("value"))
+    """Fingerprint side file(s): one JSON object per file, or one per line and file."""
+    whole = spark.read.text(path, wholetext=True)
+    lines = F.explode(F.split(F.col("value"), r"(?<=\})\s*\n"))
+    return parse_fingerprint_map(whole.select(lines.alias("value")), F.col("value"))
+
+
+def export_fingerprints(fingerprints: DataFrame, path: str, per_file: int = 100_000) -> None:
+    """Write ``(work_item_id, fingerprint)`` as JSON objects with sorted keys, one per line.
+
+    The table is cut into about ``per_file`` entries per object, so no task holds all of it; for
+    up to ``per_file`` entries that is a single object.
+    """
+    filled_rows = fingerprints.where((F.col("work_item_id") != "") & (F.col("fingerprint") != ""))
+    objects = max(1, math.ceil(filled_rows.count() / per_file))
+    entry = F.struct("work_item_id", "fingerprint")
+    part = F.pmod(F.xxhash64("work_item_id"), F.lit(objects)).alias("part")
+    grouped = filled_rows.groupBy(part).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    lines = grouped.select(F.to_json(F.map_from_entries("entries")).alias("value"))
+    lines.write.mode("overwrite").text(path)
 
 
 def parse_refresh_state(df: DataFrame, json: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Observation, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -43,17 +45,19 @@ def start_refresh_stream(
     embedder,
     checkpoint: str,
     *,
-    name: str = "feed",
     trigger: dict | None = None,
+    **options,
 ) -> StreamingQuery:
     """Keep the index below ``base_path`` current from a streaming change feed.
 
     State lives in the index itself, so the stream needs no watermark, and a batch repeated
-    after a failure overwrites its own version.
+    after a failure overwrites its own version. Batches are numbered per checkpoint folder, so
+    its name is part of their tags.
     """
+    owner = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        apply_changes(base_path, batch, embedder, tag=f"{name}-{batch_id}")
+        apply_changes(base_path, batch, embedder, tag=f"{owner}-{batch_id}", **options)
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

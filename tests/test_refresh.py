@@ -10,7 +10,7 @@ from recordlens.embedders import HashEmbedder
 from recordlens.operators.cleaning import clean_records
 from recordlens.operators.dedupe import dedupe_first, dedupe_last
 from recordlens.operators.quality import dimension_range, is_normalized, row_alignment, unaligned_ids
-from recordlens.plans.build import build_index, renormalize_index
+from recordlens.plans.build import build_index, make_index, renormalize_index
 from recordlens.plans.refresh import (
     diff_counts,
     fingerprint_audit,
@@ -99,6 +99,23 @@ def test_refresh_of_everything(spark, index):
     assert by_id(done.index)["2"].bug_url == "u2"
 
 
+def test_snapshot_refresh_replaces_the_columns_it_has(spark, index):
+    rows = [("1", "one", "new", "t9", None), ("2", "two", "second", None, None), ("6", None, "x", None, None)]
+    done = refresh(index, spark.createDataFrame(rows, RECORDS), EMBEDDER, full_table=True)
+    assert done.stats.first().asDict() == {"added": 0, "updated": 1, "skipped": 2}
+    row = by_id(done.index)["1"]
+    assert (row.tags, row.link) == ("t9", None)
+
+
+def test_make_index(spark, index):
+    records = spark.createDataFrame([("1", "a", "x", None, None), ("2", "b", "y", None, None)], RECORDS)
+    pairs = make_index(records, index.where("work_item_id = '1'"))
+    assert [r.work_item_id for r in pairs.collect()] == ["1"]
+    with pytest.raises(ValueError, match="out of step"):
+        make_index(records, index, strict=True)
+    assert make_index(records, index.where("work_item_id < '3'"), strict=True).count() == 2
+
+
 def test_empty_feed(spark, index):
     done = refresh(index, feed(spark).limit(0), EMBEDDER)
     assert done.stats.first().asDict() == {"added": 0, "updated": 0, "skipped": 0}

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recordlens.embedders import HashEmbedder, encode_batch
+from recordlens.embedders import HashEmbedder, ModelEmbedder, encode_batch
 from recordlens.operators.topk import batch_hits
 from recordlens.plans.build import build_index
 from recordlens.plans.search import clamp_k, lookup, present, search, search_batch, search_front
@@ -172,6 +172,34 @@ def test_model_batches_are_checked_and_normalised():
         encode_batch(Flat(), ["a", "b"])
 
 
+FAKE_MODEL = """
+import numpy as np
+made = 0
+
+class SentenceTransformer:
+    def __init__(self, folder, local_files_only):
+        global made
+        made += 1
+        assert local_files_only
+
+    def encode(self, texts, batch_size, show_progress_bar, normalize_embeddings=False):
+        return np.array([[len(t), made] for t in texts], dtype=np.float32)
+"""
+
+
+def test_model_embedder_with_a_stand_in_library(spark, tmp_path):
+    module = tmp_path / "sentence_transformers.py"
+    module.write_text(FAKE_MODEL)
+    spark.sparkContext.addPyFile(str(module))
+    df = spark.range(40).select(F.repeat(F.lit("a"), (F.col("id") % 3 + 1).cast("int")).alias("t"))
+    model = ModelEmbedder(str(tmp_path), dim=2)
+    got = {(r.t, tuple(r.embedding)) for r in model.embed(df, "t").collect()}
+    assert len(got) == 3  # one load per worker: the second number is always 1
+    assert dict(got)["aa"] == pytest.approx(tuple(np.array([2, 1]) / np.sqrt(5)))
+    with pytest.raises(Exception, match="model folder not found"):
+        ModelEmbedder(str(tmp_path / "none")).embed(df, "t").collect()
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

@@ -13,6 +13,7 @@ from recordlens.plans.diagnostics import diagnostics, index_stats
 from recordlens.plans.repair import augment_links, repair_urls
 from recordlens.sources.records import (
     export_csv,
+    export_fingerprints,
     high_water_mark,
     incremental_pull,
     load_fingerprints,
@@ -51,6 +52,20 @@ def test_fingerprint_files(spark, tmp_path):
     assert got == {"1": "ab", "2": "cd"}
 
 
+def test_fingerprint_export(spark, tmp_path):
+    df = spark.range(50).select(
+        F.col("id").cast("string").alias("work_item_id"), F.sha2(F.col("id").cast("string"), 256).alias("fingerprint")
+    )
+    export_fingerprints(df, str(tmp_path / "one"))
+    (line,) = [r.value for r in spark.read.text(str(tmp_path / "one")).collect()]
+    assert list(json.loads(line)) == sorted(map(str, range(50)))
+    export_fingerprints(df, str(tmp_path / "many"), per_file=10)
+    assert spark.read.text(str(tmp_path / "many")).count() > 1
+    for name in ("one", "many"):
+        back = load_fingerprints(spark, str(tmp_path / name))
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
 @pytest.mark.parametrize(
     "text, ok",
     [
