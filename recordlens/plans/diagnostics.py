@@ -9,7 +9,14 @@ from recordlens.functions.vectors import has_unit_norm
 from recordlens.plans.search import search
 from recordlens.schema import missing_columns
 
-SAMPLE_QUERY = "test error"  # fixed value: query of the sample search
+# Query of the sample search and names of the checks.
+SAMPLE_QUERY = "test error"
+SCHEMA_CHECK = "Metadata loaded + schema valid"
+VECTOR_CHECK = "Embeddings loaded"
+ALIGNMENT_CHECK = "Row alignment"
+UNIT_CHECK = "Embeddings have unit length"
+STATE_CHECK = "Refresh state readable"
+SEARCH_CHECK = "Sample semantic search"
 
 
 def diagnostics(
@@ -55,14 +62,14 @@ def diagnostics(
     if missing:
         loaded = F.concat(loaded, F.lit(f", missing column(s): {', '.join(missing)}"))
     checks = [
-        ("Metadata loaded + schema valid", F.lit(not missing), loaded),
+        (SCHEMA_CHECK, F.lit(not missing), loaded),
         (
-            "Embeddings loaded",
+            VECTOR_CHECK,
             F.col("v.one_dim"),
             F.concat(F.lit("Loaded shape=("), n, F.lit(", "), F.coalesce(dim, F.lit("0")), F.lit(")")),
         ),
         (
-            "Row alignment",
+            ALIGNMENT_CHECK,
             F.col("v.n") == F.col("records"),
             F.concat(
                 F.lit("Embeddings rows="), n,
@@ -70,12 +77,12 @@ def diagnostics(
             ),
         ),
         (
-            "Embeddings have unit length",
+            UNIT_CHECK,
             F.col("v.unit"),
             F.when(F.col("v.unit"), "all").otherwise("some are not"),
         ),
         (
-            "Refresh state readable",
+            STATE_CHECK,
             F.col("s.refreshed_at").isNotNull(),
             F.coalesce(
                 F.concat(F.lit("last_refresh_time="), F.col("s.last_refresh_time")),
@@ -83,7 +90,7 @@ def diagnostics(
             ),
         ),
         (
-            "Sample semantic search",
+            SEARCH_CHECK,
             F.col("top").isNotNull(),
             F.coalesce(
                 F.concat(

@@ -10,6 +10,7 @@ from recordlens.functions.text import filled, fingerprint, fingerprint_undelimit
 from recordlens.functions.text import strip
 from recordlens.operators.cleaning import clean_records
 from recordlens.operators.dedupe import dedupe_last
+from recordlens.operators.joins import small_side
 from recordlens.plans.build import check_dimension, record_text, with_fingerprint
 from recordlens.schema import INDEX_COLUMNS, canonical, missing_columns
 from recordlens.session import materialize
@@ -95,11 +96,13 @@ def refresh_delta(
     """
     check_dimension(index, embedder.dim)
     latest = latest_changes(changes, include_tags=include_tags, full_table=full_table)
-    # The index meets the feed once, in few columns. While the ids of the feed are small enough
-    # to broadcast, the index is not shuffled at all.
+    # Stored, as it is used twice and its size decides: while the ids of the feed are few enough
+    # to broadcast, the index is only filtered; only then do its matches meet the feed.
+    latest = materialize(latest, "changes")
+    ids = small_side(latest.select("work_item_id"))
     stored = index.select(
         "work_item_id", "fingerprint", "tags", "link", "bug_url", "changed_at"
-    ).join(latest.select("work_item_id"), "work_item_id", "left_semi")
+    ).join(ids, "work_item_id", "left_semi")
     stale = F.coalesce(F.col("_old_changed_at") > F.col("changed_at"), F.lit(False))
     touched = classify(latest, stored).where(~stale)
     if skip_unchanged:

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from recordlens.operators.joins import BROADCAST_BYTES, small_side
+
 SNAPSHOTS, DELTAS = "snapshots", "deltas"
 _NAME = re.compile(r"^v(\d+)(?:-(.+))?$")
 
@@ -96,11 +98,11 @@ def load_index(spark: SparkSession, base_path: str, version: int | None = None)
     return overlay(base, numbered.drop("_version"))
 
 
-def overlay(index: DataFrame, delta: DataFrame) -> DataFrame:
-    """Rows of ``delta`` replace those of ``index`` with the same id, others are appended.
+def overlay(index: DataFrame, delta: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows of the stored ``delta`` replace those of ``index`` with the same id or are appended.
 
-    The anti join only carries ids of the delta; Spark broadcasts them while they are below its
-    size threshold and shuffles both sides beyond it.
+    Up to ``limit`` bytes of ids the index is filtered in place; beyond it both are shuffled.
     """
-    kept = index.join(delta.select("work_item_id"), "work_item_id", "left_anti")
+    ids = small_side(delta.select("work_item_id"), limit)
+    kept = index.join(ids, "work_item_id", "left_anti")
     return kept.select(index.columns).unionByName(delta.select(index.columns))

@@ -16,9 +16,17 @@ from recordlens.plans.refresh import (
     fingerprint_audit,
     fingerprint_merge,
     refresh,
+    refresh_delta,
     snapshot_diff,
 )
-from recordlens.sources.store import load_index, next_version, publish_delta, publish_index, versions
+from recordlens.sources.store import (
+    load_index,
+    next_version,
+    overlay,
+    publish_delta,
+    publish_index,
+    versions,
+)
 from recordlens.streaming.refresh import apply_changes, start_refresh_stream
 
 EMBEDDER = HashEmbedder(8)
@@ -202,6 +210,39 @@ def test_store_versions(spark, index, tmp_path):
     assert next_version(versions(spark, base)) == 6
 
 
+def test_overlay_with_and_without_broadcast(spark, index, tmp_path):
+    index.write.parquet(str(tmp_path / "i"))
+    index.where("work_item_id < '3'").withColumn("title", F.lit("x")).write.parquet(str(tmp_path / "d"))
+    stored, delta = (spark.read.parquet(str(tmp_path / n)) for n in ("i", "d"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few, many = overlay(stored, delta), overlay(stored, delta, limit=0)
+        plans = [d._jdf.queryExecution().executedPlan().toString() for d in (few, many)]
+        assert "BroadcastHashJoin" in plans[0] and "Exchange hashpartitioning" not in plans[0]
+        assert "SortMergeJoin" in plans[1]
+        assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect()))
+        assert {r.work_item_id: r.title for r in few.collect()} == {"1": "x", "2": "x", "3": "three"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_refresh_reads_few_columns_of_the_index(spark, index, tmp_path):
+    base = str(tmp_path / "narrow")
+    publish_index(index, base)
+    changes = feed(spark, ("2", "two", "other", None, at(1), 1))
+    apply_changes(base, changes, EMBEDDER)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    delta = refresh_delta(load_index(spark, base), changes, EMBEDDER)
+    plan = delta._jdf.queryExecution().executedPlan().toString()
+    scans = [part.split("\n")[0] for part in plan.split("ReadSchema: ")[1:]]
+    of_index = [s for s in scans if "fingerprint" in s and "title" not in s]
+    assert len(of_index) == 2  # snapshot and delta
+    assert not any("semantic_text" in s or "embedding" in s for s in of_index)
+    # Neither of them is shuffled on the way to the ids of the feed.
+    assert plan.count("BroadcastHashJoin") >= 3 and "SortMergeJoin" not in plan
+
+
 def test_apply_changes_can_be_repeated(spark, index, tmp_path):
     base = str(tmp_path / "apply")
     publish_index(index, base)

@@ -348,7 +348,7 @@ def sql() -> dict[str, str]:
             a.id IS NOT NULL AS plain_id_known, coalesce(a.fp = plain_hash, false) AS plain_matches,
             b.id IS NOT NULL AS id_known, coalesce(b.fp = hash, false) AS matches
             FROM fps LEFT JOIN old a ON a.id = plain LEFT JOIN old b ON b.id = fps.id""",
-        "strip_text": f"""SELECT page_id, {strip("split_part(html, '>', 3)")} AS text FROM pages""",
+        "strip_text": f"SELECT page_id, {strip('html')} AS text FROM pages",
         "clean_text": f"""SELECT conv_id, turn,
             CASE WHEN role = 'user' THEN '' ELSE {clean('text')} END AS text FROM conversations""",
         "embedding_text": f"""SELECT doc_id, t AS text, CAST(length(t) AS INTEGER) AS chars FROM (
