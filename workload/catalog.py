@@ -477,7 +477,7 @@ def fingerprint_audit_(spark, folder):
 @query
 def strip_text(spark, folder):
     pages = given.table(spark, folder, "pages")
-    padded = F.concat(F.lit("\t  "), F.split_part("html", F.lit(">"), F.lit(3)), F.lit(" \r\n"))
+    padded = F.concat(F.lit("\t  "), F.col("html"), F.lit(" \r\n"))
     return pages.select("page_id", strip(padded).alias("text"))
 
 
