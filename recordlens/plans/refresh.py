@@ -86,19 +86,20 @@ def refresh_delta(
     skip_unchanged: bool = True,
     include_tags: bool = False,
     full_table: bool = False,
+    scratch: str | None = None,
 ) -> DataFrame:
     """New and changed index rows with their ``status``; only these are embedded.
 
     ``skip_unchanged=False`` re-embeds every row of the feed, changed or not. ``full_table``
     says that the feed is a whole snapshot, whose rows without title are invalid. Columns that
     the feed does not have keep their stored value. A change older than the stored row is stale
-    and skipped.
+    and skipped. The deduplicated feed is stored below ``scratch``, which the result reads.
     """
     check_dimension(index, embedder.dim)
     latest = latest_changes(changes, include_tags=include_tags, full_table=full_table)
     # Stored, as it is used twice and its size decides: while the ids of the feed are few enough
     # to broadcast, the index is only filtered; only then do its matches meet the feed.
-    latest = materialize(latest, "changes")
+    latest = materialize(latest, "changes", scratch)
     ids = small_side(latest.select("work_item_id"))
     stored = index.select(
         "work_item_id", "fingerprint", "tags", "link", "bug_url", "changed_at"

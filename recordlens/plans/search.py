@@ -48,6 +48,24 @@ def result_columns() -> list[Column]:
     ]
 
 
+def _order() -> list[Column]:
+    return [F.desc("final_score"), F.asc_nulls_last("_number"), F.asc("work_item_id")]
+
+
+def _best_rows(index, query, k, embedder, vector, weights, boosts) -> DataFrame:
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    if vector is None:
+        vector = embedder.query_vector(index.sparkSession, query)
+    rows = index.select(
+        "work_item_id", "title", "semantic_text", "link", "bug_url", "embedding"
+    )
+    scored = score_rows(rows, F.lit(query), vector, weights, boosts)
+    slim = scored.drop("semantic_text", "embedding")
+    slim = slim.withColumn("_number", id_number(F.col("work_item_id")))
+    return slim.orderBy(*_order()).limit(k)
+
+
 def search(
     index: DataFrame,
     query: str,
@@ -62,18 +80,7 @@ def search(
 
     The query vector comes from ``embedder`` or is given as ``vector``, such as a scalar subquery.
     """
-    if k < 1:
-        raise ValueError("k must be at least 1")
-    if vector is None:
-        vector = embedder.query_vector(index.sparkSession, query)
-    rows = index.select(
-        "work_item_id", "title", "semantic_text", "link", "bug_url", "embedding"
-    )
-    scored = score_rows(rows, F.lit(query), vector, weights, boosts)
-    slim = scored.drop("semantic_text", "embedding")
-    slim = slim.withColumn("_number", id_number(F.col("work_item_id")))
-    order = (F.desc("final_score"), F.asc_nulls_last("_number"), F.asc("work_item_id"))
-    best = slim.orderBy(*order).limit(k)
+    best = _best_rows(index, query, k, embedder, vector, weights, boosts)
     return best.select(*result_columns())
 
 
@@ -109,7 +116,16 @@ def lookup(index: DataFrame, query: str) -> DataFrame:
     return scored.select(*result_columns())
 
 
-def search_front(index: DataFrame, query: str, k=DEFAULT_K, **options) -> DataFrame:
+def search_front(
+    index: DataFrame,
+    query: str,
+    k=DEFAULT_K,
+    *,
+    embedder=None,
+    vector: Column | None = None,
+    weights=WEIGHTS,
+    boosts=BOOSTS,
+) -> DataFrame:
     """Exact id first, hybrid search only when there is none, then presented."""
     q = query.strip()
     if not q:
@@ -118,19 +134,21 @@ def search_front(index: DataFrame, query: str, k=DEFAULT_K, **options) -> DataFr
         exact = lookup(index, q)
         if exact.head(1):
             return present(exact)
-    return present(search(index, q, clamp_k(k), **options))
+    best = _best_rows(index, q, clamp_k(k), embedder, vector, weights, boosts)
+    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*_order()))
+    return present(best.withColumn("rank", rank).select("rank", *result_columns()))
 
 
 def present(results: DataFrame, query_id: str | None = None) -> DataFrame:
     """Rank and relative match percentage of results, per query when there are several.
 
-    ``results`` is a top-k set, so each window holds at most k rows.
+    ``results`` is a top-k set, so each window holds at most k rows. A ``rank`` it has is kept.
     """
     group = F.col(query_id) if query_id else F.lit(1)
     best = F.max(clamp01(F.col("final_score"))).over(Window.partitionBy(group))
-    by_score = Window.partitionBy(group).orderBy(
-        F.desc("final_score"), F.asc("work_item_id"), F.asc("title")
-    )
-    return results.withColumn("rank", F.row_number().over(by_score)).withColumn(
-        "match", percent_of_best(clamp01(F.col("final_score")), best)
-    )
+    if "rank" not in results.columns:
+        by_score = Window.partitionBy(group).orderBy(
+            F.desc("final_score"), F.asc("work_item_id"), F.asc("title")
+        )
+        results = results.withColumn("rank", F.row_number().over(by_score))
+    return results.withColumn("match", percent_of_best(clamp01(F.col("final_score")), best))

@@ -52,12 +52,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/recordlens/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once below the shared folder and read it back.
+def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write ``df`` once below ``folder`` (default: the shared folder) and read it back.
 
     For results that several branches of a plan use: the table survives the loss of executors,
     and later scans of it still prune columns and push filters down.
     """
-    path = scratch_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = f"{folder}/{name}" if folder else scratch_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return spark.read.parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from recordlens.plans.refresh import NEW, refresh_delta
 from recordlens.schema import INDEX_COLUMNS
+from recordlens.session import discard, scratch_path
 from recordlens.sources.store import load_index, next_version, publish_delta, versions
 
 
@@ -23,7 +24,8 @@ def apply_changes(
     spark = changes.sparkSession
     number = next_version(versions(spark, base_path), tag)
     index = load_index(spark, base_path, number - 1)
-    delta = refresh_delta(index, changes, embedder, **options)
+    scratch = scratch_path(spark, "refresh")
+    delta = refresh_delta(index, changes, embedder, scratch=scratch, **options)
     seen = Observation()
     counted = delta.observe(
         seen,
@@ -32,6 +34,7 @@ def apply_changes(
     )
     publish_delta(counted.select(*INDEX_COLUMNS), base_path, tag)
     added, updated = seen.get["added"], seen.get["updated"]
+    discard(spark, scratch)
     return {
         "added": added,
         "updated": updated,

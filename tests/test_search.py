@@ -132,6 +132,20 @@ def test_lookup_and_front(index):
         search_front(index, "  ", embedder=EMBEDDER)
 
 
+def test_ranks_follow_the_search_order(spark):
+    rows = [(i, "same", "text") for i in ("b", "10", "9", "a", "0")]
+    df = spark.createDataFrame(rows, "WorkItemId string, Title string, SemanticText string")
+    shown = search_front(build_index(df, EMBEDDER), "text", 5, embedder=EMBEDDER)
+    assert [r.work_item_id for r in shown.orderBy("rank").collect()] == [0, 9, 10, 0, 0]
+
+
+def test_present_per_query(index, asked):
+    hits = batch_hits(index, asked, 3)
+    shown = present(hits, "query_id").where("rank = 1").collect()
+    assert len(shown) == len(QUERIES)
+    assert {r.match for r in shown if r.final_score > 0} == {"100.0%"}
+
+
 def test_present_clamps(spark):
     rows = [(1, "a", 1.2), (2, "b", 0.5), (3, "c", -0.1)]
     df = spark.createDataFrame(rows, "work_item_id long, title string, final_score double")
