@@ -22,6 +22,7 @@ from recordlens.plans.search import (  # noqa: E402
     search_batch,
     search_front,
 )
+from recordlens.session import configure  # noqa: E402
 from recordlens.sources.records import (  # noqa: E402
     export_csv,
     export_fingerprints,
@@ -42,6 +43,7 @@ __all__ = [
     "augment_links",
     "build_index",
     "clean_records",
+    "configure",
     "diagnostics",
     "display_sort",
     "export_csv",

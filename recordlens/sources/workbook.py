@@ -292,20 +292,20 @@ def workbook_links(workbooks: DataFrame) -> DataFrame:
         column_of(ID_HEADERS).alias("id_col"), column_of(LINK_HEADERS).alias("link_col")
     )
     placed = sheet.where(F.col("row_label") != "1").join(columns, "path")
-    number = to_number(F.col("value")).try_cast("bigint")
-    ids = (
-        placed.where(F.col("col") == F.col("id_col"))
-        .groupBy("path", "row_order")
-        .agg(F.max_by(number, "place").alias("work_item_id"))
-        .where(F.col("work_item_id").isNotNull())
-    )
-    link_cells = (
-        placed.where(F.col("col") == F.col("link_col"))
-        .groupBy("path", "row_order")
-        .agg(F.max_by(F.struct("row", "ref", "value", "formula", "shared"), "place").alias("c"))
-        .select("path", "row_order", "c.*")
+    placed = placed.where(F.col("col").isin(F.col("id_col"), F.col("link_col")))
+
+    def last_cell(column: str, value):
+        return F.max_by(value, F.when(F.col("col") == F.col(column), F.col("place")))
+
+    link_cell = F.struct("row", "ref", "value", "formula", "shared")
+    rows = placed.groupBy("path", "row_order").agg(
+        last_cell("id_col", to_number(F.col("value")).try_cast("bigint")).alias("work_item_id"),
+        last_cell("link_col", link_cell).alias("c"),
     )
-    resolved = resolve_shared(link_cells).join(ids, ["path", "row_order"])
+    rows = rows.select("path", "row_order", "work_item_id", "c.*").where(F.col("ref").isNotNull())
+    # Formulas of rows without an id still count as the base of a shared one, so ids come after.
+    resolved = resolve_shared(rows).where(F.col("work_item_id").isNotNull())
+    resolved = materialize(resolved, "link-cells")
     record_id = F.col("work_item_id").cast("string")
     urls = evaluate_hyperlinks(
         resolved.where(F.col("formula") != "").withColumn("record_id", record_id), sheet

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -35,6 +36,34 @@ def test_normalize_id(spark):
     assert column(spark, list(cases), text.normalize_id) == list(cases.values())
 
 
+def test_random_texts_against_python(spark):
+    rng = random.Random(11)
+    alphabet = list("0123.0.0aNnoneulL \t\n\x1c\xa0é|-e") + [".0", "nan", " ", "none"]
+    raw = ["".join(rng.choices(alphabet, k=rng.randint(0, 7))) for _ in range(3000)]
+
+    def identifier(s):
+        s = s.strip()
+        whole = s.endswith(".0") and s.replace(".0", "").isdigit()
+        return s[:-2] if whole else s
+
+    def cleaned(s):
+        return "" if s.strip().lower() in text.MISSING_TEXTS else s.strip()
+
+    def integer(s):
+        s = s.strip()
+        try:
+            return int(s) if s.isdigit() else int(float(s))
+        except (ValueError, OverflowError):
+            return 0
+
+    assert column(spark, raw, text.strip) == [s.strip() for s in raw]
+    assert column(spark, raw, text.normalize_id) == [identifier(s) for s in raw]
+    assert column(spark, raw, text.clean_text) == [cleaned(s) for s in raw]
+    assert column(spark, raw, text.id_to_int) == [
+        i if abs(i) < 2**63 else 0 for i in map(integer, raw)
+    ]
+
+
 def test_missing_text(spark):
     raw = [None, " ", "NaN", " None ", "NULL", "nano", "none.", "a"]
     assert column(spark, raw, text.clean_text) == ["", "", "", "", "", "nano", "none.", "a"]
