@@ -19,8 +19,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def dot(a: Column, b: Column) -> Column:
+    """Dot product; vectors of unequal length raise instead of giving NULL."""
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p)
+    total = F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p)
+    message = F.lit("vectors differ in length")
+    return F.when(F.size(a) != F.size(b), F.raise_error(message)).otherwise(total)
 
 
 def norm(v: Column) -> Column:

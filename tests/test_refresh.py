@@ -252,6 +252,8 @@ def test_apply_changes_can_be_repeated(spark, index, tmp_path):
         assert stats == {"added": 1, "updated": 1, "skipped": 0}
     assert len(versions(spark, base)) == 2 and load_index(spark, base).count() == 4
     assert apply_changes(base, changes, EMBEDDER) == {"added": 0, "updated": 0, "skipped": 2}
+    nothing = spark.createDataFrame([], FEED)
+    assert apply_changes(base, nothing, EMBEDDER) == {"added": 0, "updated": 0, "skipped": 0}
 
 
 def test_stream_in_many_batches_equals_one_batch(spark, tables, tmp_path):

@@ -160,6 +160,8 @@ def test_vectors_of_unequal_length_are_refused(spark, index):
     wrong = spark.createDataFrame([("q", "x", [1.0, 2.0])], "query_id string, query string, embedding array<float>")
     with pytest.raises(Exception, match="vector length"):
         batch_hits(index, wrong, 1).collect()
+    with pytest.raises(Exception, match="differ in length"):
+        search(index, "x", 1, vector=F.array(F.lit(1.0), F.lit(2.0))).collect()
 
 
 def test_hash_embedder(spark):
