@@ -63,7 +63,11 @@ def batch_hits(
     block_bytes: int = BLOCK_BYTES,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Top-k hits of ``queries(query_id, query, embedding)`` over the index, ranked."""
+    """Top-k hits of ``queries(query_id, query, embedding)`` over the index, ranked.
+
+    Query ids and record ids are unique. The work is quadratic, pairs of queries and rows; a query
+    table beyond the block bounds also moves the index once per query block.
+    """
     if k < 1:
         raise ValueError("k must be at least 1")
     asked = queries.select(
@@ -84,9 +88,8 @@ def batch_hits(
         hits = top_per_query(_against_shipped_queries(rows, asked, k, weights, boosts), k)
         # At most k hits for each of the counted queries; beyond the bound Spark chooses.
         return F.broadcast(hits) if size.n * k <= BROADCAST_HITS else hits
-    else:
-        parts = max(math.ceil(size.n / block_queries), math.ceil(size.b / block_bytes))
-        found = _against_query_blocks(rows, asked, k, weights, boosts, parts, block_rows, block_bytes)
+    parts = max(math.ceil(size.n / block_queries), math.ceil(size.b / block_bytes))
+    found = _against_query_blocks(rows, asked, k, weights, boosts, parts, block_rows, block_bytes)
     return top_per_query(found, k)
 
 
@@ -111,9 +114,10 @@ def _against_shipped_queries(rows, asked, k, weights, boosts) -> DataFrame:
 
 
 def _against_query_blocks(rows, asked, k, weights, boosts, parts, block_rows, block_bytes):
-    size = rows.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("body")).alias("b")
-    ).first()
+    texts = F.coalesce(F.octet_length("title"), F.lit(0)) + F.coalesce(
+        F.octet_length("body"), F.lit(0)
+    )
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(texts).alias("b")).first()
     row_parts = max(1, math.ceil(size.n / block_rows), math.ceil((size.b or 0) / block_bytes))
 
     def blocks(n: int, own: str):
