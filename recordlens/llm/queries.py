@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from recordlens.llm import quality_rules, secret_scans, url_filters
+from recordlens.llm import embedding_dedup, quality_rules, secret_scans, toxicity, url_filters
 from recordlens.llm.common import table
 
 URL_RULES = (
@@ -21,10 +21,19 @@ def op1_url_filters(spark, folder) -> DataFrame:
     return url_filters.filter_urls(table(spark, folder, "pages"), URL_RULES)
 
 
+def op3_embedding_dedup(spark, folder) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op5_secret_scans(spark, folder) -> DataFrame:
     return secret_scans.report(secret_scans.scan(table(spark, folder, "documents")))
 
 
+def op7_toxicity(spark, folder) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return toxicity.predict(docs, toxicity.train_on(docs, labels))
+
+
 def op8_quality_rules(spark, folder) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"))
 
