@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from recordlens.llm import embedding_dedup, quality_rules, secret_scans, toxicity, url_filters
+from recordlens.llm import embedding_dedup, language_id, quality_rules, secret_scans, toxicity, url_filters
 from recordlens.llm.common import table
 
 URL_RULES = (
@@ -38,6 +38,11 @@ def op8_quality_rules(spark, folder) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"))
 
 
+def op9_language_id(spark, folder) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language_id.predict(docs, language_id.train_on(docs))
+
+
 def named() -> dict[str, Callable]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
