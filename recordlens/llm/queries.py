@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame
 
-from recordlens.llm import embedding_dedup, language_id, quality_rules, secret_scans, toxicity, url_filters
+from recordlens.llm import byte_bpe, embedding_dedup, language_id, quality_rules, secret_scans, toxicity, url_filters
 from recordlens.llm.common import table
 
 URL_RULES = (
@@ -17,10 +18,19 @@ URL_RULES = (
 )
 
 
+VOCABULARY_FILE = "byte_bpe_multi_50k.tiktoken"
+
+
 def op1_url_filters(spark, folder) -> DataFrame:
     return url_filters.filter_urls(table(spark, folder, "pages"), URL_RULES)
 
 
+def op2_byte_bpe(spark, folder) -> DataFrame:
+    path = public_tokenizers.path(VOCABULARY_FILE)
+    vocabulary = byte_bpe.Vocabulary.read(path, public_tokenizers.PATTERN)
+    return byte_bpe.digests(table(spark, folder, "documents"), vocabulary)
+
+
 def op3_embedding_dedup(spark, folder) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
 
