@@ -101,7 +101,7 @@ def bucket_sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def train(
-    labelled: DataFrame, per_class: int = 4000, features: int = 20_000, alpha: float = 1.0, least_surprise: float = 2.0
+    labelled: DataFrame, per_class: int = 2000, features: int = 8000, alpha: float = 1.0, least_surprise: float = 2.0
 ) -> Model:
     """Fit on rows (key, text, label 0/1); ``key`` decides which rows the bounded sample takes.
 
@@ -131,8 +131,12 @@ def train(
     best = counts.select("bucket", ratio.alias("ratio"), surprise.alias("surprise")).orderBy(F.desc("surprise"), "bucket")
     kept = best.where(F.col("surprise") >= least_surprise).limit(features).toPandas().sort_values("bucket")
     buckets, ratios = kept["bucket"].to_numpy(np.int64), kept["ratio"].to_numpy()
-    rows = sample.select("label", _only(buckets)("buckets").alias("at")).toPandas()
-    coefficients, intercept = _logistic(rows["at"].tolist(), rows["label"].to_numpy(float), ratios)
+    rows = sample.select("label", _only(buckets)("buckets").alias("at")).toArrow().combine_chunks()
+    places = rows.column("at").combine_chunks()
+    lengths = np.diff(places.offsets.to_numpy())
+    columns = places.flatten().to_numpy(zero_copy_only=False)
+    labels = rows.column("label").to_numpy().astype(float)
+    coefficients, intercept = _logistic(columns, lengths, labels, ratios)
     return Model(buckets, ratios * coefficients, intercept)
 
 
@@ -151,16 +155,17 @@ def _only(buckets: np.ndarray):
     return positions
 
 
-def _logistic(sets: list, labels: np.ndarray, ratios: np.ndarray, l2: float = 1.0, steps: int = 300):
-    """Full-batch Adam on the scaled presence features; plain logistic loss with an L2 term."""
-    lengths = np.array([len(s) for s in sets])
-    columns = np.concatenate([np.asarray(s, np.int64) for s in sets]) if lengths.sum() else np.empty(0, np.int64)
-    owner = np.repeat(np.arange(len(sets)), lengths)
-    scaled = ratios[columns] if len(columns) else np.empty(0)
+def _logistic(columns: np.ndarray, lengths: np.ndarray, labels: np.ndarray, ratios: np.ndarray, l2=1.0, steps=300):
+    """Full-batch Adam on the scaled presence features; plain logistic loss with an L2 term.
+
+    Row i has the features ``columns`` lists for it, ``lengths[i]`` of them.
+    """
+    owner = np.repeat(np.arange(len(labels), dtype=np.int32), lengths)
+    scaled = ratios[columns]
     w = np.zeros(len(ratios) + 1)
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        margin = np.bincount(owner, scaled * w[columns], len(sets)) + w[-1]
+        margin = np.bincount(owner, scaled * w[columns], len(labels)) + w[-1]
         error = 1 / (1 + np.exp(-np.clip(margin, -500, 500))) - labels
         slope = np.append(np.bincount(columns, scaled * error[owner], len(ratios)), error.sum())
         slope[:-1] += l2 * w[:-1]
@@ -196,7 +201,7 @@ def remainder(key: Column, mod: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % mod
 
 
-def train_on(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Model:
+def train_on(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Model:
     """Fit on the documents that ``labels`` (doc_id, toxic) covers, without every fifth by hash."""
     usable = labels.where("toxic is not null and doc_id is not null").where(remainder(F.col("doc_id"), 5) != 0)
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
