@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UID = "__uid"
@@ -54,3 +56,66 @@ def prefix_sums(values: Column, block: int = 512) -> Column:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def into_blocks(members: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """Cut every group of ``keys`` into blocks and send each row to all pairs (i, j), i <= j, of its block.
+
+    Groups of one row have nothing to compare and are left out. ``members`` has a bigint column ``node``.
+    """
+    sizes = members.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1")
+    sizes = sizes.select(*keys, F.ceil(F.col("__n") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda other: F.struct(
+            F.least(other, F.col("own")).alias("i"),
+            F.greatest(other, F.col("own")).alias("j"),
+        ),
+    )
+    return (
+        members.join(sizes, keys)
+        .withColumn("own", own)
+        .withColumn("pair", F.explode(pairs))
+        .select("*", "pair.i", "pair.j")
+        .drop("pair", "blocks")
+    )
+
+
+def block_components(link: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Smallest id reachable in a symmetric boolean matrix."""
+    label = ids.copy()
+    top = np.iinfo(np.int64).max
+    while True:
+        least = np.minimum(label, np.where(link, label[None, :], top).min(axis=1, initial=top))
+        if (least == label).all():
+            return label
+        label = least
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of equal keys from batches that are sorted by integer keys; a run may span batches."""
+    held: list[pa.RecordBatch] = []
+
+    def cuts(table: pa.Table) -> np.ndarray:
+        change = np.zeros(max(table.num_rows - 1, 0), bool)
+        for key in keys:
+            column = table.column(key).to_numpy()
+            change |= column[1:] != column[:-1]
+        return np.flatnonzero(change) + 1
+
+    for batch in batches:
+        held.append(batch)
+        table = pa.Table.from_batches(held).combine_chunks()
+        at = cuts(table)
+        if not len(at):
+            continue
+        for low, high in zip(np.concatenate([[0], at[:-1]]).tolist(), at.tolist()):
+            yield table.slice(low, high - low)
+        held = table.slice(int(at[-1])).to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        if table.num_rows:
+            at = cuts(table).tolist()
+            for low, high in zip([0, *at], [*at, table.num_rows]):
+                yield table.slice(low, high - low)

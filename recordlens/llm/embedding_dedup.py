@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from recordlens.llm.common import UID, with_uid
+from recordlens.llm.common import UID, block_components, into_blocks, with_uid
 from recordlens.llm.components import components
 from recordlens.session import materialize, scratch_path
 
@@ -98,37 +98,6 @@ def assign_cells(groups: DataFrame, centres: dict[int, np.ndarray], threshold: f
     return groups.select("node", "weight", "label", "dim", "embedding").mapInArrow(assign, schema)
 
 
-def into_blocks(members: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
-    """Cut every group of ``keys`` into blocks and send each row to all pairs (i, j), i <= j, of its block."""
-    sizes = members.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda other: F.struct(
-            F.least(other, F.col("own")).alias("i"),
-            F.greatest(other, F.col("own")).alias("j"),
-        ),
-    )
-    return (
-        members.join(sizes, keys)
-        .withColumn("own", own)
-        .withColumn("pair", F.explode(pairs))
-        .select("*", "pair.i", "pair.j")
-        .drop("pair", "blocks")
-    )
-
-
-def block_components(link: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Smallest id reachable in a symmetric boolean matrix."""
-    label = ids.copy()
-    top = np.iinfo(np.int64).max
-    while True:
-        least = np.minimum(label, np.where(link, label[None, :], top).min(axis=1, initial=top))
-        if (least == label).all():
-            return label
-        label = least
-
-
 def _compare(threshold: float):
     def compare(_key, table):
         node = table.column("node").to_numpy()
@@ -170,7 +139,7 @@ def _compare(threshold: float):
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = 0.98,
-    per_cell: int = 1000,
+    per_cell: int = 4000,
     sample_rows: int = 20_000,
     most_cells: int = 2048,
 ) -> DataFrame:
@@ -198,7 +167,7 @@ def near_duplicates(
     centres = fit_centres(groups, per_cell, sample_rows, most_cells)
     members = materialize(assign_cells(groups, centres, threshold), "members", folder)
     found = (
-        into_blocks(members, ["label", "dim", "cell"])
+        into_blocks(members, ["label", "dim", "cell"], BLOCK)
         .groupBy("label", "dim", "cell", "i", "j")
         .applyInArrow(_compare(threshold), "node bigint, links bigint, least bigint")
     )

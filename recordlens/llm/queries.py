@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from recordlens.llm import byte_bpe, embedding_dedup, language_id, quality_rules, secret_scans, toxicity, url_filters
-from recordlens.llm.common import table
+from recordlens.llm import byte_bpe, embedding_dedup, language_id, ngram_join, quality_rules, secret_scans, toxicity, url_filters
+from recordlens.llm.common import UID, table
 
 URL_RULES = (
     ("block", "net/"),
@@ -53,6 +53,10 @@ def op9_language_id(spark, folder) -> DataFrame:
     return language_id.predict(docs, language_id.train_on(docs))
 
 
+def op10_ngram_join(spark, folder) -> DataFrame:
+    return ngram_join.classes(table(spark, folder, "documents")).drop(UID)
+
+
 def named() -> dict[str, Callable]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

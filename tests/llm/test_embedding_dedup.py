@@ -52,7 +52,6 @@ def test_whole_table_equals_brute_force(spark, tables):
 
 def test_dense_groups_over_many_cells_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 50)
-    monkeypatch.setattr(embedding_dedup.into_blocks, "__defaults__", (50,))
     rng = np.random.default_rng(3)
     vectors = []
     for size, noise in ((400, 0.028), (150, 0.02), (60, 0.0)):
