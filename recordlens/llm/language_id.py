@@ -30,7 +30,7 @@ from recordlens.llm.toxicity import remainder
 BITS = 18
 AFFIXES = (1, 2, 3, 4)
 GRAMS = (2, 3)
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 UNKNOWN = "und"
 PRIME, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -154,8 +154,9 @@ def marginals(emission: np.ndarray, counts: np.ndarray, transition: np.ndarray,
 
     Sequences are taken longest first, so step t works on the rows that still have a word t.
     """
-    local = np.exp(np.clip(emission - emission.max(axis=1, keepdims=True), -60, 0)).astype(np.float64)
-    move, begin = np.exp(transition - transition.max()), np.exp(start - start.max())
+    local = np.exp(np.clip(emission - emission.max(axis=1, keepdims=True), -60, 0))
+    move = np.exp(transition - transition.max()).astype(local.dtype)
+    begin = np.exp(start - start.max()).astype(local.dtype)
     order = np.argsort(-counts, kind="stable")
     first = (np.cumsum(counts) - counts)[order]
     length = counts[order]
@@ -168,11 +169,11 @@ def marginals(emission: np.ndarray, counts: np.ndarray, transition: np.ndarray,
         state = local[at] * (begin if t == 0 else state[: active[t]] @ move)
         state /= state.sum(axis=1, keepdims=True)
         forward[at] = state
-    back = np.ones((active[steps - 1] if steps else 0, local.shape[1]))
+    back = np.ones((active[steps - 1] if steps else 0, local.shape[1]), local.dtype)
     for t in range(steps - 1, -1, -1):
         at = first[: active[t]] + t
         if len(back) < len(at):
-            back = np.concatenate([back, np.ones((len(at) - len(back), local.shape[1]))])
+            back = np.concatenate([back, np.ones((len(at) - len(back), local.shape[1]), local.dtype)])
         both = forward[at] * back
         forward[at] = both / both.sum(axis=1, keepdims=True)
         back = (back * local[at]) @ move.T
@@ -303,6 +304,16 @@ def label_words(text: str, model: Model) -> list[tuple[str, str]]:
     return [(lower[s:e], model.languages[k]) for s, e, k in zip(words.start, words.end, best)]
 
 
+def _chunks(texts: list, most: int = 12 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``most`` characters together."""
+    low = size = 0
+    for high, text in enumerate(texts, 1):
+        size += len(text or "")
+        if size >= most or high == len(texts):
+            yield low, high
+            low, size = high, 0
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -311,14 +322,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         for batch in batches:
             names, scores = np.full(len(batch), UNKNOWN, object), np.zeros(len(batch))
-            if model.languages:
-                emission, counts = batch_emissions(batch.tolist(), model.emission)
-                each = marginals(emission, counts, model.transition, model.start)
+            texts = batch.tolist()
+            for low, high in _chunks(texts) if model.languages else ():
+                emission, counts = batch_emissions(texts[low:high], model.emission)
                 some = np.flatnonzero(counts)
                 if len(some):
-                    mean = np.add.reduceat(each, (np.cumsum(counts) - counts)[some], axis=0) / counts[some, None]
-                    names[some] = np.array(model.languages, object)[mean.argmax(axis=1)]
-                    scores[some] = np.minimum(mean.max(axis=1), 1.0)
+                    each = marginals(emission, counts, model.transition, model.start)
+                    begin = (np.cumsum(counts) - counts)[some]
+                    mean = np.add.reduceat(each, begin, axis=0, dtype=np.float64) / counts[some, None]
+                    names[low + some] = np.array(model.languages, object)[mean.argmax(axis=1)]
+                    scores[low + some] = np.minimum(mean.max(axis=1), 1.0)
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     label = F.pandas_udf(predicted, "lang_pred string, score double")
