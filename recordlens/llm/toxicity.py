@@ -27,7 +27,7 @@ from recordlens.session import materialize, scratch_path
 
 SIZES = (3, 4, 5)
 BITS = 20
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 
 @dataclass(frozen=True)
