@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from recordlens.llm import byte_bpe, embedding_dedup, language_id, ngram_join, quality_rules, secret_scans, toxicity, url_filters
+from recordlens.llm import byte_bpe, embedding_dedup, language_id, ngram_join, quality_rules, secret_scans, suffix_dedup, toxicity, url_filters
 from recordlens.llm.common import UID, table
 
 URL_RULES = (
@@ -35,6 +35,10 @@ def op3_embedding_dedup(spark, folder) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op4_suffix_dedup(spark, folder) -> DataFrame:
+    return suffix_dedup.report(table(spark, folder, "documents"))
+
+
 def op5_secret_scans(spark, folder) -> DataFrame:
     return secret_scans.report(secret_scans.scan(table(spark, folder, "documents")))
 
