@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from recordlens.llm import byte_bpe, embedding_dedup, language_id, ngram_join, quality_rules, secret_scans, suffix_dedup, toxicity, url_filters
+from recordlens.llm import best_fit_packing, byte_bpe, embedding_dedup, language_id, ngram_join, quality_rules, secret_scans, suffix_dedup, toxicity, url_filters
 from recordlens.llm.common import UID, table
 
 URL_RULES = (
@@ -43,6 +43,10 @@ def op5_secret_scans(spark, folder) -> DataFrame:
     return secret_scans.report(secret_scans.scan(table(spark, folder, "documents")))
 
 
+def op6_best_fit_packing(spark, folder) -> DataFrame:
+    return best_fit_packing.pack(table(spark, folder, "documents"))
+
+
 def op7_toxicity(spark, folder) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     return toxicity.predict(docs, toxicity.train_on(docs, labels))
