@@ -6,8 +6,8 @@
    rank, the leftmost of equals, is merged, until no pair has a rank. Ranks come from a literal map of pairs.
 3. The ids of every text are gathered from those of its words. Decoding joins the byte pieces of the ids.
 
-The rank map is a literal of fixed size: it depends on the vocabulary, not on the data. It is kept as two arrays
-addressed by two hashes (a cuckoo table), as a lookup in a Spark map walks through all its keys.
+The rank map is a literal of fixed size: it depends on the vocabulary, not on the data. It is kept as two arrays (the
+rows of a sparse matrix, displaced into each other), as a lookup in a Spark map walks through all its keys.
 A word of n bytes takes n steps over its remaining tokens, so only words of many thousand bytes cost more than linear.
 
 Defined cases: null text is empty and gives no ids. Repeated rows are encoded one by one; a null id is kept. Other
@@ -17,6 +17,7 @@ columns are ignored, an empty table gives an empty result. Special tokens are or
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,10 +28,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from recordlens.llm.common import let
 
-NONE = 1 << 30
-TABLE_BITS = 17
-FACTORS, PRIME = (51_193_733, 66_404_351), (1 << 37) - 25  # above all keys; products stay below 2**63
-BLOCK = 1 << 24
+NONE = 1 << 20  # above all ranks
+BLOCK = 12 << 20
 
 
 @dataclass(frozen=True)
@@ -59,71 +58,64 @@ class Vocabulary:
         return found
 
 
-def _slot(key, which: int):
-    """Place of a key in one of the two tables; the same for Python integers and for columns."""
-    return key * FACTORS[which] % PRIME % ((1 << TABLE_BITS) - 5 * which - 5)
-
-
-def cuckoo_tables(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
-    """Two arrays so that every pair is at its place in one of them, as key << 20 | rank."""
-    tables = ([-1] * (1 << TABLE_BITS), [-1] * (1 << TABLE_BITS))
-    for key, rank in pairs.items():
-        entry, which = key << 20 | rank, 0
-        for _ in range(10_000):
-            at = _slot(entry >> 20, which)
-            entry, tables[which][at] = tables[which][at], entry
-            if entry < 0:
-                break
-            which = 1 - which
-        else:
-            raise ValueError("the vocabulary has too many pairs for the tables")
-    return tables
-
-
-def rank_of(left: Column, right: Column, first: Column, second: Column) -> Column:
-    """Rank of a pair, or NONE."""
-
-    def look(key: Column) -> Column:
-        one, two = F.get(first, _slot(key, 0).cast("int")), F.get(second, _slot(key, 1).cast("int"))
-        return (
-            F.when(F.shiftright(one, 20) == key, one.bitwiseAND(F.lit((1 << 20) - 1)))
-            .when(F.shiftright(two, 20) == key, two.bitwiseAND(F.lit((1 << 20) - 1)))
-            .otherwise(F.lit(NONE))
-            .cast("int")
-        )
-
-    return let(left.cast("long") * (1 << 20) + right, look)
-
-
-def fold_word(tokens: Column, first: Column, second: Column) -> Column:
-    """Ids of a word from its byte tokens."""
+def rank_rows(pairs: dict[int, int], size: int, seed: int = 3) -> tuple[list[int], list[int | None]]:
+    """The sparse matrix of pair ranks as displaced rows: (offset per left token, cells).
+
+    The rank of (left, right) is ``cells[offset[left] + right] ^ left << 20``; a cell of another row gives a
+    number of at least NONE, an empty one is null. The fullest rows are placed first, at drawn places that are free.
+    """
+    rows: dict[int, list[int]] = {}
+    for key in pairs:
+        rows.setdefault(key >> 20, []).append(key & (NONE - 1))
+    rng = np.random.default_rng(seed)
+    cells: list[int | None] = [None] * (size + 6 * len(pairs))
+    taken = np.zeros(len(cells), bool)
+    offsets = [0] * size
+    for left, rights in sorted(rows.items(), key=lambda row: (-len(row[1]), row[0])):
+        columns = np.array(rights)
+        at = 0
+        while taken[at + columns].any():
+            at = int(rng.integers(0, len(cells) - size))
+        taken[at + columns] = True
+        offsets[left] = at
+        for right in rights:
+            cells[at + right] = left << 20 | pairs[left << 20 | right]
+    return offsets, cells
+
+
+def rank_of(left: Column, right: Column, offsets: Column, cells: Column) -> Column:
+    """Rank of a pair, or a number of at least NONE; null when a side is missing."""
+    return F.get(cells, (F.get(offsets, left.cast("int")) + right).cast("int")).bitwiseXOR(F.shiftleft(left, 20))
+
+
+def fold_word(tokens: Column, offsets: Column, cells: Column) -> Column:
+    """Ids of a word from its byte tokens (bigint).
+
+    The state holds the tokens and, one place further on, the rank of each with the token before it, so the
+    first rank is null.
+    """
     n = F.size(tokens)
-    ranks = F.transform(tokens, lambda x, i: rank_of(x, F.get(tokens, i + 1), first, second))
 
     def step(state: Column, _: Column) -> Column:
         t, r = state["t"], state["r"]
 
         def merge(m: Column) -> Column:
             def at(p: Column) -> Column:
-                before = F.greatest(p - 2, F.lit(0))
-                left = F.when(p > 1, F.array(rank_of(F.get(t, p - 2), m, first, second))).otherwise(
-                    F.array().cast("array<int>")
-                )
                 return F.struct(
-                    F.concat(F.slice(t, F.lit(1), p - 1), F.array(m), F.slice(t, p + 2, F.size(t))).alias("t"),
+                    F.concat(F.slice(t, F.lit(1), p - 2), F.array(m), F.slice(t, p + 1, n)).alias("t"),
                     F.concat(
-                        F.slice(r, F.lit(1), before),
-                        left,
-                        F.array(rank_of(m, F.get(t, p + 1), first, second)),
-                        F.slice(r, p + 2, F.size(r)),
+                        F.slice(r, F.lit(1), p - 2),
+                        F.array(rank_of(F.get(t, p - 3), m, offsets, cells), rank_of(m, F.get(t, p), offsets, cells)),
+                        F.slice(r, p + 2, n),
                     ).alias("r"),
                 )
 
-            return F.when(m >= NONE, state).otherwise(let(F.array_position(r, m).cast("int"), at))
+            return F.when(m < NONE, let(F.array_position(r, m).cast("int"), at)).otherwise(state)
 
         return let(F.array_min(r), merge)
 
-    start = F.struct(tokens.alias("t"), ranks.alias("r"))
+    ranks = F.transform(tokens, lambda x, i: rank_of(F.get(tokens, i - 1), x, offsets, cells))
+    start = F.struct(tokens.alias("t"), F.concat(ranks, F.array(F.lit(None).cast("bigint"))).alias("r"))
     return F.when(n < 2, tokens).otherwise(
         F.aggregate(F.sequence(F.lit(2), n), start, step, lambda state: state["t"])
     )
@@ -148,7 +140,7 @@ def _split(pattern: str, byte_ids: np.ndarray, block: int):
             words = [w.encode() for w in codes]
             flat = byte_ids[np.frombuffer(b"".join(words), np.uint8)]
             ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
-            arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids], pa.list_(pa.int64())),
@@ -176,11 +168,11 @@ def _split(pattern: str, byte_ids: np.ndarray, block: int):
     return split
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of blocks to (doc_id, ids), ids as little-endian unsigned 32-bit integers."""
+def _blocks_to_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+    """Rows of blocks to doc_ids and their ids as little-endian unsigned 32-bit integers."""
     for batch in batches:
         for row in range(batch.num_rows):
-            doc_ids = batch.column("doc_ids")[row].values
+            doc_ids = batch.column("doc_ids")[row].as_py()
             counts = batch.column("counts")[row].values.to_numpy(zero_copy_only=False)
             codes = np.frombuffer(batch.column("codes")[row].as_py(), np.int32)
             words = batch.column("ids")[row].values
@@ -188,35 +180,49 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = words.values.to_numpy(zero_copy_only=False).astype("<u4")
             length = np.diff(offsets)
             ends = np.concatenate([[0], np.cumsum(counts)])
-            out, low = [], 0
+            low = 0
             while low < len(counts):  # texts by the million words, to bound the index arrays
-                high = max(low + 1, int(np.searchsorted(ends, ends[low] + (1 << 20), "right")) - 1)
+                high = max(low + 1, int(np.searchsorted(ends, ends[low] + (1 << 19), "right")) - 1)
                 part = codes[ends[low] : ends[high]]
                 each = length[part]
                 stop = np.cumsum(each)
                 at = np.repeat(offsets[part] - (stop - each), each) + np.arange(int(stop[-1]) if len(stop) else 0)
                 joined = values[at].tobytes()
                 bound = np.concatenate([[0], stop])[ends[low : high + 1] - ends[low]] * 4
-                out += [joined[a:b] for a, b in zip(bound[:-1], bound[1:])]
+                yield doc_ids[low:high], [joined[a:b] for a, b in zip(bound[:-1], bound[1:])]
                 low = high
-            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, block: int = BLOCK) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit integers in one binary) of every text."""
+def _folded_blocks(docs: DataFrame, vocabulary: Vocabulary, block: int) -> DataFrame:
     single = {piece[0]: i for i, piece in enumerate(vocabulary.pieces) if len(piece) == 1}
-    byte_ids = np.array([single[b] for b in range(256)], np.int32)
-    first, second = (
-        F.split(F.lit(",".join(map(str, t))), ",").cast("array<bigint>") for t in cuckoo_tables(vocabulary.pair_ranks())
+    byte_ids = np.array([single[b] for b in range(256)], np.int64)
+    offsets, cells = (
+        F.split(F.lit(",".join("" if x is None else str(x) for x in t)), ",", -1).try_cast("array<bigint>")
+        for t in rank_rows(vocabulary.pair_ranks(), len(vocabulary.pieces))
     )
     blocks = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         _split(vocabulary.pattern, byte_ids, block),
-        "doc_ids array<bigint>, counts array<int>, codes binary, words array<array<int>>",
-    )
-    folded = let(first, lambda a: let(second, lambda b: F.transform("words", lambda w: fold_word(w, a, b))))
-    return blocks.select("doc_ids", "counts", "codes", folded.alias("ids")).mapInArrow(
-        _gather, "doc_id bigint, ids binary"
+        "doc_ids array<bigint>, counts array<int>, codes binary, words array<array<bigint>>",
     )
+    folded = let(offsets, lambda a: let(cells, lambda b: F.transform("words", lambda w: fold_word(w, a, b))))
+    return blocks.select("doc_ids", "counts", "codes", folded.alias("ids"))
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, block: int = BLOCK) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit integers in one binary) of every text."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_ids, ids in _blocks_to_ids(batches):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc_ids, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"]
+            )
+
+    return _folded_blocks(docs, vocabulary, block).mapInArrow(gather, "doc_id bigint, ids binary")
+
+
+def join_pieces(ids: bytes, pieces: tuple[bytes, ...]) -> bytes:
+    """The bytes that ids stand for."""
+    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def decode(ids: Column, vocabulary: Vocabulary, spark) -> Column:
@@ -224,19 +230,31 @@ def decode(ids: Column, vocabulary: Vocabulary, spark) -> Column:
     shared = spark.sparkContext.broadcast(vocabulary.pieces)
 
     def join(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = shared.value.__getitem__
         for batch in batches:
-            yield pd.Series([None if x is None else b"".join(map(pieces, np.frombuffer(x, "<u4").tolist())) for x in batch])
+            yield pd.Series([None if x is None else join_pieces(x, shared.value) for x in batch])
 
     return F.pandas_udf(join, "binary")(ids)
 
 
-def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the decoded bytes."""
-    encoded = encode(docs, vocabulary)
-    return encoded.select("doc_id", "ids", decode(F.col("ids"), vocabulary, docs.sparkSession).alias("decoded")).select(
-        "doc_id",
-        (F.length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+def digests(docs: DataFrame, vocabulary: Vocabulary, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of the bytes decoded from them.
+
+    Decodes in the task that gathers the ids, so that they do not travel once more.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary.pieces)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_ids, ids in _blocks_to_ids(batches):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(doc_ids, pa.int64()),
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
+                    pa.array([hashlib.sha256(join_pieces(x, shared.value)).hexdigest() for x in ids]),
+                ],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return _folded_blocks(docs, vocabulary, block).mapInArrow(
+        digest, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     )

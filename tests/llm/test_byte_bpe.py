@@ -66,3 +66,10 @@ def test_small_blocks_give_the_same_ids(spark, vocabulary, library):
     assert {i: list(struct.unpack(f"<{len(x) // 4}I", x)) for i, x in found.items()} == {
         i: library.encode_ordinary(t) for i, t in docs
     }
+
+
+def test_decode_column(spark, vocabulary):
+    df = spark.createDataFrame([(1, "Grüße 😀"), (2, None)], "doc_id long, text string")
+    encoded = byte_bpe.encode(df, vocabulary)
+    found = encoded.select("doc_id", byte_bpe.decode(encoded["ids"], vocabulary, spark).alias("text")).collect()
+    assert {r.doc_id: bytes(r.text).decode() for r in found} == {1: "Grüße 😀", 2: ""}
