@@ -21,7 +21,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from recordlens.session import materialize, scratch_path
 
@@ -174,26 +175,24 @@ def _logistic(columns: np.ndarray, lengths: np.ndarray, labels: np.ndarray, rati
     return w[:-1], float(w[-1])
 
 
-def score(text: Column, model: Model, spark) -> Column:
-    """Probability of label 1 for every text."""
+def _scorer(model: Model, spark: SparkSession):
+    """Scores of a column of texts, as a function for tasks."""
     shared = spark.sparkContext.broadcast((model.buckets, model.weights, model.intercept))
 
-    @F.pandas_udf("double")
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(texts: pa.Array) -> np.ndarray:
         buckets, weights, intercept = shared.value
-        table = np.zeros(1 << BITS)
+        table = np.zeros(1 << BITS, np.float32)
         table[buckets] = weights
         used = table != 0
-        for batch in texts:
-            hits = [np.empty(0, np.int64)]
-            for rows, found in bucket_blocks(iter(batch)):
-                hit = used[found]
-                hits.append(np.unique(rows[hit].astype(np.int64) << BITS | found[hit]))
-            pairs = np.unique(np.concatenate(hits))
-            margin = np.bincount(pairs >> BITS, table[pairs & ((1 << BITS) - 1)], len(batch)) + intercept
-            yield pd.Series(1 / (1 + np.exp(-np.clip(margin, -500, 500))))
+        hits = [np.empty(0, np.int64)]
+        for rows, found in bucket_blocks(text.as_py() for text in texts):
+            hit = used[found]
+            hits.append(np.unique(rows[hit].astype(np.int64) << BITS | found[hit]))
+        pairs = np.unique(np.concatenate(hits))
+        margin = np.bincount(pairs >> BITS, table[pairs & ((1 << BITS) - 1)], len(texts)) + intercept
+        return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
-    return scored(text)
+    return scores
 
 
 def remainder(key: Column, mod: int) -> Column:
@@ -213,10 +212,21 @@ def train_on(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Model
     return train(rows.select(F.col("doc_id").alias("key"), "text", "label"), per_class)
 
 
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and the probability of label 1 for every row."""
+    scores = _scorer(model, docs.sparkSession)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array(scores(batch.column(1)), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["doc_id", "score"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scored, "doc_id bigint, score double")
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
-    scored = docs.select("doc_id", score(F.col("text"), model, docs.sparkSession).alias("score"))
-    return scored.select(
+    return score(docs, model).select(
         "doc_id",
         F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(True)).alias("held_out"),
         "score",
@@ -226,4 +236,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The documents that score below ``threshold``, with their columns unchanged."""
-    return docs.where(score(docs["text"], model, docs.sparkSession) < threshold)
+    scores = _scorer(model, docs.sparkSession)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column("text")) < threshold))
+
+    return docs.mapInArrow(kept, docs.schema)
