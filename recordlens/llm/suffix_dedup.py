@@ -300,7 +300,7 @@ def _sort_groups(length: int):
     return sort
 
 
-def repeated_ranges(docs: DataFrame, length: int = 400, most_pieces: int = 1000) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int = 400, most_pieces: int = 4000) -> DataFrame:
     """uid and its byte ranges (array of struct low, high, end exclusive) that are inside repeated strings.
 
     ``docs`` is a table scan with a text column; documents without such ranges have no row.
@@ -344,8 +344,14 @@ def repeated_ranges(docs: DataFrame, length: int = 400, most_pieces: int = 1000)
     )
     starts = cut.where("at >= 0").select("key", "whole", "at", "digest")
     twice = starts.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    by_digest = starts.join(twice, "digest").select(
-        "key", "whole", F.col("at").alias("from"), F.col("at").alias("to")
+    ats = F.array_sort(F.collect_list("at"))  # at most the starts of one piece
+    heads = F.filter("ats", lambda x: ~F.array_contains("ats", x - 1))
+    tails = F.filter("ats", lambda x: ~F.array_contains("ats", x + 1))
+    by_digest = (
+        starts.join(twice, "digest")
+        .groupBy("key", "whole")
+        .agg(ats.alias("ats"))
+        .select("key", "whole", F.inline(F.arrays_zip(heads.alias("from"), tails.alias("to"))))
     )
     partly = by_sorting.unionByName(by_digest)
     whole = distinct.where("copies > 1").select(
