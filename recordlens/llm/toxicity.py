@@ -175,6 +175,16 @@ def _logistic(columns: np.ndarray, lengths: np.ndarray, labels: np.ndarray, rati
     return w[:-1], float(w[-1])
 
 
+def _ranges(texts: list) -> Iterator[tuple[int, int]]:
+    """Ranges of whole texts with about a segment of characters together."""
+    low = size = 0
+    for high, text in enumerate(texts, 1):
+        size += len(text or "")
+        if size >= SEGMENT or high == len(texts):
+            yield low, high
+            low, size = high, 0
+
+
 def _scorer(model: Model, spark: SparkSession):
     """Scores of a column of texts, as a function for tasks."""
     shared = spark.sparkContext.broadcast((model.buckets, model.weights, model.intercept))
@@ -184,12 +194,14 @@ def _scorer(model: Model, spark: SparkSession):
         table = np.zeros(1 << BITS, np.float32)
         table[buckets] = weights
         used = table != 0
-        hits = [np.empty(0, np.int64)]
-        for rows, found in bucket_blocks(text.as_py() for text in texts):
-            hit = used[found]
-            hits.append(np.unique(rows[hit].astype(np.int64) << BITS | found[hit]))
-        pairs = np.unique(np.concatenate(hits))
-        margin = np.bincount(pairs >> BITS, table[pairs & ((1 << BITS) - 1)], len(texts)) + intercept
+        margin = np.full(len(texts), intercept)
+        values = texts.to_pylist()
+        for low, high in _ranges(values):
+            hits = np.empty(0, np.int64)
+            for rows, found in bucket_blocks(iter(values[low:high])):
+                hit = used[found]
+                hits = np.unique(np.concatenate([hits, rows[hit].astype(np.int64) << BITS | found[hit]]))
+            margin[low:high] += np.bincount(hits >> BITS, table[hits & ((1 << BITS) - 1)], high - low)
         return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
     return scores
