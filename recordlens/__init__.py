@@ -7,7 +7,7 @@ from pyspark import cloudpickle
 # Executors need not have this package installed: task functions travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-from recordlens.embedders import HashEmbedder, ModelEmbedder  # noqa: E402
+from recordlens.embedders import HashEmbedder  # noqa: E402
 from recordlens.operators.cleaning import clean_records  # noqa: E402
 from recordlens.operators.ordering import display_sort  # noqa: E402
 from recordlens.operators.quality import is_normalized, row_alignment  # noqa: E402
@@ -25,6 +25,7 @@ from recordlens.plans.search import (  # noqa: E402
 from recordlens.session import configure  # noqa: E402
 from recordlens.sources.records import (  # noqa: E402
     export_csv,
+    export_fingerprint_object,
     export_fingerprints,
     incremental_pull,
     load_fingerprints,
@@ -38,7 +39,6 @@ from recordlens.streaming.refresh import apply_changes, start_refresh_stream  #
 
 __all__ = [
     "HashEmbedder",
-    "ModelEmbedder",
     "apply_changes",
     "augment_links",
     "build_index",
@@ -47,6 +47,7 @@ __all__ = [
     "diagnostics",
     "display_sort",
     "export_csv",
+    "export_fingerprint_object",
     "export_fingerprints",
     "fingerprint_audit",
     "incremental_pull",

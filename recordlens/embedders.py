@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from recordlens.functions.vectors import MIN_NORM
 
 TOKEN_BREAK = r"[^\p{L}\p{N}]+"
-ENCODE_BATCH = 32  # fixed value: texts per model call
 
 
 class Embedder:
@@ -72,52 +70,3 @@ def _hash_vectors(tokens: pa.ListArray, dim: int) -> pa.ListArray:
     unit = (sums / np.maximum(length, MIN_NORM)[:, None]).astype(np.float32)
     offsets = pa.array(np.arange(n + 1) * dim, pa.int32())
     return pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()))
-
-
-class ModelEmbedder(Embedder):
-    """A sentence model in a local folder that every executor can read; never downloads."""
-
-    def __init__(self, model_dir: str, dim: int | None = None):
-        self.model_dir, self.dim = model_dir, dim
-
-    def column(self, text: Column) -> Column:
-        model_dir = self.model_dir
-
-        @F.arrow_udf("array<float>")
-        def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            model = load_model(model_dir)
-            for texts in batches:
-                yield encode_batch(model, texts.to_pylist())
-
-        return encode(F.coalesce(text, F.lit("")))
-
-
-def load_model(model_dir: str):
-    """The model, loaded once per Python worker and warmed up by one call."""
-    if not os.path.isdir(model_dir):
-        raise FileNotFoundError(f"model folder not found: {model_dir}")
-    import sentence_transformers
-
-    # Task functions are unpickled per task; the library module lives as long as the worker.
-    loaded = sentence_transformers.__dict__.setdefault("_recordlens_models", {})
-    if model_dir not in loaded:
-        model = sentence_transformers.SentenceTransformer(model_dir, local_files_only=True)
-        model.encode(["warm up"], batch_size=ENCODE_BATCH, show_progress_bar=False)
-        loaded[model_dir] = model
-    return loaded[model_dir]
-
-
-def encode_batch(model, texts: list[str]) -> pa.ListArray:
-    """Unit vectors of one batch; the model must return one row per text."""
-    vectors = np.asarray(
-        model.encode(
-            texts, batch_size=ENCODE_BATCH, normalize_embeddings=True, show_progress_bar=False
-        ),
-        dtype=np.float64,
-    )
-    if vectors.ndim != 2 or len(vectors) != len(texts):
-        raise ValueError(f"model returned shape {vectors.shape} for {len(texts)} texts")
-    length = np.sqrt((vectors * vectors).sum(axis=1))
-    unit = (vectors / np.maximum(length, MIN_NORM)[:, None]).astype(np.float32)
-    offsets = pa.array(np.arange(len(texts) + 1) * vectors.shape[1], pa.int32())
-    return pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()))

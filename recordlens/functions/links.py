@@ -11,6 +11,7 @@ EMPTY_LINKS = ("0", "0.0", "0.0.0.0", "nan", "None")
 # The same for raw spreadsheet cells.
 EMPTY_CELL_LINKS = ("0", "0.0", "0.0.0.0")
 
+# Fixed value: the grammar of a spreadsheet cell address.
 CELL_REF = r"^\$?([A-Za-z]{1,3})\$?([0-9]+)$"
 
 
@@ -47,18 +48,34 @@ def leading_column(ref: Column) -> Column:
     return column_index(F.regexp_extract(ref, r"^([A-Za-z]*)", 1))
 
 
-def _argument_pattern(depth: int = 6) -> str:
-    """First call argument: quoted text and nested parentheses hide commas."""
-    plain, quoted = r'[^()",]++', r'"[^"]*+"'
-    nested = r"\((?:[^()\"]++|" + quoted + r")*+\)"
-    for _ in range(depth - 1):
-        nested = r"\((?:[^()\"]++|" + quoted + "|" + nested + r")*+\)"
-    return rf"(?i)^=?\s*HYPERLINK\(((?:{plain}|{quoted}|{nested})*+)"
-
-
 def hyperlink_argument(formula: Column) -> Column:
-    """First argument of a HYPERLINK formula, empty for any other formula."""
-    return strip(F.regexp_extract(strip(formula), _argument_pattern(), 1))
+    """First argument of a HYPERLINK formula, empty for any other formula.
+
+    It ends at the first comma or closing parenthesis that neither quotes nor parentheses, nested to any depth, hide.
+    One pass over the characters keeps the depth, whether a quote is open, and the end once it is found.
+    """
+    call = F.regexp_extract(strip(formula), r"(?is)^=?\s*HYPERLINK\((.*)$", 1)
+    start = F.struct(
+        F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(-1).alias("end")
+    )
+
+    def step(s: Column, ch: Column) -> Column:
+        plain = ~s["quoted"]
+        ends = plain & (s["depth"] == 0) & ch.isin(",", ")")
+        change = F.when(plain & (ch == "("), 1).when(plain & (ch == ")"), -1).otherwise(0)
+        return F.when(s["end"] >= 0, s).otherwise(
+            F.struct(
+                (s["at"] + 1).alias("at"),
+                (s["depth"] + change).alias("depth"),
+                F.when(ch == '"', plain).otherwise(s["quoted"]).alias("quoted"),
+                F.when(ends, s["at"]).otherwise(F.lit(-1)).alias("end"),
+            )
+        )
+
+    def cut(s: Column) -> Column:
+        return F.when(s["end"] >= 0, F.substring(call, F.lit(1), s["end"])).otherwise(call)
+
+    return strip(F.aggregate(F.split(call, ""), start, step, cut))
 
 
 def concat_tokens(expression: Column) -> Column:

@@ -11,15 +11,10 @@ def is_normalized(
     df: DataFrame,
     column: str = "embedding",
     tolerance: float = UNIT_TOLERANCE,
-    fraction: float | None = None,
 ) -> DataFrame:
-    """One row: do all vectors have unit length; an empty table passes.
-
-    All rows are checked unless ``fraction`` asks for a sample.
-    """
-    rows = df if fraction is None else df.sample(fraction)
+    """One row: do all vectors have unit length; an empty table passes."""
     ok = F.bool_and(has_unit_norm(F.col(column), tolerance))
-    return rows.agg(F.coalesce(ok, F.lit(True)).alias("is_normalized"))
+    return df.agg(F.coalesce(ok, F.lit(True)).alias("is_normalized"))
 
 
 def dimension_range(df: DataFrame, column: str = "embedding") -> DataFrame:

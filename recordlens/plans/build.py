@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from recordlens.functions.text import embedding_text, fingerprint
 from recordlens.functions.vectors import has_unit_norm, l2_normalize
 from recordlens.operators.cleaning import clean_records
-from recordlens.operators.quality import require_alignment
+from recordlens.operators.quality import dimension_range, require_alignment
 from recordlens.schema import INDEX_COLUMNS
 
 
@@ -31,11 +31,11 @@ def build_index(records: DataFrame, embedder, *, include_tags: bool = False) ->
     return embedded.select(*INDEX_COLUMNS)
 
 
-def make_index(records: DataFrame, vectors: DataFrame, *, strict: bool = False) -> DataFrame:
+def make_index(records: DataFrame, vectors: DataFrame, *, strict: bool = True) -> DataFrame:
     """Index from cleaned records and given ``vectors(work_item_id, embedding)``.
 
-    An inner join on the id, once at ingest; afterwards record and vector share a row. With
-    ``strict`` a record without vector, or the reverse, is an error instead of being left out.
+    An inner join on the id, once at ingest; afterwards record and vector share a row. A record without
+    vector, or the reverse, is an error; ``strict=False`` leaves such rows out, and ``unaligned_ids`` lists them.
     """
     if strict:
         require_alignment(clean_records(records), vectors)
@@ -46,9 +46,11 @@ def make_index(records: DataFrame, vectors: DataFrame, *, strict: bool = False)
 
 def check_dimension(index: DataFrame, dim: int | None) -> None:
     """Raise when the stored vectors have another length than the embedder gives."""
-    first = index.where(F.col("embedding").isNotNull()).select(F.size("embedding")).head(1)
-    if first and dim is not None and first[0][0] != dim:
-        raise ValueError(f"embedding dimension mismatch: index {first[0][0]}, new {dim}")
+    if dim is None:
+        return
+    found = dimension_range(index.where(F.col("embedding").isNotNull())).first()
+    if found.min_dim is not None and (found.min_dim != dim or found.max_dim != dim):
+        raise ValueError(f"embedding dimension mismatch: index {found.min_dim} to {found.max_dim}, new {dim}")
 
 
 def renormalize_index(index: DataFrame) -> DataFrame:

@@ -58,22 +58,21 @@ def diagnostics(
         .alias("top"),
     )
     n, dim = F.col("v.n").cast("string"), F.col("v.dim").cast("string")
-    loaded = F.concat(F.lit("Loaded "), F.col("records").cast("string"), F.lit(" rows"))
+    loaded = F.concat(F.lit("records: "), F.col("records").cast("string"))
     if missing:
-        loaded = F.concat(loaded, F.lit(f", missing column(s): {', '.join(missing)}"))
+        loaded = F.concat(loaded, F.lit(f"; absent: {' '.join(missing)}"))
     checks = [
         (SCHEMA_CHECK, F.lit(not missing), loaded),
         (
             VECTOR_CHECK,
             F.col("v.one_dim"),
-            F.concat(F.lit("Loaded shape=("), n, F.lit(", "), F.coalesce(dim, F.lit("0")), F.lit(")")),
+            F.concat(n, F.lit(" vectors of "), F.coalesce(dim, F.lit("0")), F.lit(" numbers")),
         ),
         (
             ALIGNMENT_CHECK,
             F.col("v.n") == F.col("records"),
             F.concat(
-                F.lit("Embeddings rows="), n,
-                F.lit(", metadata rows="), F.col("records").cast("string"),
+                n, F.lit(" vectors for "), F.col("records").cast("string"), F.lit(" records"),
             ),
         ),
         (
@@ -85,8 +84,8 @@ def diagnostics(
             STATE_CHECK,
             F.col("s.refreshed_at").isNotNull(),
             F.coalesce(
-                F.concat(F.lit("last_refresh_time="), F.col("s.last_refresh_time")),
-                F.lit("Missing last_refresh_time"),
+                F.concat(F.lit("refreshed at "), F.col("s.last_refresh_time")),
+                F.lit("never refreshed"),
             ),
         ),
         (
@@ -94,9 +93,9 @@ def diagnostics(
             F.col("top").isNotNull(),
             F.coalesce(
                 F.concat(
-                    F.lit("Returned 1+ result(s). Top WorkItemId="), F.col("top").cast("string")
+                    F.lit("best match: "), F.col("top").cast("string")
                 ),
-                F.lit("Returned 0 results"),
+                F.lit("no match"),
             ),
         ),
     ]

@@ -14,10 +14,10 @@ from recordlens.operators.topk import batch_hits
 DEFAULT_K, MAX_K = 5, 20  # fixed values: offered number of results
 
 
-def clamp_k(k) -> int:
-    """Number of results asked for by a user; anything unreadable gives the default."""
+def clamp_k(k, most: int = MAX_K) -> int:
+    """Number of results asked for by a user, at most ``most``; anything unreadable gives the default."""
     try:
-        return max(1, min(MAX_K, int(k)))
+        return max(1, min(most, int(k)))
     except (TypeError, ValueError):
         return DEFAULT_K
 
@@ -125,8 +125,12 @@ def search_front(
     vector: Column | None = None,
     weights=WEIGHTS,
     boosts=BOOSTS,
+    max_k: int = MAX_K,
 ) -> DataFrame:
-    """Exact id first, hybrid search only when there is none, then presented."""
+    """Exact id first, hybrid search only when there is none, then presented.
+
+    At most ``max_k`` results are shown, whatever ``k`` asks for.
+    """
     q = query.strip()
     if not q:
         raise ValueError("query is empty")
@@ -134,7 +138,7 @@ def search_front(
         exact = lookup(index, q)
         if exact.head(1):
             return present(exact)
-    best = _best_rows(index, q, clamp_k(k), embedder, vector, weights, boosts)
+    best = _best_rows(index, q, clamp_k(k, max_k), embedder, vector, weights, boosts)
     rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*_order()))
     return present(best.withColumn("rank", rank).select("rank", *result_columns()))
 

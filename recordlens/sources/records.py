@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from recordlens.functions.text import filled, normalize_id, strip
@@ -55,26 +53,33 @@ def parse_fingerprint_map(df: DataFrame, json: Column, *keep: str) -> DataFrame:
     )
 
 
-def load_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """Fingerprint side file(s): one JSON object per file, or one per line and file."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = F.explode(F.split(F.col("value"), r"(?<=\})\s*\n"))
-    return parse_fingerprint_map(whole.select(lines.alias("value")), F.col("value"))
+def load_fingerprints(spark: SparkSession, path: str, *, whole_files: bool = False) -> DataFrame:
+    """Fingerprint side file(s) with one JSON object per line, read line by line.
+
+    ``whole_files`` reads files that spread one object over several lines; each is then one row, so it is
+    for files of bounded size.
+    """
+    lines = spark.read.text(path, wholetext=whole_files)
+    return parse_fingerprint_map(lines.select("value"), F.col("value"))
+
+
+def export_fingerprints(fingerprints: DataFrame, path: str) -> None:
+    """Write ``(work_item_id, fingerprint)`` as one JSON object per line, one entry each, at any size."""
+    rows = fingerprints.where((F.col("work_item_id") != "") & (F.col("fingerprint") != ""))
+    entry = F.create_map("work_item_id", "fingerprint")
+    rows.select(F.to_json(entry).alias("value")).write.mode("overwrite").text(path)
 
 
-def export_fingerprints(fingerprints: DataFrame, path: str, per_file: int = 100_000) -> None:
-    """Write ``(work_item_id, fingerprint)`` as JSON objects with sorted keys, one per line.
+def export_fingerprint_object(fingerprints: DataFrame, path: str, most: int = 100_000) -> None:
+    """Write all entries as the single JSON object that older readers expect, keys sorted.
 
-    The table is cut into about ``per_file`` entries per object, so no task holds all of it; for
-    up to ``per_file`` entries that is a single object.
+    One task writes it, so a map of over ``most`` entries is an error.
     """
-    filled_rows = fingerprints.where((F.col("work_item_id") != "") & (F.col("fingerprint") != ""))
-    objects = max(1, math.ceil(filled_rows.count() / per_file))
-    entry = F.struct("work_item_id", "fingerprint")
-    part = F.pmod(F.xxhash64("work_item_id"), F.lit(objects)).alias("part")
-    grouped = filled_rows.groupBy(part).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    lines = grouped.select(F.to_json(F.map_from_entries("entries")).alias("value"))
-    lines.write.mode("overwrite").text(path)
+    rows = fingerprints.where((F.col("work_item_id") != "") & (F.col("fingerprint") != ""))
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} fingerprints do not fit a single object; use export_fingerprints")
+    entries = F.sort_array(F.collect_list(F.struct("work_item_id", "fingerprint")))
+    rows.agg(F.to_json(F.map_from_entries(entries)).alias("value")).write.mode("overwrite").text(path)
 
 
 def parse_refresh_state(df: DataFrame, json: Column) -> DataFrame:

@@ -41,27 +41,29 @@ def test_random_texts_against_python(spark):
     alphabet = list("0123.0.0aNnoneulL \t\n\x1c\xa0é|-e") + [".0", "nan", " ", "none"]
     raw = ["".join(rng.choices(alphabet, k=rng.randint(0, 7))) for _ in range(3000)]
 
-    def identifier(s):
-        s = s.strip()
-        whole = s.endswith(".0") and s.replace(".0", "").isdigit()
-        return s[:-2] if whole else s
-
     def cleaned(s):
         return "" if s.strip().lower() in text.MISSING_TEXTS else s.strip()
 
-    def integer(s):
-        s = s.strip()
-        try:
-            return int(s) if s.isdigit() else int(float(s))
-        except (ValueError, OverflowError):
-            return 0
+    digits = set("0123456789")
+
+    def identifier(s):
+        """Split at the last point: a zero behind it goes when digits and whole '.0' groups stand before."""
+        head, point, tail = s.strip().rpartition(".")
+        groups = head.split(".0")
+        numeric = any(groups) and all(set(g) <= digits for g in groups)
+        return head if point and tail == "0" and numeric else s.strip()
 
     assert column(spark, raw, text.strip) == [s.strip() for s in raw]
     assert column(spark, raw, text.normalize_id) == [identifier(s) for s in raw]
     assert column(spark, raw, text.clean_text) == [cleaned(s) for s in raw]
-    assert column(spark, raw, text.id_to_int) == [
-        i if abs(i) < 2**63 else 0 for i in map(integer, raw)
-    ]
+
+
+def test_id_to_int_table(spark):
+    cases = {
+        "12": 12, " 7 ": 7, "007": 7, "12.9": 12, "-3.7": -3, "-0.5": 0, "1e3": 1000, "2.5e2": 250, ".5": 0,
+        "5.": 5, "": 0, " ": 0, "abc": 0, "1x": 0, "--1": 0, "nan": 0, "inf": 0, "1e400": 0, "9223372036854775807": 2**63 - 1,
+    }
+    assert column(spark, list(cases), text.id_to_int) == list(cases.values())
 
 
 def test_missing_text(spark):
@@ -114,6 +116,7 @@ def test_hyperlink_argument(spark):
         '=hyperlink( "x"&A2 , "y")': '"x"&A2',
         'HYPERLINK(IF(B1>0,"(,",CONCAT(A1,"b")),"t")': 'IF(B1>0,"(,",CONCAT(A1,"b"))',
         'HYPERLINK("x")': '"x"',
+        'HYPERLINK(' + 'F(' * 12 + 'A1,"),("' + ')' * 12 + ',"t")': 'F(' * 12 + 'A1,"),("' + ')' * 12,
         "SUM(A1)": "",
     }
     assert column(spark, list(cases), links.hyperlink_argument) == list(cases.values())

@@ -13,6 +13,7 @@ from recordlens.plans.diagnostics import diagnostics, index_stats
 from recordlens.plans.repair import augment_links, repair_urls
 from recordlens.sources.records import (
     export_csv,
+    export_fingerprint_object,
     export_fingerprints,
     high_water_mark,
     incremental_pull,
@@ -48,7 +49,7 @@ def test_fingerprint_files(spark, tmp_path):
     (tmp_path / "good.json").write_text(json.dumps({" 1 ": " ab ", "2": "cd"}, indent=2))
     (tmp_path / "list.json").write_text("[1, 2]")
     (tmp_path / "broken.json").write_text("{")
-    got = {r.work_item_id: r.fingerprint for r in load_fingerprints(spark, str(tmp_path)).collect()}
+    got = {r.work_item_id: r.fingerprint for r in load_fingerprints(spark, str(tmp_path), whole_files=True).collect()}
     assert got == {"1": "ab", "2": "cd"}
 
 
@@ -56,11 +57,13 @@ def test_fingerprint_export(spark, tmp_path):
     df = spark.range(50).select(
         F.col("id").cast("string").alias("work_item_id"), F.sha2(F.col("id").cast("string"), 256).alias("fingerprint")
     )
-    export_fingerprints(df, str(tmp_path / "one"))
+    export_fingerprint_object(df, str(tmp_path / "one"))
     (line,) = [r.value for r in spark.read.text(str(tmp_path / "one")).collect()]
     assert list(json.loads(line)) == sorted(map(str, range(50)))
-    export_fingerprints(df, str(tmp_path / "many"), per_file=10)
-    assert spark.read.text(str(tmp_path / "many")).count() > 1
+    export_fingerprints(df, str(tmp_path / "many"))
+    assert spark.read.text(str(tmp_path / "many")).count() == 50
+    with pytest.raises(ValueError, match="do not fit"):
+        export_fingerprint_object(df, str(tmp_path / "none"), most=49)
     for name in ("one", "many"):
         back = load_fingerprints(spark, str(tmp_path / name))
         assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))

@@ -385,14 +385,14 @@ def _diagnostics() -> str:
               bool_and(abs({norm('embedding')} - 1) <= 1e-3) AS unit FROM embeddings),
         report AS (
         SELECT 'Metadata loaded + schema valid' AS name, true AS ok,
-               'Loaded ' || n || ' rows' AS message FROM d
-        UNION ALL SELECT 'Embeddings loaded', true, 'Loaded shape=(' || n || ', ' || dim || ')' FROM e
+               'records: ' || n AS message FROM d
+        UNION ALL SELECT 'Embeddings loaded', true, n || ' vectors of ' || dim || ' numbers' FROM e
         UNION ALL SELECT 'Row alignment', d.n = e.n,
-               'Embeddings rows=' || e.n || ', metadata rows=' || d.n FROM d, e
+               e.n || ' vectors for ' || d.n || ' records' FROM d, e
         UNION ALL SELECT 'Embeddings have unit length', unit,
                CASE WHEN unit THEN 'all' ELSE 'some are not' END FROM e
         UNION ALL SELECT 'Refresh state readable', true,
-               'last_refresh_time=' || strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') FROM events
+               'refreshed at ' || strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') FROM events
         UNION ALL SELECT 'Sample semantic search', true,
-               'Returned 1+ result(s). Top WorkItemId=' || work_item_id FROM hits)
+               'best match: ' || work_item_id FROM hits)
         SELECT *, (SELECT bool_and(ok) FROM report) AS overall_ok FROM report"""
