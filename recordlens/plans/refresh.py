@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from recordlens.functions.text import filled, fingerprint, fingerprint_undelimited, normalize_id
 from recordlens.functions.text import strip
 from recordlens.operators.cleaning import clean_records
-from recordlens.operators.dedupe import dedupe_last
+from recordlens.operators.dedupe import dedupe_first, dedupe_last
 from recordlens.operators.joins import small_side
 from recordlens.plans.build import check_dimension, record_text, with_fingerprint
 from recordlens.schema import INDEX_COLUMNS, canonical, missing_columns
@@ -104,6 +104,8 @@ def refresh_delta(
     stored = index.select(
         "work_item_id", "fingerprint", "tags", "link", "bug_url", "changed_at"
     ).join(ids, "work_item_id", "left_semi")
+    # An index built from repeated records may hold an id twice: its first row stands for it.
+    stored = dedupe_first(stored, "work_item_id", "changed_at")
     stale = F.coalesce(F.col("_old_changed_at") > F.col("changed_at"), F.lit(False))
     touched = classify(latest, stored).where(~stale)
     if skip_unchanged:

@@ -8,6 +8,7 @@ from recordlens.functions.display import clamp01, percent_of_best
 from recordlens.functions.links import choose_link
 from recordlens.functions.text import id_number, id_to_int
 from recordlens.functions.vectors import dot
+from recordlens.operators.dedupe import dedupe_first
 from recordlens.operators.scoring import BOOSTS, WEIGHTS, blend, keyword_score
 from recordlens.operators.topk import batch_hits
 
@@ -89,12 +90,17 @@ def search_batch(
 ) -> DataFrame:
     """Top k rows for each row of ``queries(query_id, query[, embedding])``.
 
-    Titles and links are fetched for the winners only.
+    Titles and links are fetched for the winners only. A query id that occurs twice is an error. An id that
+    the index holds twice can win twice, each time with the details of its first row.
     """
     if "embedding" not in queries.columns:
         queries = embedder.embed(queries, "query")
+    if queries.groupBy("query_id").count().where("count > 1").head(1):
+        raise ValueError("query ids must be unique")
     hits = batch_hits(index, queries, k, **options)
-    details = index.select("work_item_id", "title", "link", "bug_url")
+    winners = hits.select("work_item_id").distinct()
+    details = index.select("work_item_id", "title", "link", "bug_url").join(winners, "work_item_id", "left_semi")
+    details = dedupe_first(details, "work_item_id")
     joined = hits.join(details, "work_item_id")
     return joined.select("query_id", "rank", *result_columns())
 

@@ -284,3 +284,11 @@ def test_every_vector_is_checked(spark, index):
     odd = index.limit(1).withColumn("embedding", F.array(F.lit(1.0).cast("float")))
     with pytest.raises(ValueError, match="dimension mismatch"):
         refresh(index.unionByName(odd), feed(spark), EMBEDDER)
+
+
+def test_an_id_stored_twice_is_updated_once(spark, index):
+    changes = feed(spark)
+    doubled = index.unionByName(index.limit(2))
+    once, twice = refresh(index, changes, EMBEDDER), refresh(doubled, changes, EMBEDDER)
+    assert once.stats.first() == twice.stats.first()
+    assert once.delta.count() == twice.delta.count()

@@ -188,3 +188,11 @@ def test_plans(spark, index, asked, tmp_path):
     hits = plan_of(batch_hits(stored, asked, 5))
     assert hits.count("WindowGroupLimit") == 4 and "Cartesian" not in hits
     assert "NestedLoop" not in hits
+
+
+def test_batch_search_over_repeated_ids(spark, index, asked):
+    doubled = index.unionByName(index)
+    rows = search_batch(doubled, asked, 2).groupBy("query_id").count().collect()
+    assert rows and all(r["count"] == 2 for r in rows)
+    with pytest.raises(ValueError, match="unique"):
+        search_batch(index, asked.unionByName(asked), 2)
