@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from recordlens.llm import best_fit_packing, byte_bpe, embedding_dedup, language_id, ngram_join, quality_rules, secret_scans, suffix_dedup, toxicity, url_filters
+from recordlens.llm import best_fit_packing, byte_bpe, embedding_dedup, language_id, ngram_join, oracle, quality_rules, secret_scans, suffix_dedup, toxicity, url_filters
 from recordlens.llm.common import UID, table
 
 URL_RULES = (
@@ -70,4 +70,4 @@ def named() -> dict[str, Callable]:
 
 
 def sql() -> dict[str, str]:
-    return {}
+    return oracle.sql(URL_RULES)
