@@ -54,7 +54,14 @@ def prefix_sums(values: Column, block: int = 512) -> Column:
     return let(values, within)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 4096, size: int = 16 << 20) -> None:
+    """Bound the session's Arrow batches by rows and bytes, as texts may be long; both sides buffer whole batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
