@@ -15,20 +15,20 @@ from recordlens.session import materialize, scratch_path
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score for toxicity is below one half."""
-    bounded_batches(spark)
+    bounded_batches(spark, 512, 2 << 20)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.reject(docs, toxicity.train_on(docs, labels))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    bounded_batches(spark)
+    bounded_batches(spark, 512, 2 << 20)
     return ngram_join.drop_duplicates(docs)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of passages that occur more than once."""
-    bounded_batches(spark)
+    bounded_batches(spark, 512, 2 << 20)
     return suffix_dedup.remove_repeats(docs)
 
 
