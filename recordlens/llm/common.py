@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from recordlens.session import materialize
+
 UID = "__uid"
 
 
@@ -17,14 +19,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def with_uid(rows: DataFrame) -> DataFrame:
-    """Number the rows of a table scan, so that repeated ids stay separate rows.
+    """Number rows, so that repeated ids stay separate rows.
 
-    The number is made of the scan's partition and the position in it, so two reads of one
-    unchanged table in one session give the same numbers; a retried task gives them too.
+    The number is made of the partition and the position in it. Partitions follow the cores alive when a job
+    is planned, so a second scan may number otherwise: use the numbers of one job only, or :func:`numbered`.
     """
     return rows.withColumn(UID, F.monotonically_increasing_id())
 
 
+def numbered(rows: DataFrame, folder: str) -> DataFrame:
+    """``rows`` written once below ``folder`` with their numbers, for results that later jobs join to them."""
+    return materialize(with_uid(rows), "rows", folder)
+
+
 def prefix_sums(values: Column, block: int = 512) -> Column:
     """Sums of all earlier elements, for arrays of any length, in two levels."""
 

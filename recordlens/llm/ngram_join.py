@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from recordlens.llm.common import UID, block_components, into_blocks, runs, with_uid
+from recordlens.llm.common import UID, block_components, into_blocks, numbered, runs
 from recordlens.llm.components import components
 from recordlens.session import materialize, scratch_path
 
@@ -224,14 +224,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def classes(
-    docs: DataFrame, threshold: float = 0.8, trees: int = 16, depth: int = 5, recall: float = 0.999, slack: float = 0.25
+def classes(docs: DataFrame, **options) -> DataFrame:
+    """uid, doc_id, n_shingles, n_links, class_id, kept for every row of ``docs`` (doc_id, text)."""
+    folder = scratch_path(docs.sparkSession, "ngrams")
+    return _classes(numbered(docs.select("doc_id", "text"), folder), folder, **options)
+
+
+def _classes(
+    rows: DataFrame,
+    folder: str,
+    threshold: float = 0.8,
+    trees: int = 16,
+    depth: int = 5,
+    recall: float = 0.999,
+    slack: float = 0.25,
 ) -> DataFrame:
-    """uid, doc_id, n_shingles, n_links, class_id, kept for every row of ``docs``, a scan with doc_id and text."""
-    spark = docs.sparkSession
-    folder = scratch_path(spark, "ngrams")
+    """The classes of numbered rows, written below ``folder``."""
     forest = Forest(trees, depth, threshold, recall)
-    rows = with_uid(docs.select(F.col("doc_id").cast("long"), "text"))
+    rows = rows.select(UID, F.col("doc_id").cast("long"), "text")
     signed = rows.select(UID, "doc_id", "text").mapInArrow(
         _signatures(forest),
         f"{UID} bigint, doc_id bigint, n bigint, set1 bigint, set2 bigint, keys array<bigint>, signature binary",
@@ -306,6 +316,8 @@ def classes(
 
 
 def drop_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, a table scan, without all but one of each group of near copies; same columns."""
-    gone = classes(docs, **options).where("not kept").select(UID)
-    return with_uid(docs).join(gone, UID, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` without all but one of each group of near copies; same columns."""
+    folder = scratch_path(docs.sparkSession, "ngrams")
+    rows = numbered(docs, folder)
+    gone = _classes(rows, folder, **options).where("not kept").select(UID)
+    return rows.join(gone, UID, "left_anti").select(*docs.columns)

@@ -19,7 +19,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from recordlens.llm.common import UID, let, prefix_sums, with_uid
+from recordlens.llm.common import UID, let, numbered, prefix_sums, with_uid
 from recordlens.session import materialize, scratch_path
 
 ASSIGN = (
@@ -103,13 +103,16 @@ def ownership(found: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, max_owners: int = 3) -> DataFrame:
     """Spans of every row: uid, doc_id, spans (all candidates), live (hashes that look live).
 
-    ``docs`` is a table scan with doc_id, text and source. A candidate looks live while at most
+    ``docs`` has doc_id, text and source. A candidate looks live while at most
     ``max_owners`` sources have it.
     """
-    spark = docs.sparkSession
-    folder = scratch_path(spark, "secrets")
+    return _scan(with_uid(docs), scratch_path(docs.sparkSession, "secrets"), max_owners)
+
+
+def _scan(rows: DataFrame, folder: str, max_owners: int) -> DataFrame:
+    """The scan of rows that have their numbers, written below ``folder``."""
     spans = candidate_spans(F.col("text"))
-    every = materialize(with_uid(docs).select(UID, "doc_id", "source", spans.alias("spans")), "spans", folder)
+    every = materialize(rows.select(UID, "doc_id", "source", spans.alias("spans")), "spans", folder)
     found = every.where(F.size("spans") > 0)
     owners = ownership(found).where(F.col("n_owners") <= max_owners)
     mine = found.select(UID, F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"]))).alias("hash"))
@@ -143,9 +146,10 @@ def redact(docs: DataFrame, max_owners: int = 3, mark: str = "[SECRET]") -> Data
     Only rows with candidates are joined; all others pass by without a shuffle. Overlapping spans are replaced
     as one. A column n_chars, when there is one, follows the new text.
     """
-    rows = with_uid(docs)
+    folder = scratch_path(docs.sparkSession, "secrets")
+    rows = numbered(docs, folder)
     live = (
-        scan(docs, max_owners)
+        _scan(rows, folder, max_owners)
         .select(UID, F.filter("spans", lambda s: F.array_contains("live", s["hash"])).alias("__live"))
         .where(F.size("__live") > 0)
     )

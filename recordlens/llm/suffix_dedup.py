@@ -33,7 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from recordlens.llm.common import UID, runs, with_uid
+from recordlens.llm.common import UID, numbered, runs
 from recordlens.session import materialize, scratch_path
 
 BASE = 0x9E3779B97F4A7C15
@@ -300,14 +300,11 @@ def _sort_groups(length: int):
     return sort
 
 
-def repeated_ranges(docs: DataFrame, length: int = 400, most_pieces: int = 4000) -> DataFrame:
+def repeated_ranges(rows: DataFrame, folder: str, length: int = 400, most_pieces: int = 4000) -> DataFrame:
     """uid and its byte ranges (array of struct low, high, end exclusive) that are inside repeated strings.
 
-    ``docs`` is a table scan with a text column; documents without such ranges have no row.
+    ``rows`` are numbered rows with a text column, written below ``folder``; those without such ranges have no row.
     """
-    spark = docs.sparkSession
-    folder = scratch_path(spark, "suffixes")
-    rows = with_uid(docs.select("text"))
     every = rows.select(UID, "text").mapInArrow(
         _find_pieces(length), f"{UID} bigint, first bigint, many int, key bigint, whole bigint"
     )
@@ -405,7 +402,9 @@ def apply_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
         return pd.DataFrame(out, columns=["kept", "n_bytes", "n_removed", "n_spans"])
 
     cut = F.pandas_udf(remove, "kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
-    joined = with_uid(docs).join(repeated_ranges(docs, length).withColumnRenamed("ranges", "__ranges"), UID, "left")
+    folder = scratch_path(docs.sparkSession, "suffixes")
+    rows = numbered(docs, folder)
+    joined = rows.join(repeated_ranges(rows, folder, length).withColumnRenamed("ranges", "__ranges"), UID, "left")
     return joined.withColumn("__cut", cut("text", "__ranges")).drop(UID, "__ranges")
 
 
@@ -421,7 +420,7 @@ def report(docs: DataFrame, length: int = 400) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """``docs``, a table scan, without the repeated bytes; a column n_chars, when there is one, follows the text."""
+    """``docs`` without the repeated bytes; a column n_chars, when there is one, follows the text."""
     out = apply_ranges(docs, length)
 
     def text_of(kept: pd.Series) -> pd.Series:
