@@ -271,15 +271,19 @@ def _gradient(emission: np.ndarray, gold: np.ndarray, transition: np.ndarray, st
     return grad_e, grad_t, grad_e[:, 0].sum(axis=0)
 
 
-def train_on(docs: DataFrame, rows: int = 400, window: int = 4096) -> Model:
+def train_on(docs: DataFrame, rows: int = 400, window: int = 4096, most_languages: int = 256) -> Model:
     """Fit on at most ``rows`` documents per language, without every fourth by hash.
 
     Of each, one window of at most ``window`` characters at a place set by the id's hash is fetched, so the sample
-    on the driver is bounded however long the texts are. At most 256 languages are learned.
+    on the driver is bounded however long the texts are. All languages are learned; as each takes a megabyte of weights,
+    over ``most_languages`` distinct labels are an error.
     """
     usable = docs.where("lang is not null and doc_id is not null and text is not null")
     usable = usable.where(remainder(F.col("doc_id"), 4) != 2)
-    languages = [r.lang for r in usable.select("lang").distinct().orderBy("lang").limit(256).collect()]
+    labels = usable.select("lang").distinct().orderBy("lang").limit(most_languages + 1)
+    languages = [r.lang for r in labels.collect()]
+    if len(languages) > most_languages:
+        raise ValueError(f"over {most_languages} distinct values of lang; clean them or raise most_languages")
     picked = None
     for lang in languages:
         ids = usable.where(F.col("lang") == lang).select("doc_id", "lang")

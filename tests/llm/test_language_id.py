@@ -122,3 +122,16 @@ def test_edges(spark, model):
     assert lid.predict(df.limit(0), model).count() == 0
     untrained = lid.train_on(df.limit(0))
     assert {r.lang_pred for r in lid.predict(df, untrained).collect()} == {"und"}
+
+
+def test_too_many_languages_are_an_error(spark):
+    rows = [(i, "the house and the garden", f"a{i:04d}", "x") for i in range(400)]
+    rows += [(1000 + i, "der hund und die katze", "de", "x") for i in range(8)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    with pytest.raises(ValueError, match="over 256 distinct"):
+        lid.train_on(df)
+    few = df.where("doc_id >= 1000 or doc_id < 4")
+    n = few.where(lid.remainder(lid.F.col("doc_id"), 4) != 2).select("lang").distinct().count()
+    assert n > 1 and len(lid.train_on(few, most_languages=n).languages) == n
+    with pytest.raises(ValueError, match="most_languages"):
+        lid.train_on(few, most_languages=n - 1)
