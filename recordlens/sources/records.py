@@ -46,7 +46,10 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 def parse_fingerprint_map(df: DataFrame, json: Column, *keep: str) -> DataFrame:
     """Entries of JSON id-to-hash objects; a corrupt or non-object text gives no rows."""
-    entries = F.from_json(json, "map<string,string>")
+    return _fingerprints(df, F.from_json(json, "map<string,string>"), *keep)
+
+
+def _fingerprints(df: DataFrame, entries: Column, *keep: str) -> DataFrame:
     parsed = df.select(*keep, F.explode(entries).alias("_k", "_v"))
     return parsed.select(
         *keep, strip("_k").alias("work_item_id"), filled(F.col("_v")).alias("fingerprint")
@@ -54,13 +57,21 @@ def parse_fingerprint_map(df: DataFrame, json: Column, *keep: str) -> DataFrame:
 
 
 def load_fingerprints(spark: SparkSession, path: str, *, whole_files: bool = False) -> DataFrame:
-    """Fingerprint side file(s) with one JSON object per line, read line by line.
+    """Fingerprint side file(s), read line by line: a JSON object per line, or one indented object with an entry per line.
 
-    ``whole_files`` reads files that spread one object over several lines; each is then one row, so it is
-    for files of bounded size.
+    Any other line is an error. ``whole_files`` reads files that spread one object over lines in another way; each is then
+    one row, so it is for files of bounded size, and a corrupt one gives no rows.
     """
-    lines = spark.read.text(path, wholetext=whole_files)
-    return parse_fingerprint_map(lines.select("value"), F.col("value"))
+    lines = spark.read.text(path, wholetext=whole_files).select("value")
+    if whole_files:
+        return parse_fingerprint_map(lines, F.col("value"))
+    line = strip("value")
+    entry = F.concat(F.lit("{"), F.regexp_replace(line, ",$", ""), F.lit("}"))
+    parsed = F.from_json(F.when(line.startswith("{"), line).otherwise(entry), "map<string,string>")
+    wrong = F.raise_error(F.concat(F.lit("no fingerprints in this line; try whole_files=True: "), F.left(line, F.lit(80))))
+    return _fingerprints(
+        lines.where(~line.isin("", "{", "}")), F.coalesce(parsed, wrong.cast("map<string,string>"))
+    )
 
 
 def export_fingerprints(fingerprints: DataFrame, path: str) -> None:

@@ -53,6 +53,17 @@ def test_fingerprint_files(spark, tmp_path):
     assert got == {"1": "ab", "2": "cd"}
 
 
+def test_indented_fingerprints_are_read_by_default(spark, tmp_path):
+    (tmp_path / "map.json").write_text(json.dumps({" 1 ": " ab ", "2": "c,d", 'q"': "{"}, indent=2, sort_keys=True))
+    (tmp_path / "lines.json").write_text('{"3": "ef", "4": "gh"}\n\n{}\n{"5": "ij"}\n')
+    got = {r.work_item_id: r.fingerprint for r in load_fingerprints(spark, str(tmp_path)).collect()}
+    assert got == {"1": "ab", "2": "c,d", 'q"': "{", "3": "ef", "4": "gh", "5": "ij"}
+    for text in ('{"1":\n"ab"}', '{"1": "ab",\n"2": "cd"}', "[1, 2]"):
+        (tmp_path / "other.json").write_text(text)
+        with pytest.raises(Exception, match="whole_files=True"):
+            load_fingerprints(spark, str(tmp_path / "other.json")).collect()
+
+
 def test_fingerprint_export(spark, tmp_path):
     df = spark.range(50).select(
         F.col("id").cast("string").alias("work_item_id"), F.sha2(F.col("id").cast("string"), 256).alias("fingerprint")
