@@ -1,8 +1,8 @@
 """Secret scan: candidates by pattern, then what the whole corpus says about who owns them.
 
 Built-in DataFrame functions only. Candidates are found per text; their hashes are counted over the
-corpus by the documents (repositories) and sources (owners) they occur in. A value that many
-owners share is an example someone copied; one that stays with few owners looks live. Counting combines in
+corpus by the documents (repositories) and sources (owners) they occur in. A value that many owners share, or that
+very many documents hold, is an example someone copied; one that stays with few of both looks live. Counting combines in
 each task before it shuffles, so a value in a third of all rows costs one row per task.
 
 Kinds: ``assign``, ``access`` and ``hex`` are always reported. ``bare`` spans (a long run of
@@ -100,21 +100,21 @@ def ownership(found: DataFrame) -> DataFrame:
     return per_owner.groupBy("hash").agg(F.sum("docs").alias("n_docs"), F.count("*").alias("n_owners"))
 
 
-def scan(docs: DataFrame, max_owners: int = 3) -> DataFrame:
+def scan(docs: DataFrame, max_owners: int = 3, max_docs: int = 1000) -> DataFrame:
     """Spans of every row: uid, doc_id, spans (all candidates), live (hashes that look live).
 
     ``docs`` has doc_id, text and source. A candidate looks live while at most
-    ``max_owners`` sources have it.
+    ``max_owners`` sources and ``max_docs`` documents have it.
     """
-    return _scan(with_uid(docs), scratch_path(docs.sparkSession, "secrets"), max_owners)
+    return _scan(with_uid(docs), scratch_path(docs.sparkSession, "secrets"), max_owners, max_docs)
 
 
-def _scan(rows: DataFrame, folder: str, max_owners: int) -> DataFrame:
+def _scan(rows: DataFrame, folder: str, max_owners: int, max_docs: int) -> DataFrame:
     """The scan of rows that have their numbers, written below ``folder``."""
     spans = candidate_spans(F.col("text"))
     every = materialize(rows.select(UID, "doc_id", "source", spans.alias("spans")), "spans", folder)
     found = every.where(F.size("spans") > 0)
-    owners = ownership(found).where(F.col("n_owners") <= max_owners)
+    owners = ownership(found).where((F.col("n_owners") <= max_owners) & (F.col("n_docs") <= max_docs))
     mine = found.select(UID, F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"]))).alias("hash"))
     live = mine.join(owners, "hash").groupBy(UID).agg(F.array_sort(F.collect_list("hash")).alias("live"))
     return every.join(live, UID, "left").select(
@@ -140,7 +140,7 @@ def report(scanned: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, max_owners: int = 3, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, max_owners: int = 3, mark: str = "[SECRET]", max_docs: int = 1000) -> DataFrame:
     """``docs`` with every live-looking span replaced by ``mark``; same rows and columns.
 
     Only rows with candidates are joined; all others pass by without a shuffle. Overlapping spans are replaced
@@ -149,7 +149,7 @@ def redact(docs: DataFrame, max_owners: int = 3, mark: str = "[SECRET]") -> Data
     folder = scratch_path(docs.sparkSession, "secrets")
     rows = numbered(docs, folder)
     live = (
-        _scan(rows, folder, max_owners)
+        _scan(rows, folder, max_owners, max_docs)
         .select(UID, F.filter("spans", lambda s: F.array_contains("live", s["hash"])).alias("__live"))
         .where(F.size("__live") > 0)
     )

@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from recordlens.llm import secret_scans
 from recordlens.llm.queries import op5_secret_scans
 
@@ -98,3 +100,14 @@ def test_hot_values_are_counted_by_owner(spark):
     )
     rows = secret_scans.report(secret_scans.scan(df)).groupBy("n_live").count().collect()
     assert [tuple(r) for r in rows] == [(0, 3000)]
+
+
+def test_values_that_one_source_copies_widely_are_examples(spark):
+    bare = "Zm9vYmFyMTIzNDU2Nzg5MGFiY2RlZg"
+    df = spark.range(3000).selectExpr(
+        "id as doc_id", f"concat('see {bare} or token=live0123456789', if(id < 1000, '', '_')) as text", "'hot' as source"
+    )
+    rows = secret_scans.report(secret_scans.scan(df)).groupBy("n_live", F.contains("spans", F.lit("bare"))).count()
+    assert sorted(map(tuple, rows.collect())) == [(0, False, 2000), (1, False, 1000)]
+    redacted = secret_scans.redact(df).where("text like '%[SECRET]%'")
+    assert redacted.count() == 1000 and redacted.where(f"text like '%{bare}%'").count() == 1000
