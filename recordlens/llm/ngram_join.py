@@ -1,11 +1,11 @@
-"""N-gram Jaccard join: a MinHash LSH forest finds candidates, exact sets decide.
+"""N-gram Jaccard join: banded MinHash LSH finds candidates, exact sets decide.
 
 Texts are sets of five-word shingles (words are runs of other than ASCII white space; a shorter text is one shingle
 of all its words). Texts with one set are merged first and counted by weight.
 
-1. Every set gets ``trees`` labels of ``depth`` minimum hashes. In each tree, equal prefixes of the labels lie side by side
-   when sorted. The prefix length starts at the full depth and is shortened until the forest finds a pair at the
-   threshold with at least ``recall``; more similar pairs are found with more.
+1. Every set gets ``trees`` labels of ``depth`` minimum hashes. Fixed bands replace a forest of sorted labels: one prefix
+   length for all sets, set before data are read, is the longest that finds a pair at the threshold with at least
+   ``recall``; more similar pairs are found with more. Sets are matched by the hash of that prefix.
 2. Sets under one prefix are compared by their whole signatures, block against block; what cannot reach the threshold
    is left (``slack`` below it, over five standard deviations). Blocks emit one edge per row, never the pairs.
 3. The connected groups are compared exactly, again in blocks: counts of common shingles over the sizes.
@@ -71,7 +71,7 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 class Forest:
-    """Sizes of the forest and the prefix length that reaches the recall."""
+    """Sizes of the bands and the prefix length that reaches the recall."""
 
     def __init__(self, trees: int, depth: int, threshold: float, recall: float, seed: int = 5):
         self.trees, self.depth, self.threshold = trees, depth, threshold
