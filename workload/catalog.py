@@ -136,8 +136,7 @@ def workbook_links_(spark, folder):
 @query
 def publish_snapshot(spark, folder):
     base = scratch_path(spark, "publish")
-    index = _hash_index(spark, folder).drop("embedding")
-    publish_index(index, base)
+    publish_index(_hash_index(spark, folder), base)
     return load_index(spark, base).select("work_item_id", "title", "fingerprint")
 
 
