@@ -1,10 +1,12 @@
-"""Ordering of mixed display values."""
+"""Ordering of mixed display values, and places in a global sort."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recordlens.functions.display import sort_class, sort_number, sort_text
+from recordlens.operators.joins import small_side
+from recordlens.session import materialize
 
 
 def display_keys(df: DataFrame, column: str) -> DataFrame:
@@ -26,3 +28,31 @@ def display_sort(df: DataFrame, column: str, desc: bool = False) -> DataFrame:
     keys = [F.col(c) for c in ("sort_class", "sort_number", "sort_text", column, "_tie")]
     order = [k.desc_nulls_last() if desc else k.asc_nulls_first() for k in keys]
     return keyed.orderBy(*order).drop("_tie")
+
+
+def with_positions(
+    stored: DataFrame, order: list[Column], name: str = "position", group: str | None = None, folder: str | None = None
+) -> DataFrame:
+    """``stored`` rows with their place, from 0, in the sort by ``order``, within each value of ``group`` if one is named.
+
+    Rows are dealt into ranges of the sort keys, sorted in their tasks and written below ``folder`` with their place in the
+    range; the counts per range (as many rows as ranges, plus one per group) give the offsets. So no task sees the whole
+    table or a whole group. Rows that are equal in ``order`` lie in one range: end it with a column that tells copies apart.
+    ``stored`` is scanned twice, as ranges are sampled first. NULL is a group of its own, before all others.
+    """
+    keys = ([F.col(group).asc_nulls_first()] if group else []) + list(order)
+    inner = F.struct(*[F.col(c) for c in stored.columns]).alias("row")
+    by = F.col(f"row.{group}") if group else F.lit(None).cast("string")
+    sorted_rows = stored.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = sorted_rows.select(inner, F.spark_partition_id().alias("part"), place.alias("place"))
+    written = materialize(numbered, f"positions-{name}", folder)
+    counts = written.groupBy("part", by.alias("by")).agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = Window.partitionBy("by").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        F.col("part").alias("o_part"), F.col("by").alias("o_by"),
+        (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"),
+    )
+    same = (F.col("part") == F.col("o_part")) & by.eqNullSafe(F.col("o_by"))
+    joined = written.join(small_side(materialize(offsets, f"offsets-{name}", folder)), same)
+    return joined.select("row.*", (F.col("place") + F.col("shift")).alias(name))
