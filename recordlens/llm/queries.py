@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame
 
-from recordlens.llm import best_fit_packing, byte_bpe, embedding_dedup, language_id, ngram_join, oracle, quality_rules, secret_scans, suffix_dedup, toxicity, url_filters
+from recordlens.llm import (
+    best_fit_packing, byte_bpe, decontamination, embedding_dedup, language_id, merkle_manifest, ngram_join, oracle,
+    oracle_audits, quality_rules, secret_scans, source_divergence, suffix_dedup, toxicity, url_filters,
+)
 from recordlens.llm.common import UID, table
 
 URL_RULES = (
@@ -26,6 +28,8 @@ def op1_url_filters(spark, folder) -> DataFrame:
 
 
 def op2_byte_bpe(spark, folder) -> DataFrame:
+    import public_tokenizers  # only this query needs the vocabulary files
+
     path = public_tokenizers.path(VOCABULARY_FILE)
     vocabulary = byte_bpe.Vocabulary.read(path, public_tokenizers.PATTERN)
     return byte_bpe.digests(table(spark, folder, "documents"), vocabulary)
@@ -65,9 +69,21 @@ def op10_ngram_join(spark, folder) -> DataFrame:
     return ngram_join.classes(table(spark, folder, "documents")).drop(UID)
 
 
+def op11_decontamination(spark, folder) -> DataFrame:
+    return decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_source_divergence(spark, folder) -> DataFrame:
+    return source_divergence.audit(table(spark, folder, "documents"))
+
+
+def op13_merkle_manifest(spark, folder) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, folder, "documents"), merkle_manifest.lowered_where_sampled())
+
+
 def named() -> dict[str, Callable]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def sql() -> dict[str, str]:
-    return oracle.sql(URL_RULES)
+    return oracle.sql(URL_RULES) | oracle_audits.sql()
