@@ -251,10 +251,13 @@ def _prefixes(docs: DataFrame, windows: DataFrame, widths: list[int], folder: st
     return windows.select("number", "words", "n").join(chosen, "number")
 
 
-def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+def find(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, keep: list[str] | None = None
+) -> DataFrame:
     """Per document ``row`` (a struct of its columns), n_words, ``spans`` (word ranges that are hit, end exclusive) and ``items``.
 
-    ``items`` are the sorted ids of the items whose windows occur in it.
+    ``items`` are the sorted ids of the items whose windows occur in it. ``keep`` names the columns that ``row`` has, all
+    by default; without the text, little is written and shuffled.
     """
     spark = docs.sparkSession
     folder = scratch_path(spark, "decontamination")
@@ -264,7 +267,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
     widths = [r[0] for r in windows.select(F.least("n", F.lit(shingle))).distinct().orderBy(1).collect()]  # at most SHINGLE values
     prefixes = materialize(_prefixes(docs, windows, widths, folder), "prefixes", folder)
     held = bitmap(prefixes.select("shingle").distinct())
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), F.col("text").alias("text"))
     # A schema object, as names of columns may hold any character.
     schema = T.StructType([rows.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("candidates", CANDIDATES)])
     read = rows.mapInArrow(_find_shingles(held, widths, window), schema)
@@ -316,7 +319,7 @@ def merged(ranges: Column) -> Column:
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per document: words, words hit, items and the digest of their ids."""
-    found = find(docs.select("doc_id", "text"), items)
+    found = find(docs, items, keep=["doc_id"])
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["high"] - s["low"])
     return found.select(
         "row.doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
