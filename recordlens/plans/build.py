@@ -44,13 +44,18 @@ def make_index(records: DataFrame, vectors: DataFrame, *, strict: bool = True) -
     return paired.select(*INDEX_COLUMNS)
 
 
-def check_dimension(index: DataFrame, dim: int | None) -> None:
-    """Raise when the stored vectors have another length than the embedder gives."""
+def check_dimension(index: DataFrame, dim: int | None, known: tuple[int | None, int | None] | None = None) -> None:
+    """Raise when the stored vectors have another length than the embedder gives.
+
+    ``known`` are the shortest and longest length if they were counted before; else all vectors are scanned.
+    """
     if dim is None:
         return
-    found = dimension_range(index.where(F.col("embedding").isNotNull())).first()
-    if found.min_dim is not None and (found.min_dim != dim or found.max_dim != dim):
-        raise ValueError(f"embedding dimension mismatch: index {found.min_dim} to {found.max_dim}, new {dim}")
+    if known is None:
+        found = dimension_range(index.where(F.col("embedding").isNotNull())).first()
+        known = (found.min_dim, found.max_dim)
+    if known[0] is not None and known != (dim, dim):
+        raise ValueError(f"embedding dimension mismatch: index {known[0]} to {known[1]}, new {dim}")
 
 
 def renormalize_index(index: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from recordlens.session import materialize
 from recordlens.sources.store import overlay
 
 NEW, MODIFIED, UNCHANGED = "new", "modified", "unchanged"
+UNKNOWN = (None, None)
 
 
 class Refresh(NamedTuple):
@@ -65,6 +66,58 @@ def snapshot_diff(previous: DataFrame, snapshot: DataFrame) -> DataFrame:
     return classify(current, stored).select("work_item_id", "fingerprint", "status")
 
 
+def bucketed_diff(
+    index: DataFrame, snapshot: DataFrame, *, include_tags: bool = False, buckets: int = 4096, folder: str | None = None
+) -> DataFrame:
+    """As :func:`snapshot_diff`, but ids are compared only in buckets that differ.
+
+    Ids are dealt to buckets by hash. A bucket's digest is the sum of the hashes of its (id, fingerprint) pairs, taken with
+    map-side combining on either side, with its number of rows; where both agree, all ids of the bucket are unchanged and
+    stay where they are. The snapshot's ids and hashes are stored below ``folder`` first, so its texts are read once.
+    """
+    hashed = with_fingerprint(clean_records(snapshot), include_tags=include_tags)
+    slim = hashed.select("work_item_id", "fingerprint", "changed_at", "seq")
+    current = dedupe_last(slim, "work_item_id", "changed_at", "seq").select("work_item_id", "fingerprint")
+    bucket = F.pmod(F.xxhash64("work_item_id"), F.lit(buckets)).cast("int")
+    current = materialize(current.withColumn("bucket", bucket), "current", folder)
+    stored = index.select("work_item_id", "fingerprint", "changed_at")
+    # An index built from repeated records may hold an id twice: its first row stands for it.
+    stored = dedupe_first(stored, "work_item_id", "changed_at").select("work_item_id", "fingerprint", bucket.alias("bucket"))
+    stored = materialize(stored, "stored", folder)
+
+    def digests(rows: DataFrame, side: str) -> DataFrame:
+        pair = F.xxhash64("work_item_id", "fingerprint").cast("decimal(38,0)")
+        return rows.groupBy("bucket").agg(F.sum(pair).alias(f"{side}_sum"), F.count("*").alias(f"{side}_n"))
+
+    met = digests(current, "new").join(digests(stored, "old"), "bucket", "left")
+    same = F.col("new_sum").eqNullSafe(F.col("old_sum")) & F.col("new_n").eqNullSafe(F.col("old_n"))
+    # As many rows as buckets, at most.
+    judged = F.broadcast(materialize(met.select("bucket", same.alias("same")), "buckets", folder))
+    known = current.join(judged, "bucket")
+    differing = known.where(~F.col("same")).drop("same", "bucket")
+    old = stored.join(judged.where(~F.col("same")), "bucket", "left_semi").drop("bucket")
+    changed = classify(differing, old).select("work_item_id", "fingerprint", "status")
+    unchanged = known.where("same").select("work_item_id", "fingerprint", F.lit(UNCHANGED).alias("status"))
+    return changed.unionByName(unchanged)
+
+
+def snapshot_delta(
+    index: DataFrame, snapshot: DataFrame, diff: DataFrame, embedder, *, include_tags: bool = False
+) -> DataFrame:
+    """New and changed index rows of a snapshot, by its stored difference; only these are embedded."""
+    touched = diff.where(F.col("status") != UNCHANGED).select("work_item_id", "fingerprint")
+    # By hash too, so that of several rows of an id the one that the difference is about is taken.
+    hashed = with_fingerprint(clean_records(snapshot), include_tags=include_tags)
+    meant = hashed.join(small_side(touched), ["work_item_id", "fingerprint"], "left_semi")
+    last = dedupe_last(meant, "work_item_id", "changed_at", "seq")
+    absent = missing_columns(snapshot, ("tags", "link", "bug_url"))
+    if absent:
+        kept = index.select("work_item_id", *absent).join(small_side(touched.select("work_item_id")), "work_item_id", "left_semi")
+        kept = dedupe_first(kept, "work_item_id")
+        last = last.drop(*absent).join(kept, "work_item_id", "left")
+    return last.withColumn("embedding", embedder.column(record_text())).select(*INDEX_COLUMNS)
+
+
 def diff_counts(diff: DataFrame) -> DataFrame:
     """Counts per status and whether anything changed, one row."""
     counts = [F.count_if(F.col("status") == s).alias(s) for s in (NEW, MODIFIED, UNCHANGED)]
@@ -87,15 +140,17 @@ def refresh_delta(
     include_tags: bool = False,
     full_table: bool = False,
     scratch: str | None = None,
+    dimensions: tuple[int | None, int | None] | None = None,
 ) -> DataFrame:
     """New and changed index rows with their ``status``; only these are embedded.
 
     ``skip_unchanged=False`` re-embeds every row of the feed, changed or not. ``full_table``
     says that the feed is a whole snapshot, whose rows without title are invalid. Columns that
     the feed does not have keep their stored value. A change older than the stored row is stale
-    and skipped. The deduplicated feed is stored below ``scratch``, which the result reads.
+    and skipped. The deduplicated feed is stored below ``scratch``, which the result reads. ``dimensions`` are the lengths
+    of the shortest and longest stored vector, as a stored index knows them; without them all vectors are scanned.
     """
-    check_dimension(index, embedder.dim)
+    check_dimension(index, embedder.dim, dimensions)
     latest = latest_changes(changes, include_tags=include_tags, full_table=full_table)
     # Stored, as it is used twice and its size decides: while the ids of the feed are few enough
     # to broadcast, the index is only filtered; only then do its matches meet the feed.

@@ -4,42 +4,115 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from recordlens.plans.refresh import NEW, refresh_delta
+from recordlens.plans.build import check_dimension
+from recordlens.plans.refresh import MODIFIED, NEW, UNKNOWN, bucketed_diff, diff_counts, refresh_delta, snapshot_delta
 from recordlens.schema import INDEX_COLUMNS
-from recordlens.session import discard, scratch_path
-from recordlens.sources.store import load_index, next_version, publish_delta, versions
+from recordlens.session import discard, materialize, scratch_path
+from recordlens.sources.store import MOST_DELTAS, StaleWrite, compact, load_index, publish_delta, read_state
 
 
 def apply_changes(
-    base_path: str, changes: DataFrame, embedder, *, tag: str | None = None, **options
+    base_path: str, changes: DataFrame, embedder, *, tag: str | None = None, most_deltas: int = MOST_DELTAS, **options
 ) -> dict[str, int]:
     """Refresh the index below ``base_path`` and return added, updated and skipped counts.
 
-    Only the delta is written. With a ``tag`` the call can be repeated: it reads the state from
-    before its own version and overwrites that version. Counts are taken while writing.
+    Only the delta is written, and all counts are taken while the feed is read and the delta written. With a ``tag`` the call
+    can be repeated: once its delta is committed, a later call returns the counts of the first. If another writer commits rows
+    meanwhile, the delta is made anew from the newest state. Then the deltas are compacted when there are over
+    ``most_deltas``.
     """
     spark = changes.sparkSession
-    number = next_version(versions(spark, base_path), tag)
-    index = load_index(spark, base_path, number - 1)
-    scratch = scratch_path(spark, "refresh")
-    delta = refresh_delta(index, changes, embedder, scratch=scratch, **options)
-    seen = Observation()
+    while True:
+        state = read_state(spark, base_path)
+        if tag in state.tags:
+            return _as_counts(state.tags[tag]["stats"])
+        scratch = scratch_path(spark, "refresh")
+        try:
+            seen = _publish_changes(base_path, state, changes, embedder, scratch, tag, options)
+            break
+        except StaleWrite:
+            continue
+        finally:
+            discard(spark, scratch)
+    if tag:
+        # Another attempt of the same tag may have won; its counts are the committed ones.
+        seen = read_state(spark, base_path).tags[tag]["stats"]
+    compact(spark, base_path, most_deltas)
+    return _as_counts(seen)
+
+
+def _publish_changes(base_path, state, changes, embedder, scratch, tag, options) -> dict[str, int]:
+    spark = changes.sparkSession
+    index = load_index(spark, base_path, state.version)
+    read, written = Observation(), Observation()
+    feed = changes.observe(read, F.count(F.lit(1)).alias("rows"))
+    delta = refresh_delta(index, feed, embedder, scratch=scratch, dimensions=state.dimensions or UNKNOWN, **options)
     counted = delta.observe(
-        seen,
+        written,
         F.count_if(F.col("status") == NEW).alias("added"),
         F.count_if(F.col("status") != NEW).alias("updated"),
     )
-    publish_delta(counted.select(*INDEX_COLUMNS), base_path, tag)
-    added, updated = seen.get["added"], seen.get["updated"]
-    discard(spark, scratch)
-    return {
-        "added": added,
-        "updated": updated,
-        "skipped": max(0, changes.count() - added - updated),
-    }
+    seen = _Together(read, written)
+    publish_delta(counted.select(*INDEX_COLUMNS), base_path, tag, after=state.version, counted=seen)
+    return dict(seen.get)
+
+
+class _Together:
+    """The measures of several observations as one."""
+
+    def __init__(self, *observations: Observation):
+        self.observations = observations
+
+    @property
+    def get(self) -> dict:
+        return {k: v for o in self.observations for k, v in o.get.items()}
+
+
+def _as_counts(seen: dict) -> dict[str, int]:
+    skipped = max(0, seen["rows"] - seen["added"] - seen["updated"])
+    return {"added": seen["added"], "updated": seen["updated"], "skipped": skipped}
+
+
+def refresh_from_snapshot(
+    spark: SparkSession, base_path: str, snapshot: DataFrame, embedder, *, include_tags: bool = False,
+    tag: str | None = None, most_deltas: int = MOST_DELTAS,
+) -> dict[str, int]:
+    """Bring the index below ``base_path`` to a full snapshot in one job; nothing is deleted. Counts of ids by status.
+
+    Only ids and hashes of the snapshot meet those of the index, grouped by bucket: buckets with equal digests on both
+    sides are skipped, so an index that barely changed is barely joined. Texts are read again for the changed ids only,
+    and just these are embedded and written, as one delta.
+    """
+    while True:
+        state = read_state(spark, base_path)
+        if tag in state.tags:
+            return state.tags[tag]["stats"]
+        index = load_index(spark, base_path, state.version)
+        check_dimension(index, embedder.dim, state.dimensions or UNKNOWN)
+        scratch = scratch_path(spark, "snapshot-refresh")
+        try:
+            diff = materialize(bucketed_diff(index, snapshot, include_tags=include_tags, folder=scratch), "diff", scratch)
+            counts = diff_counts(diff).drop("changed").first().asDict()
+            delta = snapshot_delta(index, snapshot, diff, embedder, include_tags=include_tags)
+            if counts[NEW] + counts[MODIFIED]:
+                publish_delta(delta, base_path, tag, after=state.version, counted=_Counted(counts))
+            break
+        except StaleWrite:
+            continue
+        finally:
+            discard(spark, scratch)
+    compact(spark, base_path, most_deltas)
+    return counts
+
+
+class _Counted:
+    """Counts that are known already, in the place of an observation."""
+
+    def __init__(self, counts: dict[str, int]):
+        self.get = counts
 
 
 def start_refresh_stream(
@@ -53,9 +126,9 @@ def start_refresh_stream(
 ) -> StreamingQuery:
     """Keep the index below ``base_path`` current from a streaming change feed.
 
-    State lives in the index itself, so the stream needs no watermark, and a batch repeated
-    after a failure overwrites its own version. Batches are numbered per checkpoint folder, so
-    its name is part of their tags.
+    State lives in the index itself, so the stream needs no watermark, and a batch repeated after a failure finds its own
+    tag committed. Batches are numbered per checkpoint folder, so its name is part of their tags. Deltas are compacted
+    between batches.
     """
     owner = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 

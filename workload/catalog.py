@@ -49,13 +49,14 @@ from recordlens.sources.records import (
     parse_refresh_state,
     scan_metadata,
 )
-from recordlens.sources.store import load_index, publish_index
+from recordlens.sources.store import load_index, publish_index, read_state
 from recordlens.sources.workbook import evaluate_hyperlinks, resolve_shared, workbook_links
-from recordlens.streaming.refresh import start_refresh_stream
+from recordlens.streaming.refresh import refresh_from_snapshot, start_refresh_stream
 from workload import inputs as given
 
 EMBEDDER = HashEmbedder(64)
 QUERY, QUERY_VECTOR, TOP = "the", 7, 10
+STREAM_FILES = 3
 LOOKUP_ID = "42"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +83,15 @@ def _event_index(spark, folder) -> DataFrame:
     return build_index(dedupe_last(until, "BugID", "changed_at", "seq"), EMBEDDER)
 
 
+def _refreshed_events(spark, folder):
+    """Refresh of the stored index of the state at the cut by the rest of the feed."""
+    base = scratch_path(spark, "events")
+    publish_index(_event_index(spark, folder), base)
+    state = read_state(spark, base)
+    feed = given.changes_since(spark, folder)
+    return refresh(load_index(spark, base), feed, EMBEDDER, dimensions=state.dimensions)
+
+
 def _query_vector(spark, folder):
     rows = given.table(spark, folder, "embeddings")
     return rows.where(F.col("vec_id") == QUERY_VECTOR).select("embedding").scalar()
@@ -140,6 +150,14 @@ def publish_snapshot(spark, folder):
     return load_index(spark, base).select("work_item_id", "title", "fingerprint")
 
 
+@query
+def published_vectors(spark, folder):
+    """The vectors of a published index, element by element."""
+    base = scratch_path(spark, "vectors")
+    publish_index(_hash_index(spark, folder), base)
+    return _vector_entries(load_index(spark, base), "work_item_id")
+
+
 @query
 def export_csv_(spark, folder):
     path = scratch_path(spark, "csv")
@@ -425,14 +443,12 @@ def index_counts(spark, folder):
 
 @query
 def refresh_stats(spark, folder):
-    return refresh(
-        _event_index(spark, folder), given.changes_since(spark, folder), EMBEDDER
-    ).stats
+    return _refreshed_events(spark, folder).stats
 
 
 @query
 def index_upsert(spark, folder):
-    done = refresh(_event_index(spark, folder), given.changes_since(spark, folder), EMBEDDER)
+    done = _refreshed_events(spark, folder)
     nonzero = F.size(F.filter("embedding", lambda x: x != 0))
     return done.index.select(
         "work_item_id", "title", "semantic_text", "fingerprint",
@@ -554,16 +570,29 @@ def diagnostics_report(spark, folder):
 
 @query
 def stream_refresh(spark, folder):
-    """Index of the state at the cut, then the whole feed as a stream of changes."""
+    """Index of the state at the cut, then the whole feed as a stream of several batches, folded in between."""
     base = scratch_path(spark, "stream")
     publish_index(_event_index(spark, folder), base)
-    schema = given.table(spark, folder, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    running = start_refresh_stream(given.as_changes(events), base, EMBEDDER, f"{base}/progress")
+    feed = given.changes(spark, folder)
+    # One file a batch. Batches may come in any order, as a change older than the stored row is skipped.
+    feed.repartitionByRange(STREAM_FILES, "changed_at").write.parquet(f"{base}/feed")
+    events = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/feed")
+    running = start_refresh_stream(events, base, EMBEDDER, f"{base}/progress", most_deltas=1)
     running.awaitTermination()
     return load_index(spark, base).select("work_item_id", "title", "semantic_text", "fingerprint")
 
 
+@query
+def snapshot_refresh(spark, folder):
+    """A stored index refreshed from a later snapshot: difference, vectors, upsert, write, counts."""
+    base = scratch_path(spark, "snapshot")
+    publish_index(_hash_index(spark, folder), base)
+    stats = refresh_from_snapshot(spark, base, given.revised_records(spark, folder), EMBEDDER)
+    index = load_index(spark, base).select("work_item_id", "title", "fingerprint", F.size(F.filter("embedding", lambda x: x != 0)).alias("nonzero"))
+    counts = {name: F.lit(value).cast("bigint") for name, value in stats.items()}
+    return index.withColumns(counts)
+
+
 def named() -> dict[str, Query]:
     """Queries by name; a trailing underscore only keeps clear of an imported name."""
     return {name.rstrip("_"): fn for name, fn in QUERIES.items()}

@@ -210,6 +210,19 @@ def sql() -> dict[str, str]:
             FROM documents LEFT JOIN pages ON page_id = doc_id""",
         "publish_snapshot": f"""WITH {RECORDS} SELECT id AS work_item_id, title,
             {print_of()} AS fingerprint FROM rec""",
+        "published_vectors": f"WITH {HASH_INDEX} {entries('vec', 'id', 'work_item_id')}",
+        "snapshot_refresh": f"""WITH {DIFF},
+            touched AS (SELECT * FROM new JOIN diff USING (id) WHERE status <> 'unchanged'),
+            rows AS (SELECT id, title, body, fp, id IN (SELECT id FROM touched) AS changed FROM old
+                     JOIN (SELECT id, title, body FROM rec) USING (id) WHERE id NOT IN (SELECT id FROM touched)
+                     UNION ALL SELECT id, title, body, new.fp, true FROM new WHERE id IN (SELECT id FROM touched)),
+            src AS (SELECT rows.id, {text_of('title', 'tags', 'body')} AS txt FROM rows
+                    LEFT JOIN (SELECT CAST(doc_id AS VARCHAR) AS id, lang AS tags FROM documents) t USING (id)), {hashed('src')}
+            SELECT rows.id AS work_item_id, title, fp AS fingerprint, {NONZERO} AS nonzero,
+            (SELECT count(*) FROM diff WHERE status = 'new') AS new,
+            (SELECT count(*) FROM diff WHERE status = 'modified') AS modified,
+            (SELECT count(*) FROM diff WHERE status = 'unchanged') AS unchanged
+            FROM rows JOIN vec ON vec.id = rows.id""",
         "export_csv": """SELECT CAST(doc_id AS VARCHAR) AS work_item_id,
             nullif(split_part(text, chr(10), 1), '') AS title, source AS link FROM documents""",
         "fingerprint_merge": f"""WITH {REVISED} SELECT coalesce(old.id, new.id) AS work_item_id,
