@@ -12,6 +12,9 @@ from recordlens.llm import best_fit_packing, ngram_join, secret_scans, suffix_de
 from recordlens.llm.common import bounded_batches
 from recordlens.session import materialize, scratch_path
 
+# A passage of over 50 words has more bytes than this in the languages of the corpus, at 4 letters a word and a space.
+PASSAGE_BYTES = 200
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score for toxicity is below one half."""
@@ -29,7 +32,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of passages that occur more than once."""
     bounded_batches(spark, 512, 2 << 20)
-    return suffix_dedup.remove_repeats(docs)
+    return suffix_dedup.remove_repeats(docs, PASSAGE_BYTES)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
