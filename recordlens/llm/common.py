@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from recordlens.session import materialize
 
 UID = "__uid"
+LEAST_BITS, MOST_BITS, BITS_PER_VALUE = 1 << 20, 1 << 27, 64
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -32,6 +33,12 @@ def numbered(rows: DataFrame, folder: str) -> DataFrame:
     return materialize(with_uid(rows), "rows", folder)
 
 
+def nested(docs: DataFrame, *columns: str) -> DataFrame:
+    """``row``, a struct of all columns, and ``columns`` beside it, so that no name of a column can clash with others."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("row"), *[F.col(c).alias(c) for c in columns])
+
+
 def prefix_sums(values: Column, block: int = 512) -> Column:
     """Sums of all earlier elements, for arrays of any length, in two levels."""
 
@@ -133,3 +140,30 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
             at = cuts(table).tolist()
             for low, high in zip([0, *at], [*at, table.num_rows]):
                 yield table.slice(low, high - low)
+
+
+def bitmap(values: DataFrame, column: str) -> bytes:
+    """A bit set for every distinct bigint of ``column``, at the place of its lowest bits.
+
+    It has ``BITS_PER_VALUE`` bits a value and never more than ``MOST_BITS`` (16 MB), so it may be shipped to tasks whatever
+    the table's size. It only lets others pass: what passes must still be compared or joined.
+    """
+    n = values.count()
+    bits = LEAST_BITS
+    while bits < min(n * BITS_PER_VALUE, MOST_BITS):
+        bits *= 2
+    place = F.pmod(F.col(column), F.lit(bits))
+    bytes_set = values.groupBy(F.shiftright(place, 3).cast("int").alias("at")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1), (place % 8).cast("int"))).alias("set")
+    )
+    # As many rows as the bitmap has bytes, at most.
+    found = bytes_set.toArrow()
+    out = np.zeros(bits // 8, np.uint8)
+    out[found["at"].to_numpy()] = found["set"].to_numpy()
+    return out.tobytes()
+
+
+def passing(values: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which of the unsigned 64-bit values have their bit set in the bytes of a bitmap."""
+    place = values & np.uint64(len(held) * 8 - 1)
+    return (held[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0

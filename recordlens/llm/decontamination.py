@@ -13,7 +13,7 @@ same order. This is a set containment join of windows with documents, by the pre
    Then the words are compared in full, so hashes decide nothing.
 
 While documents are read, a bitmap passes over shingles that no window has. Its size is bounded whatever the benchmark's:
-beyond ``MOST_BITS`` more shingles pass it by chance and meet nothing in the join. Windows are broadcast while they are
+beyond ``common.MOST_BITS`` more shingles pass it by chance and meet nothing in the join. Windows are broadcast while they are
 small and joined in pieces beyond that, so a passage that a third of all rows hold does not gather in one task. Texts are
 read in blocks; per hit a task holds its words only.
 
@@ -32,12 +32,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from recordlens.llm.common import bitmap, passing
 from recordlens.operators.joins import spread_join
 from recordlens.session import materialize, scratch_path
 
 WINDOW, SHINGLE = 10, 3
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
-BITS_PER_SHINGLE = 64
 BLOCK = 1 << 18
 # A byte of a word in lower case; all others become spaces.
 WORD_BYTES = bytes(
@@ -162,34 +161,12 @@ def windows_of(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -
     return named.mapInArrow(_windows_of(window, shingle), "item string, words string, n int, shingles array<bigint>")
 
 
-def bitmap(shingles: DataFrame) -> bytes:
-    """A bit set for every value of the column ``shingle``, at the place of its lowest bits; at most ``MOST_BITS`` bits."""
-    n = shingles.count()
-    bits = LEAST_BITS
-    while bits < min(n * BITS_PER_SHINGLE, MOST_BITS):
-        bits *= 2
-    place = F.pmod(F.col("shingle"), F.lit(bits))
-    bytes_set = shingles.groupBy(F.shiftright(place, 3).cast("int").alias("at")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1), (place % 8).cast("int"))).alias("set")
-    )
-    # As many rows as the bitmap has bytes, at most.
-    found = bytes_set.toArrow()
-    out = np.zeros(bits // 8, np.uint8)
-    out[found["at"].to_numpy()] = found["set"].to_numpy()
-    return out.tobytes()
-
-
-def _passing(value: np.ndarray, held: np.ndarray) -> np.ndarray:
-    place = value & np.uint64(len(held) * 8 - 1)
-    return (held[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
 def _count_shingles(held: bytes, widths: list[int]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(held, np.uint8)
         for batch in batches:
             for _, value in Texts(batch.column("text")).shingles(widths):
-                found, n = np.unique(value[_passing(value, bits)], return_counts=True)
+                found, n = np.unique(value[passing(value, bits)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["shingle", "n"])
 
     return count
@@ -208,7 +185,7 @@ def _find_shingles(held: bytes, widths: list[int], window: int):
         kind = pa.struct([("shingle", pa.int64()), ("at", pa.int32()), ("before", pa.int32()), ("words", pa.string())])
         for batch in batches:
             texts = Texts(batch.column("text"))
-            found = [(at[p], value[p]) for at, value in texts.shingles(widths) if len(p := np.flatnonzero(_passing(value, bits)))]
+            found = [(at[p], value[p]) for at, value in texts.shingles(widths) if len(p := np.flatnonzero(passing(value, bits)))]
             at = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
             value = np.concatenate([f[1] for f in found]) if found else np.empty(0, np.uint64)
             order = np.argsort(at, kind="stable")
@@ -238,7 +215,7 @@ def _find_shingles(held: bytes, widths: list[int], window: int):
 def _prefixes(docs: DataFrame, windows: DataFrame, widths: list[int], folder: str) -> DataFrame:
     """(number, words, n, shingle, offset): the windows all of whose shingles occur, each with the rarest of them."""
     shingles = materialize(windows.select(F.explode("shingles").alias("shingle")).distinct(), "shingles", folder)
-    counted = docs.select("text").mapInArrow(_count_shingles(bitmap(shingles), widths), "shingle bigint, n bigint")
+    counted = docs.select("text").mapInArrow(_count_shingles(bitmap(shingles, "shingle"), widths), "shingle bigint, n bigint")
     counted = counted.groupBy("shingle").agg(F.sum("n").alias("often"))
     often = materialize(counted.join(shingles, "shingle", "left_semi"), "often", folder)
     places = windows.select("number", F.posexplode("shingles").alias("offset", "shingle"), F.size("shingles").alias("due"))
@@ -266,7 +243,7 @@ def find(
     windows = materialize(windows.withColumn("number", F.monotonically_increasing_id()), "numbered", folder)
     widths = [r[0] for r in windows.select(F.least("n", F.lit(shingle))).distinct().orderBy(1).collect()]  # at most SHINGLE values
     prefixes = materialize(_prefixes(docs, windows, widths, folder), "prefixes", folder)
-    held = bitmap(prefixes.select("shingle").distinct())
+    held = bitmap(prefixes.select("shingle").distinct(), "shingle")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), F.col("text").alias("text"))
     # A schema object, as names of columns may hold any character.
     schema = T.StructType([rows.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("candidates", CANDIDATES)])

@@ -33,8 +33,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from recordlens.llm.common import UID, numbered, runs
-from recordlens.session import materialize, scratch_path
+from recordlens.llm.common import UID, bitmap, nested, numbered, passing, runs
+from recordlens.operators.joins import spread_join
+from recordlens.session import discard, materialize, scratch_path
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -216,15 +217,35 @@ def _starts_to_ranges(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-def _find_pieces(length: int):
+def _find_keys(length: int):
+    """Texts to the keys of their pieces."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [pieces(_bytes_of(text), length)[2] for text in batch.column(0)]
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], names=["key"])
+
+    return find
+
+
+def _bytes_of(text) -> np.ndarray:
+    return np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
+
+
+def _find_pieces(length: int, held: bytes):
+    """Texts to those of their pieces whose key passes the bitmap."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(held, np.uint8)
         for batch in batches:
             uids = batch.column(0).to_numpy()
             columns, sizes = [], []
             for text in batch.column(1):
-                raw = np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
-                columns.append(pieces(raw, length))
-                sizes.append(len(columns[-1][0]))
+                found = pieces(_bytes_of(text), length)
+                often = passing(found[2].view(np.uint64), bits)
+                columns.append([column[often] for column in found])
+                sizes.append(int(often.sum()))
             if columns:
                 first, many, key, whole = (np.concatenate(c) for c in zip(*columns))
                 yield pa.RecordBatch.from_arrays(
@@ -303,14 +324,24 @@ def _sort_groups(length: int):
 def repeated_ranges(rows: DataFrame, folder: str, length: int = 400, most_pieces: int = 4000) -> DataFrame:
     """uid and its byte ranges (array of struct low, high, end exclusive) that are inside repeated strings.
 
-    ``rows`` are numbered rows with a text column, written below ``folder``; those without such ranges have no row.
+    ``rows`` are numbered rows with a text column, written below ``folder``; those without such ranges have no row. The keys
+    are counted first, so only pieces whose key occurs twice are ever written with their places; tables are deleted once
+    the next one is written.
     """
-    every = rows.select(UID, "text").mapInArrow(
-        _find_pieces(length), f"{UID} bigint, first bigint, many int, key bigint, whole bigint"
+    spark = rows.sparkSession
+
+    def done(*names: str) -> None:
+        for name in names:
+            discard(spark, f"{folder}/{name}")
+
+    keys = rows.select("text").mapInArrow(_find_keys(length), "key bigint")
+    often = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "often", folder)
+    passed = rows.select(UID, "text").mapInArrow(
+        _find_pieces(length, bitmap(often, "key")), f"{UID} bigint, first bigint, many int, key bigint, whole bigint"
     )
-    every = materialize(every, "pieces", folder)
-    often = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    shared = materialize(every.join(often, "key"), "shared", folder)
+    passed = materialize(passed, "passed", folder)
+    shared = materialize(spread_join(passed, often, ["key"], "left_semi"), "shared", folder)
+    done("passed", "often")
     distinct = materialize(
         shared.groupBy("key", "whole").agg(
             F.count("*").alias("copies"), F.first(UID).alias(UID), F.first("first").alias("first"), F.first("many").alias("many")
@@ -356,9 +387,9 @@ def repeated_ranges(rows: DataFrame, folder: str, length: int = 400, most_pieces
     )
     single = distinct.where("copies = 1").select("key", "whole")
     repeated = materialize(whole.unionByName(partly.join(single, ["key", "whole"], "left_semi")), "repeated", folder)
-    return (
-        shared.select(UID, "first", "key", "whole")
-        .join(repeated, ["key", "whole"])
+    done("distinct", "cut")
+    ranges = (
+        spread_join(shared.select(UID, "first", "key", "whole"), repeated, ["key", "whole"])
         .select(
             UID,
             F.struct(
@@ -368,6 +399,9 @@ def repeated_ranges(rows: DataFrame, folder: str, length: int = 400, most_pieces
         .groupBy(UID)
         .agg(F.array_sort(F.collect_list("range")).alias("ranges"))
     )
+    ranges = materialize(ranges, "ranges", folder)
+    done("shared", "repeated")
+    return ranges
 
 
 def merged(ranges) -> list[tuple[int, int]]:
@@ -391,7 +425,7 @@ def _outside(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def apply_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
-    """``docs`` with the columns kept (binary, what is left), n_bytes, n_removed and n_spans in ``__cut``."""
+    """``row`` (a struct of the columns of ``docs``) and ``cut``: kept (binary, what is left), n_bytes, n_removed, n_spans."""
 
     def remove(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
         out = []
@@ -403,31 +437,27 @@ def apply_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
 
     cut = F.pandas_udf(remove, "kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
     folder = scratch_path(docs.sparkSession, "suffixes")
-    rows = numbered(docs, folder)
-    joined = rows.join(repeated_ranges(rows, folder, length).withColumnRenamed("ranges", "__ranges"), UID, "left")
-    return joined.withColumn("__cut", cut("text", "__ranges")).drop(UID, "__ranges")
+    rows = numbered(nested(docs, "text"), folder)
+    joined = rows.join(repeated_ranges(rows, folder, length), UID, "left")
+    return joined.select("row", cut("text", "ranges").alias("cut"))
 
 
 def report(docs: DataFrame, length: int = 400) -> DataFrame:
     """One row per document: sizes, what is removed, and the digest of what is left."""
     return apply_ranges(docs.select("doc_id", "text"), length).select(
-        "doc_id",
-        "__cut.n_bytes",
-        "__cut.n_removed",
-        "__cut.n_spans",
-        F.sha2("__cut.kept", 256).alias("kept_sha256"),
+        "row.doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256).alias("kept_sha256")
     )
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """``docs`` without the repeated bytes; a column n_chars, when there is one, follows the text."""
-    out = apply_ranges(docs, length)
 
     def text_of(kept: pd.Series) -> pd.Series:
         return kept.map(lambda raw: raw.decode("utf-8", "ignore"))
 
-    text = F.when(F.col("__cut.n_removed") > 0, F.pandas_udf(text_of, "string")("__cut.kept")).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
+    text = F.when(F.col("cut.n_removed") > 0, F.pandas_udf(text_of, "string")("cut.kept")).otherwise(F.col("row.text"))
+    out = apply_ranges(docs, length).select("row", text.alias("left"))
+    changed = {"text": F.col("left")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.length("left").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -1,5 +1,6 @@
 """Every stage of the pipeline against the brute-force version of its operator, on its own input."""
 
+import random
 from collections import defaultdict
 
 import corpus_pipeline
@@ -36,7 +37,7 @@ def test_stages_equal_brute_force(spark, tables, tmp_path):
 
     assert sorted(i for i, _ in pairs(single)) == sorted(r[0] for r in ngrams.brute(pairs(clean)) if r[-1])
 
-    left = {r[0]: r[1] - r[2] for r in suffixes.brute(pairs(single), 400)}
+    left = {r[0]: r[1] - r[2] for r in suffixes.brute(pairs(single), corpus_pipeline.PASSAGE_BYTES)}
     assert {i: len(t.encode()) for i, t in pairs(cut)} == left
 
     after = dict(pairs(redacted))
@@ -55,3 +56,25 @@ def test_run_gives_the_last_stage(spark, tables):
     out = corpus_pipeline.run(spark, tables)
     assert out.columns == ["doc_id", "piece", "first_word", "n_words", "bin_id", "bin_size", "place"]
     assert out.count() > 0
+
+
+def test_passages_of_51_words_are_removed(spark, tables):
+    """Passages planted in documents that share nothing else go; the words around them and other documents stay."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    passages = [" ".join(word() for _ in range(51)) for _ in range(4)]
+    rows = []
+    for i in range(40):
+        own = [" ".join(word() for _ in range(60)) for _ in range(2)]
+        planted = f" {passages[i % 4]} " if i < 20 else " | "
+        rows.append((i, planted.join(own), "en", "s", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(pairs(corpus_pipeline.remove_repeated_passages(spark, docs, tables)))
+    for i, text, *_ in rows:
+        if i >= 20:
+            assert out[i] == text
+        else:
+            left, right = text.split(passages[i % 4])
+            # An edge may go with the passage where its bytes are the same in both documents by chance.
+            assert len(passages[i % 4]) >= corpus_pipeline.PASSAGE_BYTES and passages[i % 4][20:-20] not in out[i]
+            assert out[i].startswith(left[:-20]) and out[i].endswith(right[20:])
