@@ -33,10 +33,17 @@ def numbered(rows: DataFrame, folder: str) -> DataFrame:
     return materialize(with_uid(rows), "rows", folder)
 
 
-def nested(docs: DataFrame, *columns: str) -> DataFrame:
-    """``row``, a struct of all columns, and ``columns`` beside it, so that no name of a column can clash with others."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.select(row.alias("row"), *[F.col(c).alias(c) for c in columns])
+def numbered_rows(docs: DataFrame, folder: str) -> DataFrame:
+    """``docs`` written once below ``folder``: the number and ``row``, a struct of all columns, so that no name can clash.
+
+    Take fields from ``row`` where they are needed: a column beside it would be written and shuffled twice.
+    """
+    return numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), folder)
+
+
+def fields(rows: DataFrame, *columns: str) -> DataFrame:
+    """The number and some fields of numbered rows; a scan reads only these."""
+    return rows.select(UID, *[F.col(f"row.{c}").alias(c) for c in columns])
 
 
 def prefix_sums(values: Column, block: int = 512) -> Column:

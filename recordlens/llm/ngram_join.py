@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from recordlens.llm.common import UID, block_components, into_blocks, nested, numbered, runs
+from recordlens.llm.common import UID, block_components, fields, into_blocks, numbered, numbered_rows, runs
 from recordlens.llm.components import components
 from recordlens.session import materialize, scratch_path
 
@@ -318,6 +318,6 @@ def _classes(
 def drop_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without all but one of each group of near copies; same columns."""
     folder = scratch_path(docs.sparkSession, "ngrams")
-    rows = numbered(nested(docs, "doc_id", "text"), folder)
-    gone = _classes(rows, folder, **options).where("not kept").select(UID)
+    rows = numbered_rows(docs, folder)
+    gone = _classes(fields(rows, "doc_id", "text"), folder, **options).where("not kept").select(UID)
     return rows.join(gone, UID, "left_anti").select("row.*")

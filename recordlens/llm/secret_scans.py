@@ -19,7 +19,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from recordlens.llm.common import UID, let, nested, numbered, prefix_sums, with_uid
+from recordlens.llm.common import UID, fields, let, numbered_rows, prefix_sums, with_uid
 from recordlens.session import materialize, scratch_path
 
 ASSIGN = (
@@ -147,20 +147,21 @@ def redact(docs: DataFrame, max_owners: int = 3, mark: str = "[SECRET]", max_doc
     as one. A column n_chars, when there is one, follows the new text.
     """
     folder = scratch_path(docs.sparkSession, "secrets")
-    rows = numbered(nested(docs, "doc_id", "text", "source"), folder)
+    rows = numbered_rows(docs, folder)
     live = (
-        _scan(rows, folder, max_owners, max_docs)
+        _scan(fields(rows, "doc_id", "text", "source"), folder, max_owners, max_docs)
         .select(UID, F.filter("spans", lambda s: F.array_contains("live", s["hash"])).alias("live"))
         .where(F.size("live") > 0)
     )
-    touched = rows.where(has_candidates(F.col("text"))).join(live, UID, "left")
-    text = F.when(F.size("live") > 0, _without(F.col("text"), F.col("live"), mark)).otherwise(F.col("text"))
+    own = F.col("row.text")
+    touched = rows.where(has_candidates(own)).join(live, UID, "left")
+    text = F.when(F.size("live") > 0, _without(own, F.col("live"), mark)).otherwise(own)
     touched = touched.select("row", text.alias("text"))
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
     touched = touched.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
-    untouched = rows.where(~has_candidates(F.col("text"))).select("row.*")
+    untouched = rows.where(~has_candidates(own)).select("row.*")
     return untouched.unionByName(touched)
 
 

@@ -33,7 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from recordlens.llm.common import UID, bitmap, nested, numbered, passing, runs
+from recordlens.llm.common import UID, bitmap, fields, numbered_rows, passing, runs
 from recordlens.operators.joins import spread_join
 from recordlens.session import discard, materialize, scratch_path
 
@@ -437,9 +437,9 @@ def apply_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
 
     cut = F.pandas_udf(remove, "kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
     folder = scratch_path(docs.sparkSession, "suffixes")
-    rows = numbered(nested(docs, "text"), folder)
-    joined = rows.join(repeated_ranges(rows, folder, length), UID, "left")
-    return joined.select("row", cut("text", "ranges").alias("cut"))
+    rows = numbered_rows(docs, folder)
+    joined = rows.join(repeated_ranges(fields(rows, "text"), folder, length), UID, "left")
+    return joined.select("row", cut("row.text", "ranges").alias("cut"))
 
 
 def report(docs: DataFrame, length: int = 400) -> DataFrame:
