@@ -56,3 +56,26 @@ def with_positions(
     same = (F.col("part") == F.col("o_part")) & by.eqNullSafe(F.col("o_by"))
     joined = written.join(small_side(materialize(offsets, f"offsets-{name}", folder)), same)
     return joined.select("row.*", (F.col("place") + F.col("shift")).alias(name))
+
+
+def last_before(stored: DataFrame, group: list[str], order: str, value: str, folder: str | None = None) -> DataFrame:
+    """``stored`` with ``value`` replaced by its last non-NULL value in an earlier row of the group, by ``order``.
+
+    An as-of join of a table with itself, without a task that holds a group: rows are dealt into ranges of (group, order)
+    and written; each range carries values forward on its own, and starts from the last value of the ranges before it, of
+    which a group has one row per range. Rows equal in ``order`` see the same earlier rows.
+    """
+    keys = [F.col(c) for c in (*group, order)]
+    written = materialize(
+        stored.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), f"ranges-{value}", folder
+    )
+    held = written.where(F.col(value).isNotNull()).groupBy("_part", *group).agg(F.max_by(value, order).alias("_held"))
+    # Ranges without a value of the group carry the one before them, so every range of a group has a row.
+    parts = written.select("_part", *group).distinct().join(held, ["_part", *group], "left")
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select("_part", *group, F.last("_held", ignorenulls=True).over(before).alias("_held"))
+    within = Window.partitionBy("_part", *group).orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    local = written.withColumn("_local", F.last(value, ignorenulls=True).over(within))
+    joined = local.join(carried, ["_part", *group], "left")
+    found = F.coalesce("_local", "_held")
+    return joined.withColumn(value, found).drop("_part", "_local", "_held").select(*stored.columns)

@@ -10,7 +10,7 @@ from recordlens.functions.text import filled, fingerprint, fingerprint_undelimit
 from recordlens.functions.text import strip
 from recordlens.operators.cleaning import clean_records
 from recordlens.operators.dedupe import dedupe_first, dedupe_last
-from recordlens.operators.joins import small_side
+from recordlens.operators.joins import small_side, spread_join
 from recordlens.plans.build import check_dimension, record_text, with_fingerprint
 from recordlens.schema import INDEX_COLUMNS, canonical, missing_columns
 from recordlens.session import materialize
@@ -225,7 +225,10 @@ def fingerprint_audit(snapshot: DataFrame, fingerprints: DataFrame) -> DataFrame
         F.col("work_item_id").alias("plain_id"), F.col("fingerprint").alias("_plain_stored")
     )
     by_id = fingerprints.select("work_item_id", F.col("fingerprint").alias("_stored"))
-    joined = hashed.join(by_plain, "plain_id", "left").join(by_id, "work_item_id", "left")
+    # Blank ids are one key that many rows may share, so a heavy key is joined in pieces.
+    hashed = materialize(hashed, "hashed")
+    plain_met = materialize(spread_join(hashed, by_plain, ["plain_id"], "left"), "plain-met")
+    joined = spread_join(plain_met, by_id, ["work_item_id"], "left")
     no = F.lit(False)
     return joined.select(
         "plain_id",

@@ -1,8 +1,8 @@
 """Spreadsheet workbooks (.xlsx) as tables of cells, and the record links in them.
 
-Each workbook is one row of ``(path, content)``; tasks unzip it and stream its XML into rows, one
-pass per kind of row. Everything after that is joins and column expressions. Broken workbooks
-give no rows.
+Each workbook is one row of ``(path, content)``; tasks unzip it and stream its XML into rows of all kinds, in one pass. A
+book's last row says that it was read to its end; rows of a book without it are not used, so one that is broken anywhere gives
+nothing, and nothing is held back while it is read. Everything after that is joins and column expressions.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import io
 import zipfile
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import islice
 from xml.etree import ElementTree
 
@@ -29,6 +29,7 @@ from recordlens.functions.links import (
     shift_rows,
 )
 from recordlens.functions.text import strip, to_number
+from recordlens.operators.ordering import last_before
 from recordlens.session import materialize
 
 # XML name spaces of the workbook format.
@@ -51,31 +52,56 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content")
 
 
-def _scan(workbooks: DataFrame, schema: str, rows_of: Callable) -> DataFrame:
-    """Rows that ``rows_of(zip)`` yields per workbook, in batches of bounded length."""
-    names = [f.split()[0] for f in schema.split(", ")]
+# Kinds of rows of a workbook; each fills its own columns.
+CELL, STRING, ANCHOR, TARGET, WHOLE = "cell", "string", "anchor", "target", "whole"
+_COLUMNS = {
+    "part": pa.string(), "row_order": pa.int64(), "place": pa.int32(), "row": pa.int64(), "row_label": pa.string(),
+    "ref": pa.string(), "kind": pa.string(), "stored": pa.string(), "inline": pa.string(), "formula": pa.string(),
+    "shared": pa.string(), "idx": pa.int64(), "text": pa.string(), "rid": pa.string(), "target": pa.string(),
+}
+_SQL = {pa.string(): "string", pa.int64(): "bigint", pa.int32(): "int"}
+_SCHEMA = "path string, " + ", ".join(f"`{n}` {_SQL[t]}" for n, t in _COLUMNS.items())
+_FIELDS = {
+    CELL: ("row_order", "place", "row", "row_label", "ref", "kind", "stored", "inline", "formula", "shared"),
+    STRING: ("idx", "text"),
+    ANCHOR: ("ref", "rid"),
+    TARGET: ("rid", "target"),
+    WHOLE: (),
+}
+
+
+def workbook_parts(workbooks: DataFrame, name: str = "parts") -> DataFrame:
+    """All rows of all whole workbooks, written to the shared folder once; ``part`` tells their kind.
+
+    A broken workbook leaves rows behind until it breaks, but not its last one, by which whole ones are told.
+    """
+    scanned = materialize(workbooks.mapInArrow(_scan, _SCHEMA), name)
+    whole = scanned.where(F.col("part") == WHOLE).select("path")
+    return scanned.where(F.col("part") != WHOLE).join(whole, "path", "left_semi")
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content in zip(batch["path"].to_pylist(), batch["content"]):
+            try:
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as book:
+                    for part, rows in ((CELL, _cell_rows), (STRING, _string_rows), (ANCHOR, _anchor_rows), (TARGET, _target_rows)):
+                        yield from _batches(path, part, rows(book))
+                yield from _batches(path, WHOLE, iter([()]))
+            except _BROKEN:
+                continue
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch["path"].to_pylist(), batch["content"]):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content.as_py())) as book:
-                        # Held until the workbook has parsed, as a broken one gives no rows.
-                        parsed = list(_batches(names, types, path, rows_of(book)))
-                except _BROKEN:
-                    continue
-                yield from parsed
 
-    types = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
-    types = {f.split()[0]: types[f.split()[1]] for f in schema.split(", ")}
-    return workbooks.mapInArrow(parse, schema)
+def _batches(path: str, part: str, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    while chunk := list(islice(rows, _EMIT)):
+        given = dict(zip(_FIELDS[part], zip(*chunk))) | {"part": [part] * len(chunk)}
+        nothing = [None] * len(chunk)
+        arrays = [pa.array(given.get(n, nothing), t) for n, t in _COLUMNS.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([path] * len(chunk), pa.string()), *arrays], names=["path", *_COLUMNS])
 
 
-def _batches(names, types, path: str, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    while chunk := list(islice(rows, _EMIT)):
-        columns = [[path] * len(chunk), *zip(*chunk)]
-        arrays = [pa.array(c, types[n]) for n, c in zip(names, columns)]
-        yield pa.RecordBatch.from_arrays(arrays, names)
+def _of_kind(parts: DataFrame, part: str) -> DataFrame:
+    return parts.where(F.col("part") == part).select("path", *_FIELDS[part])
 
 
 def _relations(book: zipfile.ZipFile, name: str) -> list[dict]:
@@ -148,33 +174,24 @@ def _anchor_rows(book: zipfile.ZipFile) -> Iterator[tuple]:
             yield anchor.attrib["ref"], anchor.attrib[f"{REL}id"]
 
 
-def raw_cells(workbooks: DataFrame) -> DataFrame:
-    """Cells of the first sheet as they are stored."""
-    schema = (
-        "path string, row_order bigint, place int, row bigint, row_label string, ref string, "
-        "kind string, stored string, inline string, formula string, shared string"
-    )
-    return _scan(workbooks, schema, _cell_rows)
-
-
-def shared_strings(workbooks: DataFrame) -> DataFrame:
-    return _scan(workbooks, "path string, idx bigint, text string", _string_rows)
-
-
-def hyperlinks(workbooks: DataFrame) -> DataFrame:
+def hyperlinks(parts: DataFrame) -> DataFrame:
     """Link target per cell reference."""
-    anchors = _scan(workbooks, "path string, ref string, rid string", _anchor_rows)
-    targets = _scan(workbooks, "path string, rid string, target string", _target_rows)
-    return anchors.join(targets, ["path", "rid"]).select("path", "ref", "target")
+    joined = _of_kind(parts, ANCHOR).join(_of_kind(parts, TARGET), ["path", "rid"])
+    return joined.select("path", "ref", "target")
 
 
 def cells(workbooks: DataFrame) -> DataFrame:
+    """Cells of the first sheets with their text."""
+    return cells_of(workbook_parts(workbooks))
+
+
+def cells_of(parts: DataFrame) -> DataFrame:
     """Cells with their text: shared strings are looked up, an unknown index gives empty text."""
     # Cells that need no string get numbers of their own, so no join key gathers them all.
     unique = -F.lit(1) - F.col("row_order") * F.lit(1 << 20) - F.col("place")
     index = F.when(F.col("kind") == "s", strip("stored").try_cast("bigint"))
-    raw = raw_cells(workbooks).withColumn("idx", F.coalesce(index, unique))
-    joined = raw.join(shared_strings(workbooks), ["path", "idx"], "left")
+    raw = _of_kind(parts, CELL).withColumn("idx", F.coalesce(index, unique))
+    joined = raw.join(_of_kind(parts, STRING), ["path", "idx"], "left")
     value = (
         F.when((F.col("kind") == "s") & F.col("stored").isNotNull(), F.col("text"))
         .when(F.col("kind") == "inlineStr", F.col("inline"))
@@ -224,23 +241,19 @@ def sheet_records(workbooks: DataFrame, headers=None) -> DataFrame:
 def resolve_shared(formulas: DataFrame) -> DataFrame:
     """Give dependents of a shared formula its text, moved from the base row to their own.
 
-    ``formulas(path, row_order, row, formula, shared)``; the first row that has text is the base.
+    ``formulas(path, row_order, row, formula, shared)``, stored; the last row before with the same ``shared`` that has text
+    is the base, as a number may be used again further down.
     """
-    base = (
-        formulas.where(F.col("shared").isNotNull() & (F.col("formula") != ""))
-        .groupBy("path", "shared")
-        .agg(F.min(F.struct("row_order", "row", "formula")).alias("b"))
+    base = F.when(
+        F.col("shared").isNotNull() & (F.col("formula") != ""), F.struct("row", "formula")
     )
-    # Rows without a shared formula get keys of their own, so no join key gathers them all.
+    # Rows without a shared formula get keys of their own, so they share no base.
     own = F.coalesce(F.col("shared"), F.concat(F.lit("row "), F.col("row_order")))
-    keyed = formulas.withColumn("_key", own)
-    base = base.withColumnRenamed("shared", "_key")
-    joined = keyed.join(base, ["path", "_key"], "left")
-    usable = (F.col("formula") == "") & (F.col("b.row_order") < F.col("row_order"))
-    moved = shift_rows(F.col("b.formula"), F.col("b.row"), F.col("row"))
-    return joined.withColumn("formula", F.when(usable, moved).otherwise(F.col("formula"))).drop(
-        "b", "_key"
-    )
+    keyed = formulas.withColumns({"_key": own, "_base": base})
+    joined = last_before(keyed, ["path", "_key"], "row_order", "_base")
+    usable = (F.col("formula") == "") & F.col("_base").isNotNull()
+    moved = shift_rows(F.col("_base.formula"), F.col("_base.row"), F.col("row"))
+    return joined.withColumn("formula", F.when(usable, moved).otherwise(F.col("formula"))).drop("_base", "_key")
 
 
 def evaluate_hyperlinks(formulas: DataFrame, sheet: DataFrame) -> DataFrame:
@@ -282,7 +295,8 @@ def workbook_links(workbooks: DataFrame) -> DataFrame:
     A link comes from the cell's hyperlink, else its formula, else its text. The cells are
     written to the shared folder once, so that unzipping is not repeated by every join.
     """
-    sheet = materialize(cells(workbooks), "cells")
+    parts = workbook_parts(workbooks)
+    sheet = materialize(cells_of(parts), "cells")
     head = header_cells(sheet)
 
     def column_of(names: tuple[str, ...]):
@@ -304,13 +318,13 @@ def workbook_links(workbooks: DataFrame) -> DataFrame:
     )
     rows = rows.select("path", "row_order", "work_item_id", "c.*").where(F.col("ref").isNotNull())
     # Formulas of rows without an id still count as the base of a shared one, so ids come after.
-    resolved = resolve_shared(rows).where(F.col("work_item_id").isNotNull())
+    resolved = resolve_shared(materialize(rows, "link-rows")).where(F.col("work_item_id").isNotNull())
     resolved = materialize(resolved, "link-cells")
     record_id = F.col("work_item_id").cast("string")
     urls = evaluate_hyperlinks(
         resolved.where(F.col("formula") != "").withColumn("record_id", record_id), sheet
     )
-    joined = resolved.join(hyperlinks(workbooks), ["path", "ref"], "left").join(
+    joined = resolved.join(hyperlinks(parts), ["path", "ref"], "left").join(
         urls, ["path", "row_order"], "left"
     )
     from_cell = F.coalesce(F.nullif("url", F.lit("")), F.col("value"))

@@ -19,7 +19,7 @@ from recordlens.functions.text import (
 from recordlens.functions.vectors import dot, l2_normalize, norm
 from recordlens.operators.cleaning import clean_records
 from recordlens.operators.dedupe import dedupe_first, dedupe_last
-from recordlens.operators.ordering import display_sort
+from recordlens.operators.ordering import display_keys, display_sort, with_positions
 from recordlens.operators.quality import dimension_range, is_normalized, row_alignment
 from recordlens.operators.scoring import keyword_score
 from recordlens.plans.build import (
@@ -325,7 +325,7 @@ def hyperlink_formula(spark, folder):
 
 @query
 def shared_formula(spark, folder):
-    """Every source is a workbook whose first row holds the formula of all its rows."""
+    """Every source is a workbook whose first row holds the formula of all its rows; one source holds a third of them."""
     docs = given.documents(spark, folder)
     first = docs.groupBy("source").agg(F.min("doc_id").alias("first"))
     row = F.col("doc_id") + 2
@@ -340,6 +340,32 @@ def shared_formula(spark, folder):
     return resolve_shared(cells).select(F.col("row_order").alias("doc_id"), "formula")
 
 
+@query
+def shared_formula_reused(spark, folder):
+    """As before, but each seventh document of a source starts the formula anew under the same number."""
+    docs = given.documents(spark, folder)
+    first = docs.groupBy("source").agg(F.min("doc_id").alias("first"))
+    row = F.col("doc_id") + 2
+    text = F.concat(F.lit('HYPERLINK("https://host/'), F.col("doc_id"), F.lit('/"&$A'), row, F.lit(',"row")'))
+    starts = (F.col("doc_id") == F.col("first")) | (F.col("doc_id") % 7 == 0)
+    cells = docs.join(first, "source").select(
+        F.col("source").alias("path"),
+        F.col("doc_id").alias("row_order"),
+        row.alias("row"),
+        F.when(starts, text).otherwise("").alias("formula"),
+        F.lit("0").alias("shared"),
+    )
+    return resolve_shared(cells).select(F.col("row_order").alias("doc_id"), "formula")
+
+
+@query
+def display_positions(spark, folder):
+    """The place of every event in the descending display order of its value, ties by its number."""
+    keyed = materialize(display_keys(_mixed_values(spark, folder), "value_text"), "display-keys")
+    keys = [F.desc_nulls_last(c) for c in ("sort_class", "sort_number", "sort_text", "value_text")]
+    return with_positions(keyed, [*keys, F.asc("event_id")]).select("event_id", "value_text", "position")
+
+
 # Vectors and scores
 
 

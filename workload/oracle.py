@@ -286,6 +286,10 @@ def sql() -> dict[str, str]:
         "shared_formula": """SELECT doc_id,
             'HYPERLINK("https://host/edit/"&$A' || (doc_id + 2) || ',"row")' AS formula
             FROM documents""",
+        "shared_formula_reused": """SELECT doc_id, 'HYPERLINK("https://host/' ||
+            last_value(CASE WHEN doc_id = first OR doc_id % 7 = 0 THEN doc_id END IGNORE NULLS) OVER
+              (PARTITION BY source ORDER BY doc_id) || '/"&$A' || (doc_id + 2) || ',"row")' AS formula
+            FROM (SELECT *, min(doc_id) OVER (PARTITION BY source) AS first FROM documents)""",
         "vector_norm": f"SELECT vec_id, {norm('embedding')} AS norm FROM embeddings",
         "is_normalized": f"""SELECT bool_and(abs({norm('embedding')} - 1) <= 1e-3)
             AS is_normalized FROM embeddings""",
@@ -383,6 +387,16 @@ def sql() -> dict[str, str]:
                   {number_of("rtrim(value_text, '%')")} AS num
                   FROM (SELECT event_id, {MIXED} AS value_text
                         FROM (SELECT *, {JSON_K} AS json_k FROM events)))""",
+        "display_positions": f"""WITH keyed AS (SELECT event_id, value_text,
+            CASE WHEN value_text = '' THEN 2 WHEN num IS NOT NULL THEN 0 ELSE 1 END AS sort_class,
+            num AS sort_number,
+            CASE WHEN value_text <> '' AND num IS NULL THEN lower(value_text) ELSE '' END AS sort_text
+            FROM (SELECT event_id, value_text,
+                  {number_of("rtrim(value_text, '%')")} AS num
+                  FROM (SELECT event_id, {MIXED} AS value_text
+                        FROM (SELECT *, {JSON_K} AS json_k FROM events))))
+            SELECT event_id, value_text, row_number() OVER (ORDER BY sort_class DESC, sort_number DESC NULLS LAST,
+            sort_text DESC, value_text DESC, event_id) - 1 AS position FROM keyed""",
         "diagnostics_report": _diagnostics(),
         "stream_refresh": f"""SELECT CAST(user_id AS VARCHAR) AS work_item_id,
             event_type AS title, props AS semantic_text,
