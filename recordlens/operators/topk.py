@@ -5,8 +5,9 @@ of the index in Arrow batches, multiplies it with a block of queries and keeps o
 query. Which rows are kept is exact: the fast product only preselects within its error bound,
 and the survivors are scored again with the left-to-right sum the rest of the engine uses.
 
-A query table within the block bounds is shipped to the tasks; a larger one is cut into hash
-blocks that meet the blocks of the index in a shuffle, so nothing passes through the driver.
+A query table within the block bounds is shipped to the tasks. A larger one is written to the shared folder in blocks, and
+each block in turn is shipped and meets the index in one scan: a block nested scan. So texts and vectors of the index are
+never shuffled, whatever the number of queries; the index is read once per block, and the driver holds one block at a time.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from recordlens.functions.text import id_number, strip
 from recordlens.operators.scoring import BOOSTS, WEIGHTS
+from recordlens.session import materialize, scratch_path
 
 BLOCK_QUERIES = 4096
 BLOCK_BYTES = 64 << 20
@@ -65,8 +67,8 @@ def batch_hits(
 ) -> DataFrame:
     """Top-k hits of ``queries(query_id, query, embedding)`` over the index, ranked.
 
-    Query ids and record ids are unique. The work is quadratic, pairs of queries and rows; a query
-    table beyond the block bounds also moves the index once per query block.
+    Query ids and record ids are unique. The work is quadratic, pairs of queries and rows; a query table beyond the block
+    bounds reads the index once per query block, so the index should be stored.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -85,19 +87,59 @@ def batch_hits(
     )
     size = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(_bytes_of_query()).alias("b")).first()
     if size.n <= block_queries and (size.b or 0) <= block_bytes:
-        hits = top_per_query(_against_shipped_queries(rows, asked, k, weights, boosts), k)
+        hits = top_per_query(_against_shipped_queries(rows, asked, k, weights, boosts, block_rows), k)
         # At most k hits for each of the counted queries; beyond the bound Spark chooses.
         return F.broadcast(hits) if size.n * k <= BROADCAST_HITS else hits
     parts = max(math.ceil(size.n / block_queries), math.ceil(size.b / block_bytes))
-    found = _against_query_blocks(rows, asked, k, weights, boosts, parts, block_rows, block_bytes)
-    return top_per_query(found, k)
+    folder = scratch_path(rows.sparkSession, "query-blocks")
+    for number, block in enumerate(_query_blocks(asked, parts, block_queries, block_bytes, folder)):
+        found = top_per_query(_against_shipped_queries(rows, block, k, weights, boosts, block_rows), k)
+        found.write.parquet(f"{folder}/hits/block={number}")
+    # Every query is in one block, so its hits are ranked already.
+    return rows.sparkSession.read.parquet(f"{folder}/hits").drop("block")
+
+
+def _query_blocks(asked: DataFrame, parts: int, most: int, most_bytes: int, folder: str) -> Iterator[DataFrame]:
+    """The queries in blocks, read from a table that is written once.
+
+    A block is a run of hash buckets whose measured rows and bytes are within both bounds. A bucket that is over one by
+    itself is cut by its ids into even parts.
+    """
+    buckets = F.pmod(F.xxhash64("query_id"), F.lit(parts * 8)).cast("int")
+    sized = asked.withColumns({"_bucket": buckets, "_bytes": _bytes_of_query().cast("bigint")})
+    stored = materialize(sized, "queries", folder)
+    # A row per bucket, eight times as many as blocks.
+    found = stored.groupBy("_bucket").agg(F.count("*").alias("n"), F.sum("_bytes").alias("b")).orderBy("_bucket").collect()
+    held: list[int] = []
+    n = size = 0
+    for bucket in [*found, None]:
+        if bucket is None or (held and (n + bucket.n > most or size + bucket.b > most_bytes)):
+            if held:
+                yield stored.where(F.col("_bucket").between(held[0], held[-1])).drop("_bytes", "_bucket")
+            held, n, size = [], 0, 0
+        if bucket is not None:
+            if bucket.n > most or (bucket.n > 1 and bucket.b > most_bytes):
+                yield from _cut_bucket(stored, bucket, most, most_bytes)
+                continue
+            held, n, size = [*held, bucket._bucket], n + bucket.n, size + bucket.b
+
+
+def _cut_bucket(stored: DataFrame, bucket, most: int, most_bytes: int) -> Iterator[DataFrame]:
+    """Blocks of a bucket that is over a bound by itself: its query ids in order, cut where a bound is met."""
+    rows = stored.where(F.col("_bucket") == bucket._bucket)
+    pieces = max(-(-bucket.n // most), -(-bucket.b // most_bytes))
+    step = max(1, bucket.n // pieces)
+    ordered = rows.select("query_id").orderBy("query_id").toArrow()["query_id"]  # ids of one bucket, about an eighth of a block
+    for at in range(0, len(ordered), step):
+        low, high = ordered[at].as_py(), ordered[min(at + step, len(ordered)) - 1].as_py()
+        yield rows.where(F.col("query_id").between(low, high)).drop("_bytes", "_bucket")
 
 
 def _bytes_of_query():
     return F.coalesce(F.octet_length("query"), F.lit(0)) * 2 + F.size("vector") * 8
 
 
-def _against_shipped_queries(rows, asked, k, weights, boosts) -> DataFrame:
+def _against_shipped_queries(rows, asked, k, weights, boosts, block_rows) -> DataFrame:
     spark = rows.sparkSession
     # Bounded: batch_hits has checked the number and the bytes of the queries.
     block = QueryBlock.from_arrow(asked.toArrow())
@@ -107,40 +149,12 @@ def _against_shipped_queries(rows, asked, k, weights, boosts) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(QueryBlock(*shipped.value), k, weights, boosts)
         for batch in batches:
-            best.add(batch)
+            best.add(batch, block_rows)
         yield best.result()
 
     return rows.mapInArrow(score, _HITS)
 
 
-def _against_query_blocks(rows, asked, k, weights, boosts, parts, block_rows, block_bytes):
-    texts = F.coalesce(F.octet_length("title"), F.lit(0)) + F.coalesce(
-        F.octet_length("body"), F.lit(0)
-    )
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(texts).alias("b")).first()
-    row_parts = max(1, math.ceil(size.n / block_rows), math.ceil((size.b or 0) / block_bytes))
-
-    def blocks(n: int, own: str):
-        return F.pmod(F.xxhash64(own), F.lit(n)).cast("int")
-
-    def every(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = asked.withColumn("q_part", blocks(parts, "query_id"))
-    left = left.withColumn("r_part", every(row_parts))
-    right = rows.withColumn("r_part", blocks(row_parts, "work_item_id"))
-    right = right.withColumn("q_part", every(parts))
-
-    def score(query_table: pa.Table, row_table: pa.Table) -> pa.Table:
-        best = Best(QueryBlock.from_arrow(query_table), k, weights, boosts)
-        for batch in row_table.to_batches():
-            best.add(batch)
-        return pa.Table.from_batches([best.result()])
-
-    keys = ("q_part", "r_part")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, _HITS)
-
-
 @dataclass
 class QueryBlock:
     """Queries of one block; ``text_of`` numbers their distinct texts, the last number is none."""
@@ -224,8 +238,8 @@ class Best:
         # Norms bound the rounding error of the product in whatever order it is summed.
         self.query_norm = np.sqrt((block.matrix**2).sum(axis=1))
 
-    def add(self, batch: pa.RecordBatch) -> None:
-        step = max(1, SCORE_CELLS // max(1, len(self.block.ids)))
+    def add(self, batch: pa.RecordBatch, most_rows: int = BLOCK_ROWS) -> None:
+        step = max(1, min(most_rows, SCORE_CELLS // max(1, len(self.block.ids))))
         for start in range(0, batch.num_rows, step):
             self._add(batch.slice(start, step))
 

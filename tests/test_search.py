@@ -79,6 +79,32 @@ def test_block_bytes_also_lead_to_blocks(index, asked):
     assert as_rows(batch_hits(index, asked, 3, block_bytes=600)) == brute_force(index, asked, 3)
 
 
+def test_blocks_keep_to_their_bounds(spark, tmp_path):
+    from recordlens.operators.topk import _query_blocks
+
+    rows = [(f"q{i}", "x" * (i % 50), "y", [0.0, 1.0]) for i in range(200)]
+    queries = spark.createDataFrame(rows, "query_id string, query string, lowered string, vector array<double>")
+    for number, (most, size) in enumerate(((7, 10_000), (500, 700))):
+        parts = max(200 // most, 13_000 // size)
+        blocks = [b.collect() for b in _query_blocks(queries, parts, most, size, str(tmp_path / str(number)))]
+        assert sorted(r.query_id for b in blocks for r in b) == sorted(r[0] for r in rows)
+        assert all(0 < len(b) <= most for b in blocks)
+
+
+def test_blocks_never_shuffle_the_index(index, asked, monkeypatch):
+    from recordlens.operators import topk
+
+    plans, real = [], topk.top_per_query
+
+    def seen(hits, k):
+        plans.append(hits._jdf.queryExecution().optimizedPlan().toString())
+        return real(hits, k)
+
+    monkeypatch.setattr(topk, "top_per_query", seen)
+    batch_hits(index, asked, 2, block_queries=4)
+    assert len(plans) > 1 and all("MapInArrow" in p and "Repartition" not in p and "CoGroup" not in p for p in plans)
+
+
 def test_single_search_equals_batch(index, asked):
     for i, q in enumerate(QUERIES):
         one = search(index, q, 9, embedder=EMBEDDER).collect()
