@@ -33,9 +33,9 @@ from recordlens.sources.records import (  # noqa: E402
     scan_metadata,
     scan_records,
 )
-from recordlens.sources.store import load_index, publish_delta, publish_index  # noqa: E402
+from recordlens.sources.store import compact, load_index, publish_delta, publish_index, vacuum  # noqa: E402
 from recordlens.sources.workbook import read_workbooks, workbook_links  # noqa: E402
-from recordlens.streaming.refresh import apply_changes, start_refresh_stream  # noqa: E402
+from recordlens.streaming.refresh import apply_changes, refresh_from_snapshot, start_refresh_stream  # noqa: E402
 
 __all__ = [
     "HashEmbedder",
