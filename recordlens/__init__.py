@@ -43,6 +43,7 @@ __all__ = [
     "augment_links",
     "build_index",
     "clean_records",
+    "compact",
     "configure",
     "diagnostics",
     "display_sort",
@@ -63,6 +64,7 @@ __all__ = [
     "publish_index",
     "read_workbooks",
     "refresh",
+    "refresh_from_snapshot",
     "renormalize_index",
     "repair_urls",
     "row_alignment",
@@ -73,5 +75,6 @@ __all__ = [
     "search_front",
     "snapshot_diff",
     "start_refresh_stream",
+    "vacuum",
     "workbook_links",
 ]
