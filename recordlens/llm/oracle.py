@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from recordlens.llm.quality_rules import PHRASES
+from recordlens.llm.quality_rules import PHRASES, WORDS_A_PHRASE_WORD
+from recordlens.llm.url_filters import MARGIN
 
 WORD = r"'[^\x20\x09-\x0D]+'"
 SPACE = r"'[\x20\x09-\x0D]+'"
@@ -18,7 +19,7 @@ def _word_chars(text: str) -> str:
 
 def _quality(max_loss: float = 0.5) -> str:
     runs = " + ".join(f"len(regexp_extract_all(l, '[{c}]+'))" for c in "#*$%&|<>")
-    phrases = " OR ".join(f"contains(lower(l), '{p}')" for p in PHRASES)
+    held = " + ".join(f"CASE WHEN contains(lower(l), '{p}') THEN {len(p.split())} ELSE 0 END" for p in PHRASES)
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         w AS (SELECT *, {_words('t')} AS w,
               list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {WORD})) AS lines FROM d),
@@ -28,10 +29,10 @@ def _quality(max_loss: float = 0.5) -> str:
         covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM
                     (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM often WHERE n > 1) GROUP BY doc_id),
         lines AS (SELECT doc_id, l, len({_words('l')}) AS n, length(l) - length(replace(l, '|', '')) AS bars,
-                  {runs} AS marks, (length(l) - length(replace(l, '!!', ''))) // 2 AS shouts
+                  {runs} AS marks, {held} AS held, (length(l) - length(replace(l, '!!', ''))) // 2 AS shouts
                   FROM (SELECT doc_id, unnest(lines) AS l FROM w)),
         removed AS (SELECT doc_id, sum({_word_chars('l')}) AS n FROM lines
-                    WHERE (bars >= 3 AND bars * 4 >= n) OR marks + shouts > CAST(0.3 AS DOUBLE) * n OR {phrases}
+                    WHERE (bars >= 3 AND bars * 4 >= n) OR marks + shouts > CAST(0.3 AS DOUBLE) * n OR (held > 0 AND {WORDS_A_PHRASE_WORD} * held >= n)
                     GROUP BY doc_id),
         counts AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST({_word_chars('t')} AS BIGINT) AS word_chars,
                    CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
@@ -55,7 +56,7 @@ def _near_vectors(threshold: float = 0.98) -> str:
                v.vec_id = component_id AS kept FROM v JOIN named ON named.id = v.vec_id"""
 
 
-def _urls(rules, threshold: float = 0.05, damping: float = 0.85, iterations: int = 12) -> str:
+def _urls(rules, threshold: float = 0.5, damping: float = 0.85, iterations: int = 60) -> str:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     parts = r"'(?s)^.*?://([^/?#]*)([^?#]*)'"
     link = r"""'(?is)\bhref\s*=\s*["'']?([^"''\s>]+)'"""
@@ -69,12 +70,12 @@ def _urls(rules, threshold: float = 0.05, damping: float = 0.85, iterations: int
     steps, d = [], f"CAST({damping} AS DOUBLE)"
     for k in range(1, iterations + 1):
         steps.append(f"""s{k} AS MATERIALIZED (SELECT host, trust_seed, distrust_seed,
-            trust_seed * (1 - {d}) + {d} * coalesce(t, 0) AS trust,
-            distrust_seed * (1 - {d}) + {d} * coalesce(b, 0) AS distrust
+            trust_seed + {d} * coalesce(t, 0) AS trust,
+            distrust_seed + (1 - distrust_seed) * {d} * coalesce(b, 0) AS distrust
             FROM s{k - 1}
             LEFT JOIN (SELECT dst AS host, sum(trust * share) AS t FROM edges JOIN s{k - 1} ON host = src GROUP BY dst)
                 USING (host)
-            LEFT JOIN (SELECT src AS host, sum(distrust * back) AS b FROM edges JOIN s{k - 1} ON host = dst GROUP BY src)
+            LEFT JOIN (SELECT src AS host, sum(distrust * share) AS b FROM edges JOIN s{k - 1} ON host = dst GROUP BY src)
                 USING (host))""")
     return f"""WITH p AS MATERIALIZED (SELECT page_id, html,
             translate(regexp_extract(coalesce(url, ''), {parts}, 1), '{upper}', '{lower}') AS host,
@@ -82,19 +83,17 @@ def _urls(rules, threshold: float = 0.05, damping: float = 0.85, iterations: int
         j AS MATERIALIZED (SELECT *, {rule} END AS rule, {verdict} END AS by_rule FROM p),
         l AS (SELECT host AS src, translate(regexp_extract(h, {link_host}, 1), '{upper}', '{lower}') AS dst
               FROM (SELECT host, unnest(regexp_extract_all(coalesce(html, ''), {link}, 1)) AS h FROM p)),
-        c AS MATERIALIZED (SELECT src, CASE WHEN dst = '' THEN src ELSE dst END AS dst, count(*) AS n FROM l
-              WHERE src <> '' GROUP BY ALL),
-        edges AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share,
-              n / sum(n) OVER (PARTITION BY dst) AS back FROM c QUALIFY src <> dst),
-        seeds AS (SELECT host, CAST(avg(CASE WHEN by_rule = 'allow' THEN 1.0 ELSE 0 END) > 0.5 AS DOUBLE) AS trust_seed,
-              CAST(avg(CASE WHEN by_rule = 'block' THEN 1.0 ELSE 0 END) > 0.5 AS DOUBLE) AS distrust_seed
+        c AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
+        edges AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM c),
+        seeds AS (SELECT host, avg(CASE WHEN by_rule = 'allow' THEN 1.0 ELSE 0 END) AS trust_seed,
+              avg(CASE WHEN by_rule = 'block' THEN 1.0 ELSE 0 END) AS distrust_seed
               FROM j WHERE host <> '' GROUP BY host),
         s0 AS MATERIALIZED (SELECT host, coalesce(trust_seed, 0) AS trust_seed, coalesce(distrust_seed, 0) AS distrust_seed,
               coalesce(trust_seed, 0) AS trust, coalesce(distrust_seed, 0) AS distrust
               FROM seeds FULL JOIN (SELECT src AS host FROM c UNION SELECT dst FROM c) USING (host)),
         {', '.join(steps)}
         SELECT page_id, host, path, rule, coalesce(by_rule,
-            CASE WHEN distrust >= {threshold} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict
+            CASE WHEN distrust > {threshold} AND distrust > trust + {MARGIN} THEN 'block' ELSE 'allow' END) AS verdict
         FROM j LEFT JOIN s{iterations} USING (host)"""
 
 

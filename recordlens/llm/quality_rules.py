@@ -6,7 +6,8 @@ Line rules (a line with at least one word fails when any holds):
 
 * navigation: at least ``nav_bars`` vertical bars, in relation to its words,
 * punctuation: symbols or doubled exclamation marks on more than ``mark_share`` of its words,
-* boilerplate: it holds one of the stock phrases.
+* boilerplate: the stock phrases it holds make up at least one of every ``WORDS_A_PHRASE_WORD`` of its words, so a long line
+  that names one stays.
 
 Failed lines are removed. A document is kept when its base counts pass and the removed lines hold at most
 ``max_loss`` of its word characters.
@@ -38,6 +39,8 @@ PHRASES = (
     "subscribe",
     "terms of use",
 )
+# A line fails by its phrases when it has at most this many words for each word of them.
+WORDS_A_PHRASE_WORD = 8
 
 
 def words_of(text: Column) -> Column:
@@ -91,11 +94,12 @@ def line_fails(line: Column, nav_bars: int = 3, mark_share: float = 0.3) -> Colu
     bars = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
     marks = symbols_in(F.regexp_replace(line, r"([#*$%&|<>])\1+", "$1"))
     shouts = F.floor((F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))) / 2)
-    phrase = F.lit(False)
+    held = F.lit(0)
     for text in PHRASES:
-        phrase = phrase | lower.contains(text)
+        held = held + F.when(lower.contains(text), len(text.split())).otherwise(0)
+    boilerplate = (held > 0) & (WORDS_A_PHRASE_WORD * held >= n_words)
     navigation = (bars >= nav_bars) & (bars * 4 >= n_words)
-    return navigation | (marks + shouts > mark_share * n_words) | phrase
+    return navigation | (marks + shouts > mark_share * n_words) | boilerplate
 
 
 def word_chars(text: Column) -> Column:

@@ -34,7 +34,7 @@ def fails(line):
     return (
         (bars >= 3 and bars * 4 >= len(words))
         or marks + line.count("!!") > 0.3 * len(words)
-        or any(p in line.lower() for p in quality_rules.PHRASES)
+        or 0 < len(words) <= 8 * sum(len(p.split()) for p in quality_rules.PHRASES if p in line.lower())
     )
 
 
@@ -97,6 +97,14 @@ def test_edges(spark):
     assert quality_rules.judge(df.limit(0)).count() == 0
 
 
+def test_a_long_line_that_names_a_phrase_stays(spark):
+    line = "The baker told us that a good cookie needs cold butter, brown sugar, a warm oven and some patience on a winter evening."
+    docs = [(1, line), (2, line + "\nAll rights reserved."), (3, line + "\nWe use cookies. Click here to sign up.")]
+    df = spark.createDataFrame([(*d, "x", 1) for d in docs], SCHEMA)
+    assert got(quality_rules.judge(df)) == expected(docs)
+    assert [r.text for r in quality_rules.clean(df).orderBy("doc_id").collect()] == [line] * 3
+
+
 def test_clean_removes_failed_lines(spark):
     df = spark.createDataFrame([(*d, "x", 1) for d in edge_docs()], SCHEMA)
     out = {r.doc_id: r for r in quality_rules.clean(df).collect()}

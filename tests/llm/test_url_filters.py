@@ -3,7 +3,10 @@
 import re
 from collections import Counter
 
-from recordlens.llm import url_filters
+import duckdb
+from pyspark.sql import functions as F
+
+from recordlens.llm import oracle, url_filters
 from recordlens.llm.queries import URL_RULES, op1_url_filters
 
 SCHEMA = "page_id long, url string, html string, host int"
@@ -28,37 +31,41 @@ def rule_for(host, path, rules):
     return best
 
 
-def brute(pages, rules, threshold=0.05, damping=0.85, iterations=12):
-    parsed = [(i, *split_url(u), h) for i, u, h in pages]
-    found = [rule_for(host, path, rules) for _, host, path, _ in parsed]
+def scores(pages, rules, damping=0.85):
+    """Trust and distrust per host, walked until nothing changes."""
     count, by_rule, links = Counter(), Counter(), Counter()
-    for (_, host, _, html), rule in zip(parsed, found):
+    for _, url, html in pages:
+        host, path = split_url(url)
         if not host:
             continue
         count[host] += 1
+        rule = rule_for(host, path, rules)
         if rule:
             by_rule[host, rule[0]] += 1
         for link in re.findall(r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", html or ""):
             m = re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", link)
-            links[host, (m[1].lower() if m and m[1] else host)] += 1
-    out, into = Counter(), Counter()
-    for (a, b), n in links.items():
+            if m and m[1] and m[1].lower() != host:
+                links[host, m[1].lower()] += 1
+    out = Counter()
+    for (a, _), n in links.items():
         out[a] += n
-        into[b] += n
     hosts = set(count) | {h for pair in links for h in pair}
-    seed = {
-        v: {h: float(count[h] > 0 and by_rule[h, v] / count[h] > 0.5) for h in hosts} for v in ("allow", "block")
-    }
-    t, d = dict(seed["allow"]), dict(seed["block"])
-    for _ in range(iterations):
-        nt = {h: seed["allow"][h] * (1 - damping) for h in hosts}
-        nd = {h: seed["block"][h] * (1 - damping) for h in hosts}
+    good, bad = ({h: by_rule[h, v] / count[h] if count[h] else 0.0 for h in hosts} for v in ("allow", "block"))
+    t, d = dict(good), dict(bad)
+    for _ in range(200):
+        nt, came = dict(good), Counter()
         for (a, b), n in links.items():
-            if a != b:
-                nt[b] += damping * t[a] * n / out[a]
-                nd[a] += damping * d[b] * n / into[b]
-        t, d = nt, nd
-    bad = {h for h in hosts if d[h] >= threshold and d[h] > t[h]}
+            nt[b] += damping * t[a] * n / out[a]
+            came[a] += d[b] * n / out[a]
+        t, d = nt, {h: bad[h] + (1 - bad[h]) * damping * came[h] for h in hosts}
+    return t, d
+
+
+def brute(pages, rules, threshold=0.5):
+    parsed = [(i, *split_url(u), h) for i, u, h in pages]
+    found = [rule_for(host, path, rules) for _, host, path, _ in parsed]
+    t, d = scores(pages, rules)
+    bad = {h for h in d if d[h] > threshold and d[h] > t[h] + url_filters.MARGIN}
     return sorted(
         (
             (i, host, path, rule[1] if rule else None, rule[0] if rule else ("block" if host in bad else "allow"))
@@ -104,6 +111,48 @@ def test_links_carry_trust_and_distrust(spark):
     assert verdicts[2] == "block" and verdicts[5] == "allow" and verdicts[6] == "allow"
 
 
+def graph_of_a_farm():
+    """A blocked hub with 200 linkers, hosts that link to these, a cycle of honest hosts with one bad link."""
+    def page(i, host, *links):
+        return (i, f"https://{host}/p", '<a href="/own">' * 9 + "".join(f"<a href='//{h}/'>" for h in links))
+
+    farm = [page(i, f"farm{i}.com", "hub.net") for i in range(200)]
+    second = [page(200 + i, f"second{i}.com", *[f"farm{k}.com" for k in range(i, i + 20)]) for i in range(5)]
+    honest = [page(300 + i, f"h{i}.com", *[f"h{(i + k) % 30}.com" for k in range(1, 20)], "hub.net") for i in range(30)]
+    half = [(400, "https://example.com/de/", ""), (401, "https://example.com/en/", ""), page(402, "near.com", "example.com")]
+    return [(500, "https://hub.net/", ""), *farm, *second, *honest, *half, page(403, "x.org", "h0.com")]
+
+
+def test_a_farm_is_blocked_and_one_bad_link_is_not(spark, monkeypatch):
+    monkeypatch.setattr(url_filters, "LINKS_A_PIECE", 30)  # so that the hub is cut
+    pages = graph_of_a_farm()
+    df = spark.createDataFrame([(*p, 1) for p in pages], SCHEMA).select("page_id", "url", "html")
+    got = rows(url_filters.filter_urls(df, URL_RULES))
+    assert got == brute(pages, URL_RULES)
+    blocked = {r[0] for r in got if r[4] == "block"}
+    assert blocked == {*range(205), 400, 500}
+
+
+def test_scores_equal_a_plain_walk(spark):
+    pages = graph_of_a_farm()
+    df = spark.createDataFrame([(*p, 1) for p in pages], SCHEMA)
+    parsed = df.select(url_filters.host_of(F.col("url")).alias("host"), url_filters.path_of(F.col("url")).alias("path"), "html")
+    judged = parsed.withColumn("found", url_filters.rule_of(F.col("host"), F.col("path"), URL_RULES))
+    found = url_filters.host_scores(url_filters.host_seeds(judged), url_filters.host_links(parsed)).collect()
+    t, d = scores(pages, URL_RULES)
+    assert {r.host for r in found} == set(d)
+    assert all(abs(r.trust - t[r.host]) < 1e-4 and abs(r.distrust - d[r.host]) < 1e-4 for r in found)
+
+
+def test_sql_walks_a_linked_graph(spark):
+    pages = graph_of_a_farm()
+    base = duckdb.connect()
+    base.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    base.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    got = base.execute(f"SELECT page_id, host, path, rule, verdict FROM ({oracle.sql(URL_RULES)['op1_url_filters']})").fetchall()
+    assert sorted(got, key=repr) == brute(pages, URL_RULES)
+
+
 def test_empty_table_and_clashing_columns(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert url_filters.filter_urls(empty, URL_RULES).count() == 0
