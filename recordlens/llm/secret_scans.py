@@ -1,9 +1,13 @@
 """Secret scan: candidates by pattern, then what the whole corpus says about who owns them.
 
 Built-in DataFrame functions only. Candidates are found per text; their hashes are counted over the
-corpus by the documents (repositories) and sources (owners) they occur in. A value that many owners share, or that
-very many documents hold, is an example someone copied; one that stays with few of both looks live. Counting combines in
-each task before it shuffles, so a value in a third of all rows costs one row per task.
+corpus by the documents (repositories) and sources (owners) they occur in. Both decide, by measures that do not change with
+the size of the corpus: the effective number of owners, (sum of documents)^2 / (sum of squares of documents per owner),
+which is 1 for a value of one owner however often that owner copies it, and n for one that n owners hold alike;
+and the share of all owners. A value spread over more than ``max_owners`` effective owners, or held by more owners than
+that and over ``owner_share`` of all, is an example someone copied. All others look live: a key stays live when its
+owner copies it into many rows, or when a few others quote it. Counting combines in each task before it shuffles, so a
+value in a third of all rows costs one row per task.
 
 Kinds: ``assign``, ``access`` and ``hex`` are always reported. ``bare`` spans (a long run of
 letters and digits outside any of those) are reported only when their owners make them look live.
@@ -94,27 +98,33 @@ def has_candidates(text: Column) -> Column:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """hash, n_docs, n_owners over all rows with candidates (``spans``, ``source``)."""
+    """hash, n_docs, n_owners, effective_owners over all rows with candidates (``spans``, ``source``)."""
     each = found.select("source", F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"]))).alias("hash"))
     per_owner = each.groupBy("hash", "source").agg(F.count("*").alias("docs"))
-    return per_owner.groupBy("hash").agg(F.sum("docs").alias("n_docs"), F.count("*").alias("n_owners"))
+    docs = F.col("docs").cast("double")
+    return per_owner.groupBy("hash").agg(
+        F.sum("docs").alias("n_docs"),
+        F.count("*").alias("n_owners"),
+        (F.sum(docs) * F.sum(docs) / F.sum(docs * docs)).alias("effective_owners"),
+    )
 
 
-def scan(docs: DataFrame, max_owners: int = 3, max_docs: int = 1000) -> DataFrame:
+def scan(docs: DataFrame, max_owners: int = 3, owner_share: float = 0.5) -> DataFrame:
     """Spans of every row: uid, doc_id, spans (all candidates), live (hashes that look live).
 
-    ``docs`` has doc_id, text and source. A candidate looks live while at most
-    ``max_owners`` sources and ``max_docs`` documents have it.
+    ``docs`` has doc_id, text and source.
     """
-    return _scan(with_uid(docs), scratch_path(docs.sparkSession, "secrets"), max_owners, max_docs)
+    return _scan(with_uid(docs), scratch_path(docs.sparkSession, "secrets"), max_owners, owner_share)
 
 
-def _scan(rows: DataFrame, folder: str, max_owners: int, max_docs: int) -> DataFrame:
+def _scan(rows: DataFrame, folder: str, max_owners: int, owner_share: float) -> DataFrame:
     """The scan of rows that have their numbers, written below ``folder``."""
     spans = candidate_spans(F.col("text"))
     every = materialize(rows.select(UID, "doc_id", "source", spans.alias("spans")), "spans", folder)
     found = every.where(F.size("spans") > 0)
-    owners = ownership(found).where((F.col("n_owners") <= max_owners) & (F.col("n_docs") <= max_docs))
+    all_owners = every.select("source").distinct().select(F.count(F.lit(1))).scalar()
+    widely = (F.col("n_owners") > max_owners) & (F.col("n_owners") > owner_share * all_owners)
+    owners = ownership(found).where((F.col("effective_owners") <= max_owners) & ~widely)
     mine = found.select(UID, F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"]))).alias("hash"))
     live = mine.join(owners, "hash").groupBy(UID).agg(F.array_sort(F.collect_list("hash")).alias("live"))
     return every.join(live, UID, "left").select(
@@ -140,7 +150,7 @@ def report(scanned: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, max_owners: int = 3, mark: str = "[SECRET]", max_docs: int = 1000) -> DataFrame:
+def redact(docs: DataFrame, max_owners: int = 3, mark: str = "[SECRET]", owner_share: float = 0.5) -> DataFrame:
     """``docs`` with every live-looking span replaced by ``mark``; same rows and columns.
 
     Only rows with candidates are joined; all others pass by without a shuffle. Overlapping spans are replaced
@@ -149,7 +159,7 @@ def redact(docs: DataFrame, max_owners: int = 3, mark: str = "[SECRET]", max_doc
     folder = scratch_path(docs.sparkSession, "secrets")
     rows = numbered_rows(docs, folder)
     live = (
-        _scan(fields(rows, "doc_id", "text", "source"), folder, max_owners, max_docs)
+        _scan(fields(rows, "doc_id", "text", "source"), folder, max_owners, owner_share)
         .select(UID, F.filter("spans", lambda s: F.array_contains("live", s["hash"])).alias("live"))
         .where(F.size("live") > 0)
     )

@@ -102,12 +102,32 @@ def test_hot_values_are_counted_by_owner(spark):
     assert [tuple(r) for r in rows] == [(0, 3000)]
 
 
-def test_values_that_one_source_copies_widely_are_examples(spark):
+def test_a_key_stays_live_however_often_its_owner_copies_it(spark):
     bare = "Zm9vYmFyMTIzNDU2Nzg5MGFiY2RlZg"
-    df = spark.range(3000).selectExpr(
-        "id as doc_id", f"concat('see {bare} or token=live0123456789', if(id < 1000, '', '_')) as text", "'hot' as source"
-    )
+    text = f"concat('see {bare} or token=live0123456789', if(id < 1000, '', '_'))"
+    df = spark.range(3000).selectExpr("id as doc_id", f"{text} as text", "'hot' as source")
+    others = spark.range(3000, 3006).selectExpr("id as doc_id", f"'quoted {bare}' as text", "concat('s', id) as source")
+    more = spark.range(4000, 4020).selectExpr("id as doc_id", "'nothing' as text", "concat('n', id) as source")
+    df = df.unionByName(others).unionByName(more)
     rows = secret_scans.report(secret_scans.scan(df)).groupBy("n_live", F.contains("spans", F.lit("bare"))).count()
-    assert sorted(map(tuple, rows.collect())) == [(0, False, 2000), (1, False, 1000)]
-    redacted = secret_scans.redact(df).where("text like '%[SECRET]%'")
-    assert redacted.count() == 1000 and redacted.where(f"text like '%{bare}%'").count() == 1000
+    assert sorted(map(tuple, rows.collect())) == [(0, False, 20), (1, True, 6), (2, True, 3000)]
+    assert secret_scans.redact(df).where(f"text like '%{bare}%' or text like '%live0%'").count() == 0
+
+
+def test_examples_are_spread_over_owners(spark):
+    """One held alike by 6 of 40 owners; one of a hot owner that over half of all owners hold; each is left alone."""
+    alike = [(i, "password=alike0123", f"s{i % 6}") for i in range(60)]
+    widely = [(100 + i, "token=widely01234", "hot") for i in range(500)] + [(700 + i, "token=widely01234", f"s{i}") for i in range(25)]
+    rest = [(800 + i, None, f"s{i}") for i in range(39)]
+    df = spark.createDataFrame([(*d, "x", 1) for d in alike + widely + rest], SCHEMA)
+    assert secret_scans.report(secret_scans.scan(df)).where("n_live > 0").count() == 0
+    assert secret_scans.redact(df).where("text like '%[SECRET]%'").count() == 0
+
+
+def test_owner_counts(spark):
+    spans = "array<struct<hash:bigint>>"
+    rows = [([(7,)], "a")] * 30 + [([(7,), (8,)], "b")] + [([(8,)], None)]
+    found = spark.createDataFrame(rows, f"spans {spans}, source string")
+    got = {r.hash: tuple(r)[1:] for r in secret_scans.ownership(found).collect()}
+    assert got[7][:2] == (31, 2) and abs(got[7][2] - 31**2 / (30**2 + 1)) < 1e-9
+    assert got[8] == (2, 2, 2.0)
