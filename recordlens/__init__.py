@@ -14,7 +14,7 @@ from recordlens.operators.quality import is_normalized, row_alignment  # noqa: E
 from recordlens.plans.build import build_index, make_index, renormalize_index  # noqa: E402
 from recordlens.plans.diagnostics import diagnostics, index_stats  # noqa: E402
 from recordlens.plans.refresh import fingerprint_audit, refresh, snapshot_diff  # noqa: E402
-from recordlens.plans.repair import augment_links, repair_urls  # noqa: E402
+from recordlens.plans.repair import augment_links, augment_links_from_workbooks, repair_url_file, repair_urls  # noqa: E402
 from recordlens.plans.search import (  # noqa: E402
     lookup,
     present,
@@ -35,12 +35,13 @@ from recordlens.sources.records import (  # noqa: E402
 )
 from recordlens.sources.store import compact, load_index, publish_delta, publish_index, vacuum  # noqa: E402
 from recordlens.sources.workbook import read_workbooks, workbook_links  # noqa: E402
-from recordlens.streaming.refresh import apply_changes, refresh_from_snapshot, start_refresh_stream  # noqa: E402
+from recordlens.streaming.refresh import apply_changes, refresh_from_mark, refresh_from_snapshot, start_refresh_stream  # noqa: E402
 
 __all__ = [
     "HashEmbedder",
     "apply_changes",
     "augment_links",
+    "augment_links_from_workbooks",
     "build_index",
     "clean_records",
     "compact",
@@ -64,8 +65,10 @@ __all__ = [
     "publish_index",
     "read_workbooks",
     "refresh",
+    "refresh_from_mark",
     "refresh_from_snapshot",
     "renormalize_index",
+    "repair_url_file",
     "repair_urls",
     "row_alignment",
     "scan_metadata",

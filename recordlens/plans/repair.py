@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recordlens.functions.links import clean_link, url_for_id
 from recordlens.functions.text import normalize_id, strip, to_number
-from recordlens.schema import canonical
+from recordlens.schema import HEADERS, canonical, require_columns
+from recordlens.sources.records import export_csv, scan_text_table
+from recordlens.sources.workbook import workbook_links
 
 
 def repair_urls(df: DataFrame, base_url: str) -> tuple[DataFrame, DataFrame]:
@@ -24,6 +26,38 @@ def repair_urls(df: DataFrame, base_url: str) -> tuple[DataFrame, DataFrame]:
     return fixed.drop("_missing"), count
 
 
+def repair_url_file(spark: SparkSession, source: str, target: str, base_url: str, *, multi_line: bool = True) -> int:
+    """Copy the CSV table ``source`` to the new folder ``target`` with missing BugUrl cells filled from the id.
+
+    All other cells and columns stay as they are; without a column BugUrl one is added. Returns how many rows got a URL;
+    with 0 nothing is written, so readers stay with ``source``. A target that exists is an error, never overwritten.
+    """
+    raw = scan_text_table(spark, source, multi_line=multi_line)
+    require_columns(raw, ("work_item_id",))
+    id_header = next(h for h in HEADERS["work_item_id"] if h in raw.columns)
+    url_header = next((h for h in HEADERS["bug_url"] if h in raw.columns), "BugUrl")
+    url = F.col(f"`{url_header}`") if url_header in raw.columns else F.lit(None).cast("string")
+    missing = strip(F.coalesce(url, F.lit(""))) == ""
+    built = F.coalesce(url_for_id(normalize_id(F.col(f"`{id_header}`")), base_url), F.lit(""))
+    repaired = raw.agg(F.count_if(missing & (strip(built) != ""))).first()[0]
+    if repaired:
+        export_csv(raw.withColumn(url_header, F.when(missing, built).otherwise(url)), target, mode="error")
+    return repaired
+
+
+def augment_links_from_workbooks(records: DataFrame, workbooks: DataFrame) -> DataFrame:
+    """Canonical records with the links of ``workbooks(path, content)``, by id.
+
+    Workbooks are read only when no record has a link of its own; the search for one stops at the first. A workbook that
+    breaks anywhere gives no links at all.
+    """
+    rows = canonical(records, ("work_item_id",))
+    own = clean_link(F.col("link"))
+    if rows.where(own != "").select("link").head(1):
+        return rows.withColumn("link", own)
+    return augment_links(rows, workbook_links(workbooks))
+
+
 def augment_links(records: DataFrame, link_map: DataFrame) -> DataFrame:
     """Give records the links of ``link_map(work_item_id bigint, link)``.
 

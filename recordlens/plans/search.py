@@ -142,8 +142,9 @@ def search_front(
         raise ValueError("query is empty")
     if q.isascii() and q.isdigit():
         exact = lookup(index, q)
-        if exact.head(1):
-            return present(exact)
+        found = exact.collect()  # one row at most, so the index is read once
+        if found:
+            return present(index.sparkSession.createDataFrame(found, exact.schema))
     best = _best_rows(index, q, clamp_k(k, max_k), embedder, vector, weights, boosts)
     rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*_order()))
     return present(best.withColumn("rank", rank).select("rank", *result_columns()))

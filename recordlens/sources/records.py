@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from recordlens.functions.text import filled, normalize_id, strip
+from recordlens.functions.text import filled, strip
 from recordlens.schema import REQUIRED_RECORD, canonical
 
 _CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
@@ -23,6 +23,14 @@ def scan_records(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return canonical(raw, REQUIRED_RECORD)
 
 
+def scan_text_table(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+    """CSV with a header under its own column names, every cell as text.
+
+    ``multi_line=False`` says that no cell holds a line break: then large files are split among the tasks, else a file is one.
+    """
+    return spark.read.options(**{**_CSV, "multiLine": multi_line}).csv(path)
+
+
 def spread(scan: DataFrame, key: str) -> DataFrame:
     """Hash-spread a scan whose few splits would leave most cores idle; else return it as is.
 
@@ -32,16 +40,16 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     return scan.repartition(wanted, key) if scan.rdd.getNumPartitions() < wanted else scan
 
 
-def scan_metadata(spark: SparkSession, path: str) -> DataFrame:
+def scan_metadata(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
     """Metadata CSV, every cell as text, so ids keep their spelling; empty cells are NULL."""
-    return canonical(spark.read.options(**_CSV).csv(path), ("work_item_id",))
+    return canonical(scan_text_table(spark, path, multi_line=multi_line), ("work_item_id",))
 
 
-def export_csv(df: DataFrame, path: str) -> None:
+def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Header CSV whose cells come back unchanged through :func:`scan_metadata`."""
     writer = df.write.option("header", True).option("quote", '"').option("escape", '"')
     writer = writer.option("ignoreLeadingWhiteSpace", False)
-    writer.option("ignoreTrailingWhiteSpace", False).mode("overwrite").csv(path)
+    writer.option("ignoreTrailingWhiteSpace", False).mode(mode).csv(path)
 
 
 def parse_fingerprint_map(df: DataFrame, json: Column, *keep: str) -> DataFrame:
@@ -113,6 +121,3 @@ def incremental_pull(changes: DataFrame, since, column: str = "changed_at") -> D
 def high_water_mark(index: DataFrame) -> DataFrame:
     return index.agg(F.max("changed_at").alias("last_refresh_time"))
 
-
-def normalized_ids(df: DataFrame, column: str = "work_item_id") -> DataFrame:
-    return df.withColumn(column, normalize_id(F.col(column)))

@@ -11,6 +11,7 @@ from recordlens.plans.build import check_dimension
 from recordlens.plans.refresh import MODIFIED, NEW, UNKNOWN, bucketed_diff, diff_counts, refresh_delta, snapshot_delta
 from recordlens.schema import INDEX_COLUMNS
 from recordlens.session import discard, materialize, scratch_path
+from recordlens.sources.records import high_water_mark
 from recordlens.sources.store import MOST_DELTAS, StaleWrite, compact, load_index, publish_delta, read_state
 
 
@@ -44,6 +45,17 @@ def apply_changes(
     return _as_counts(seen)
 
 
+def refresh_from_mark(base_path: str, feed: DataFrame, embedder, **options) -> dict[str, int]:
+    """Refresh the index below ``base_path`` by what ``feed`` holds since the newest change the index knows.
+
+    Rows of that very moment are read again, as more of them may have come since; those the index has are skipped by
+    their fingerprints. The comparison reaches the scan of the feed. An index without times takes the whole feed.
+    """
+    mark = high_water_mark(load_index(feed.sparkSession, base_path)).first().last_refresh_time
+    since = feed if mark is None else feed.where(F.col("changed_at") >= F.lit(mark))
+    return apply_changes(base_path, since, embedder, **options)
+
+
 def _publish_changes(base_path, state, changes, embedder, scratch, tag, options) -> dict[str, int]:
     spark = changes.sparkSession
     index = load_index(spark, base_path, state.version)

@@ -20,7 +20,7 @@ from recordlens.functions.vectors import dot, l2_normalize, norm
 from recordlens.operators.cleaning import clean_records
 from recordlens.operators.dedupe import dedupe_first, dedupe_last
 from recordlens.operators.ordering import display_keys, display_sort, with_positions
-from recordlens.operators.quality import dimension_range, is_normalized, row_alignment
+from recordlens.operators.quality import dimension_range, is_normalized, row_alignment, unaligned_ids
 from recordlens.operators.scoring import keyword_score
 from recordlens.plans.build import (
     build_index,
@@ -38,20 +38,22 @@ from recordlens.plans.refresh import (
     refresh,
     snapshot_diff,
 )
-from recordlens.plans.repair import augment_links, repair_urls
+from recordlens.plans.repair import augment_links, augment_links_from_workbooks, repair_url_file, repair_urls
 from recordlens.plans.search import lookup, present, search, search_batch, search_front
 from recordlens.schema import canonical, schema_report
 from recordlens.session import materialize, scratch_path
 from recordlens.sources.records import (
     export_csv,
+    export_fingerprints,
     incremental_pull,
+    load_fingerprints,
     parse_fingerprint_map,
     parse_refresh_state,
     scan_metadata,
 )
 from recordlens.sources.store import load_index, publish_index, read_state
 from recordlens.sources.workbook import evaluate_hyperlinks, resolve_shared, workbook_links
-from recordlens.streaming.refresh import refresh_from_snapshot, start_refresh_stream
+from recordlens.streaming.refresh import refresh_from_mark, refresh_from_snapshot, start_refresh_stream
 from workload import inputs as given
 
 EMBEDDER = HashEmbedder(64)
@@ -166,6 +168,14 @@ def export_csv_(spark, folder):
     return scan_metadata(spark, path).select("work_item_id", "title", "link")
 
 
+@query
+def fingerprint_json_dump(spark, folder):
+    """Fingerprints written as JSON lines, read back."""
+    path = scratch_path(spark, "prints")
+    export_fingerprints(_prints(given.records(spark, folder)), path)
+    return load_fingerprints(spark, path)
+
+
 @query
 def fingerprint_merge_(spark, folder):
     old = _prints(given.records(spark, folder))
@@ -253,6 +263,16 @@ def url_repair_count(spark, folder):
     return repair_urls(given.linked_records(spark, folder), given.EDIT_URL)[1]
 
 
+@query
+def url_repair_file(spark, folder):
+    """URL repair from a CSV table to a new one, with the number of repaired rows."""
+    source, target = scratch_path(spark, "urls"), scratch_path(spark, "urls-repaired")
+    export_csv(given.linked_records(spark, folder).select("WorkItemId", "Title", "BugUrl"), source)
+    repaired = repair_url_file(spark, source, target, given.EDIT_URL)
+    rows = scan_metadata(spark, target if repaired else source)
+    return rows.select("work_item_id", "title", "bug_url", F.lit(repaired).cast("bigint").alias("repaired"))
+
+
 @query
 def link_choice(spark, folder):
     rows = canonical(given.linked_records(spark, folder))
@@ -283,6 +303,12 @@ def corpus_join(spark, folder):
     )
 
 
+@query
+def corpus_left_out(spark, folder):
+    """Ids that the join of records and vectors leaves out, with the side that lacks them."""
+    return unaligned_ids(clean_records(given.records(spark, folder)), given.vectors(spark, folder))
+
+
 @query
 def row_alignment_(spark, folder):
     rows = canonical(given.records(spark, folder))
@@ -297,6 +323,22 @@ def link_augment(spark, folder):
     return augment_links(rows, links).select("work_item_id", "title", "link")
 
 
+@query
+def link_job(spark, folder):
+    """Links from workbooks for records without any."""
+    bare = given.records(spark, folder).drop("link")
+    books = materialize(given.workbooks(spark, folder), "link-books")
+    return augment_links_from_workbooks(bare, books).select("work_item_id", "title", "link")
+
+
+@query
+def link_job_kept(spark, folder):
+    """As before, but some records have links of their own, so these stay and the workbooks are not read."""
+    own = F.when(F.col("Tags") == "en", F.concat(F.lit("https://host/"), "link"))
+    rows = given.records(spark, folder).withColumn("link", own)
+    return augment_links_from_workbooks(rows, given.workbooks(spark, folder)).select("work_item_id", "title", "link")
+
+
 @query
 def hyperlink_formula(spark, folder):
     docs = given.documents(spark, folder)
@@ -457,14 +499,21 @@ def search_front_(spark, folder):
     return found.select("rank", "match", "work_item_id", "title", "link", "final_score")
 
 
+@query
+def exact_front(spark, folder):
+    """The front of the search for an id that the index holds."""
+    found = search_front(_hash_index(spark, folder), f" {LOOKUP_ID} ", 5, embedder=EMBEDDER)
+    return found.select("rank", "match", "work_item_id", "title", "link", "final_score")
+
+
 # Aggregates and dedupe
 
 
 @query
 def index_counts(spark, folder):
-    index = _event_index(spark, folder)
-    stats = refresh(index, given.changes_since(spark, folder), EMBEDDER).stats
-    return index_stats(index, stats)
+    """Counts of the refreshed index, with those of its last refresh."""
+    done = _refreshed_events(spark, folder)
+    return index_stats(done.index, done.stats)
 
 
 @query
@@ -608,6 +657,16 @@ def stream_refresh(spark, folder):
     return load_index(spark, base).select("work_item_id", "title", "semantic_text", "fingerprint")
 
 
+@query
+def pull_refresh(spark, folder):
+    """A stored index refreshed by all that the feed holds since its newest change, that moment included."""
+    base = scratch_path(spark, "pull")
+    publish_index(_event_index(spark, folder), base)
+    stats = refresh_from_mark(base, given.changes(spark, folder), EMBEDDER)
+    rows = load_index(spark, base).select("work_item_id", "title", "semantic_text", "fingerprint")
+    return rows.withColumns({name: F.lit(value).cast("bigint") for name, value in stats.items()})
+
+
 @query
 def snapshot_refresh(spark, folder):
     """A stored index refreshed from a later snapshot: difference, vectors, upsert, write, counts."""

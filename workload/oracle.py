@@ -225,6 +225,7 @@ def sql() -> dict[str, str]:
             FROM rows JOIN vec ON vec.id = rows.id""",
         "export_csv": """SELECT CAST(doc_id AS VARCHAR) AS work_item_id,
             nullif(split_part(text, chr(10), 1), '') AS title, source AS link FROM documents""",
+        "fingerprint_json_dump": f"WITH {PRINTS} SELECT id AS work_item_id, fp AS fingerprint FROM old",
         "fingerprint_merge": f"""WITH {REVISED} SELECT coalesce(old.id, new.id) AS work_item_id,
             coalesce(new.fp, old.fp) AS fingerprint
             FROM old FULL JOIN new ON new.id = old.id""",
@@ -258,6 +259,10 @@ def sql() -> dict[str, str]:
             AS bug_url FROM raw""",
         "url_repair_count": f"""WITH {LINKED} SELECT count(*) AS repaired FROM raw
             WHERE coalesce({strip('url')}, '') = ''""",
+        "url_repair_file": f"""WITH {LINKED}, fixed AS (SELECT *, coalesce({strip('url')}, '') = '' AS missing FROM raw)
+            SELECT id AS work_item_id, nullif(title, '') AS title,
+            CASE WHEN missing THEN '{EDIT_URL}' || id ELSE url END AS bug_url,
+            (SELECT count(*) FROM fixed WHERE missing) AS repaired FROM fixed""",
         "link_choice": f"""WITH {LINKED} SELECT id AS work_item_id,
             {link_of('url', 'link')} AS link FROM raw""",
         "link_clean": f"""SELECT event_id, CASE WHEN {JSON_K} IN ('0', '') THEN ''
@@ -265,6 +270,9 @@ def sql() -> dict[str, str]:
         "corpus_join": f"""WITH {CORPUS} SELECT id AS work_item_id, title, url AS bug_url,
             fp AS fingerprint, CAST(len(v) AS INTEGER) AS dim,
             list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE))) AS vector_sum FROM corpus""",
+        "corpus_left_out": f"""WITH {RECORDS}
+            SELECT id AS work_item_id, 'vector' AS missing FROM rec ANTI JOIN embeddings ON CAST(vec_id AS VARCHAR) = id
+            UNION ALL SELECT CAST(vec_id AS VARCHAR), 'record' FROM embeddings ANTI JOIN rec ON CAST(vec_id AS VARCHAR) = id""",
         "row_alignment": """SELECT
             (SELECT count(*) FROM documents) AS record_rows,
             (SELECT count(*) FROM embeddings) AS vector_rows,
@@ -279,6 +287,10 @@ def sql() -> dict[str, str]:
               AS aligned""",
         "link_augment": f"""WITH {LINKED} SELECT id AS work_item_id, title,
             coalesce({strip('url')}, '') AS link FROM raw""",
+        "link_job": f"""WITH {LINKED} SELECT id AS work_item_id, title,
+            CASE WHEN url IS NULL THEN '{EDIT_URL}' || id ELSE {strip('url')} END AS link FROM raw""",
+        "link_job_kept": f"""WITH {RAW} SELECT id AS work_item_id, title,
+            CASE WHEN tags = 'en' AND link IS NOT NULL THEN 'https://host/' || link ELSE '' END AS link FROM raw""",
         "hyperlink_formula": """SELECT doc_id, CASE
             WHEN lang = 'en' THEN 'https://host/edit/' || doc_id
             WHEN lang = 'fr' THEN 'https://host/a,b&c/edit/' || doc_id
@@ -335,7 +347,15 @@ def sql() -> dict[str, str]:
         "index_counts": f"""WITH {FEED} SELECT count(*) AS total_indexed,
             strftime(max(ts), '%d %b %Y %I:%M %p') AS last_indexed,
             any_value(added) AS added, any_value(updated) AS updated, any_value(skipped) AS skipped
-            FROM state, stats""",
+            FROM upserted, stats""",
+        "pull_refresh": f"""WITH {FEED},
+            known AS (SELECT count(*) AS n FROM events WHERE ts = (SELECT max(ts) FROM state))
+            SELECT id AS work_item_id, title, body AS semantic_text, fp AS fingerprint, added, updated,
+            skipped + known.n AS skipped FROM upserted, stats, known""",
+        "exact_front": f"""WITH {RECORDS}, hits AS (
+            SELECT CAST(id AS BIGINT) AS work_item_id, title, {link_of('NULL', 'link')} AS link,
+            1.0::DOUBLE AS final_score FROM rec WHERE id = '{LOOKUP_ID}'), shown AS ({presented('hits')})
+            SELECT rank, match, work_item_id, title, link, final_score FROM shown""",
         "refresh_stats": f"WITH {FEED} SELECT added, updated, skipped FROM stats",
         "index_upsert": f"""WITH {FEED},
             src AS (SELECT id, {text_of('title', 'NULL', 'body')} AS txt FROM upserted),
