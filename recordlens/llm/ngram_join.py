@@ -1,16 +1,20 @@
-"""N-gram Jaccard join: banded MinHash LSH finds candidates, exact sets decide.
+"""N-gram Jaccard join: a MinHash LSH forest finds candidates, exact sets decide.
 
 Texts are sets of five-word shingles (words are runs of other than ASCII white space; a shorter text is one shingle
 of all its words). Texts with one set are merged first and counted by weight.
 
-1. Every set gets ``trees`` labels of ``depth`` minimum hashes. Fixed bands replace a forest of sorted labels: one prefix
-   length for all sets, set before data are read, is the longest that finds a pair at the threshold with at least
-   ``recall``; more similar pairs are found with more. Sets are matched by the hash of that prefix.
-2. Sets under one prefix are compared by their whole signatures, block against block; what cannot reach the threshold
+1. Every set gets ``trees`` labels of ``depth`` minimum hashes; the labels of a tree are a prefix trie, kept as a table of the
+   keys of its nodes and sorted by them, so that the sets of a node lie together. All sets start at a long prefix in every tree
+   and shorten it, tree by tree, until a pair at the threshold is found with at least ``recall``: then the product of the
+   trees' chances to miss it is small enough. A set shortens where the shorter prefix is not crowded, and in crowded
+   nodes only if no other trees are left, the least crowded first. A node is used at its shorter prefix as soon as one of its
+   sets asks for it, so every set keeps its recall whatever its partners choose; crowding is counted in powers of two
+   above ``CROWD`` sets, so a single partner does not sway the choice.
+2. Sets in one node are compared by their whole signatures, block against block; what cannot reach the threshold
    is left (``slack`` below it, over five standard deviations). Blocks emit one edge per row, never the pairs.
 3. The connected groups are compared exactly, again in blocks: counts of common shingles over the sizes.
 
-A prefix or group that holds a third of all rows becomes many tasks of at most two blocks each.
+A node or group that holds a third of all rows becomes many tasks of at most two blocks each.
 
 Defined cases: null, empty and blank texts have no shingles, link with nothing and are kept. Repeated rows are copies: each
 counts as a link of the others. ``class_id`` is the smallest doc_id of the group (null only if all are null), and exactly
@@ -28,10 +32,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from recordlens.llm.common import UID, block_components, fields, into_blocks, numbered, numbered_rows, runs
 from recordlens.llm.components import components
+from recordlens.operators.joins import spread_join
 from recordlens.session import materialize, scratch_path
 
 WORDS = 5
 BLOCK = 1024
+CROWD = 1024
 MIX, PRIME = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 STEPS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WORDS)], np.uint64)
 IS_SPACE = np.zeros(256, bool)
@@ -71,19 +77,25 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 class Forest:
-    """Sizes of the bands and the prefix length that reaches the recall."""
+    """The two prefix lengths in use, and in how many trees a set takes the shorter one to reach the recall."""
 
     def __init__(self, trees: int, depth: int, threshold: float, recall: float, seed: int = 5):
-        self.trees, self.depth, self.threshold = trees, depth, threshold
+        self.trees, self.depth = trees, depth
         rng = np.random.default_rng(seed)
         self.factors = rng.integers(1, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.prefix = depth
-        while self.prefix > 1 and self.found(threshold) < recall:
-            self.prefix -= 1
+        self.short, self.shortened = depth, trees
+        while self.short > 1 and self.found(threshold) < recall:
+            self.short -= 1
+        while self.short < depth and self.shortened > 0:
+            self.shortened -= 1
+            if self.found(threshold) < recall:
+                self.shortened += 1
+                break
 
     def found(self, similarity: float) -> float:
         """Chance that a pair of this similarity shares a prefix in some tree."""
-        return 1 - (1 - similarity**self.prefix) ** self.trees
+        missed = (1 - similarity**self.short) ** self.shortened
+        return 1 - missed * (1 - similarity ** (self.short + 1)) ** (self.trees - self.shortened)
 
     def signature(self, found: np.ndarray) -> np.ndarray:
         """Minimum per hash function, 32 bits each."""
@@ -93,11 +105,11 @@ class Forest:
             least = np.minimum(least, values.min(axis=0).astype(np.uint32))
         return least
 
-    def prefixes(self, signature: np.ndarray) -> np.ndarray:
-        """One 64-bit key per tree for the first ``prefix`` hashes of its label."""
-        labels = signature.reshape(self.trees, self.depth)[:, : self.prefix].astype(np.uint64)
-        key = np.arange(1, self.trees + 1, dtype=np.uint64)
-        for k in range(self.prefix):
+    def prefixes(self, signature: np.ndarray, length: int) -> np.ndarray:
+        """One 64-bit key per tree for the first ``length`` hashes of its label."""
+        labels = signature.reshape(self.trees, self.depth)[:, :length].astype(np.uint64)
+        key = np.arange(1, self.trees + 1, dtype=np.uint64) + np.uint64(length * self.trees)
+        for k in range(labels.shape[1]):
             key = _mixed(key * PRIME + labels[:, k])
         return key.view(np.int64)
 
@@ -105,17 +117,22 @@ class Forest:
 def _signatures(forest: Forest):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, first, second, keys, short = [], [], [], [], []
+            sizes, first, second, near, far, least = [], [], [], [], [], []
             for text in batch.column(2):
                 found = shingles(text.as_py())
                 signature = forest.signature(found)
                 sizes.append(len(found))
                 first.append(int(_mixed(found).sum().view(np.int64)))
                 second.append(int(_mixed(found * PRIME + MIX).sum().view(np.int64)))
-                keys.append(forest.prefixes(signature))
-                short.append(signature.astype(np.uint16).tobytes())
-            offsets = pa.array(np.arange(len(keys) + 1) * forest.trees, pa.int32())
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+                near.append(forest.prefixes(signature, forest.short + 1))
+                far.append(forest.prefixes(signature, forest.short))
+                least.append(signature.astype(np.uint16).tobytes())
+            offsets = pa.array(np.arange(len(sizes) + 1) * forest.trees, pa.int32())
+
+            def lists(keys: list[np.ndarray]) -> pa.ListArray:
+                flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+                return pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))
+
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -123,10 +140,11 @@ def _signatures(forest: Forest):
                     pa.array(sizes, pa.int64()),
                     pa.array(first, pa.int64()),
                     pa.array(second, pa.int64()),
-                    pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64())),
-                    pa.array(short, pa.binary()),
+                    lists(near),
+                    lists(far),
+                    pa.array(least, pa.binary()),
                 ],
-                names=[UID, "doc_id", "n", "set1", "set2", "keys", "signature"],
+                names=[UID, "doc_id", "n", "set1", "set2", "long", "short", "signature"],
             )
 
     return sign
@@ -224,6 +242,29 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _tree_nodes(labelled: DataFrame, forest: Forest, folder: str) -> DataFrame:
+    """(node, tree, key): the prefix under which every set is compared in every tree."""
+    prefix = ["tree", "short"]
+    labels = labelled.select("node", F.posexplode(F.arrays_zip("long", "short")).alias("tree", "label"))
+    labels = labels.select("node", "tree", "label.long", "label.short")
+    crowds = labels.groupBy(*prefix).agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
+    crowds = materialize(crowds.select(*prefix, F.floor(F.log2("n")).cast("int").alias("crowd")), "crowds", folder)
+    # Sets outside of crowds shorten the first trees. Those inside choose: at most ``trees`` entries a set.
+    inside = spread_join(labels.select("node", *prefix), crowds, prefix).groupBy("node")
+    inside = inside.agg(F.map_from_entries(F.collect_list(F.struct("tree", "crowd"))).alias("crowds"))
+    every = F.sequence(F.lit(0), F.lit(forest.trees - 1))
+    order = F.transform(every, lambda t: F.struct(F.coalesce(F.col("crowds")[t], F.lit(0)).alias("crowd"), t.alias("tree")))
+    chosen = inside.select("node", F.explode(F.slice(F.array_sort(order), 1, forest.shortened)).alias("c")).select("node", "c.*")
+    chosen = chosen.where((F.col("tree") >= forest.shortened) | (F.col("crowd") > 0))
+    asked = labelled.select("node", "short").join(chosen, "node")
+    asked = asked.select("tree", F.element_at("short", F.col("tree") + 1).alias("short"), F.lit(True).alias("shorten"))
+    other = crowds.select(*prefix, F.lit(False).alias("shorten")).unionByName(asked)
+    other = materialize(other.groupBy(*prefix).agg(F.max("shorten").alias("shorten")), "asked", folder)
+    shorten = F.coalesce("shorten", F.col("tree") < forest.shortened)
+    key = F.when(shorten, F.col("short")).otherwise(F.col("long"))
+    return spread_join(labels, other, prefix, "left").select("node", "tree", key.alias("key"))
+
+
 def classes(docs: DataFrame, **options) -> DataFrame:
     """uid, doc_id, n_shingles, n_links, class_id, kept for every row of ``docs`` (doc_id, text)."""
     folder = scratch_path(docs.sparkSession, "ngrams")
@@ -244,7 +285,8 @@ def _classes(
     rows = rows.select(UID, F.col("doc_id").cast("long"), "text")
     signed = rows.select(UID, "doc_id", "text").mapInArrow(
         _signatures(forest),
-        f"{UID} bigint, doc_id bigint, n bigint, set1 bigint, set2 bigint, keys array<bigint>, signature binary",
+        f"{UID} bigint, doc_id bigint, n bigint, set1 bigint, set2 bigint, "
+        "long array<bigint>, short array<bigint>, signature binary",
     )
     signed = materialize(signed, "signed", folder)
     same = ["n", "set1", "set2"]
@@ -255,10 +297,9 @@ def _classes(
         "sets",
         folder,
     )
-    labelled = signed.join(sets.select(F.col("node").alias(UID)), UID).select(F.col(UID).alias("node"), "keys", "signature")
+    labelled = signed.join(sets.select(F.col("node").alias(UID)), UID).select(F.col(UID).alias("node"), "long", "short", "signature")
     labelled = materialize(labelled, "labelled", folder)
-    slim = labelled.select("node", F.posexplode("keys").alias("tree", "key"))
-    placed = into_blocks(slim, ["tree", "key"], BLOCK).drop("own")
+    placed = into_blocks(_tree_nodes(labelled, forest, folder), ["tree", "key"], BLOCK).drop("own")
     order = ["tree", "key", "i", "j"]
     candidates = (
         placed.join(labelled.select("node", "signature"), "node")

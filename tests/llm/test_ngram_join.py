@@ -123,7 +123,51 @@ def test_common_counts():
             assert common[i, j] == common[j, i] == len(np.intersect1d(sets[i], sets[j]))
 
 
-def test_prefix_is_shortened_until_the_recall():
+def test_prefixes_are_shortened_until_the_recall():
     forest = ngram_join.Forest(16, 5, 0.8, 0.999)
-    assert forest.prefix == 4 and forest.found(0.8) >= 0.999
-    assert ngram_join.Forest(16, 5, 0.8, 0.9).prefix == 5
+    assert (forest.short, forest.shortened) == (4, 5) and forest.found(0.8) >= 0.999
+    forest.shortened -= 1
+    assert forest.found(0.8) < 0.999
+    whole = ngram_join.Forest(16, 5, 0.8, 0.9)
+    assert (whole.short, whole.shortened) == (5, 16)
+
+
+def test_crowded_nodes_move_to_other_trees(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CROWD", 3)
+    forest = ngram_join.Forest(16, 5, 0.8, 0.999)
+    k = forest.shortened
+    short = {n: [100 * t + n for t in range(16)] for n in range(12)}
+    for n in range(8):
+        short[n][0] = 7  # sets 0 to 7 crowd the first tree
+    for n in (8, 0):
+        short[n][k] = 9  # set 8 shares a node with set 0, in the tree that set 0 takes instead
+    rows = [(n, [10_000 + 100 * t + n for t in range(16)], keys) for n, keys in short.items()]
+    df = spark.createDataFrame(rows, "node long, long array<long>, short array<long>")
+    found = {(r.node, r.tree): r.key for r in ngram_join._tree_nodes(df, forest, str(tmp_path)).collect()}
+    assert len(found) == 12 * 16
+    for n, keys in short.items():
+        at = {t for t in range(16) if found[n, t] == keys[t]}
+        assert all(found[n, t] == 10_000 + 100 * t + n for t in set(range(16)) - at)
+        want = set(range(1, k + 1)) if n < 8 else set(range(k + 1)) if n == 8 else set(range(k))
+        assert at == want
+
+
+def test_crowds_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CROWD", 2)
+    rng = random.Random(4)
+    docs = list(enumerate(near_copies(60, rng) + [t for _ in range(30) for t in near_copies(3, rng)]))
+    df = spark.createDataFrame([(*d, "x", 1) for d in docs], SCHEMA)
+    assert got(ngram_join.classes(df)) == brute(docs)
+
+
+def test_recall_of_the_forest_on_pairs_at_the_threshold():
+    """Pairs just above 0.8 share a used prefix about as often as promised."""
+    forest, rng = ngram_join.Forest(16, 5, 0.8, 0.999), np.random.default_rng(3)
+    met = 0
+    for _ in range(400):
+        both, one, two = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (160, 20, 20))
+        a, b = (forest.signature(np.concatenate([both, x])) for x in (one, two))
+        far = forest.prefixes(a, forest.short) == forest.prefixes(b, forest.short)
+        near = forest.prefixes(a, forest.short + 1) == forest.prefixes(b, forest.short + 1)
+        met += bool(far[: forest.shortened].any() or near.any())
+    assert met >= 0.99 * 400
