@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from recordlens.plans.build import check_dimension
-from recordlens.plans.refresh import MODIFIED, NEW, UNKNOWN, bucketed_diff, diff_counts, refresh_delta, snapshot_delta
+from recordlens.plans.refresh import MODIFIED, NEW, RENEWED, UNKNOWN, bucketed_diff, diff_counts, refresh_delta, snapshot_delta
 from recordlens.schema import INDEX_COLUMNS
 from recordlens.session import discard, materialize, scratch_path
 from recordlens.sources.records import high_water_mark
@@ -20,7 +20,8 @@ def apply_changes(
 ) -> dict[str, int]:
     """Refresh the index below ``base_path`` and return added, updated and skipped counts.
 
-    Only the delta is written, and all counts are taken while the feed is read and the delta written. With a ``tag`` the call
+    Only the delta is written, and all counts are taken while the feed is read and the delta written. Rows that confirm a
+    stored one at a later time count as skipped, but that time is kept. With a ``tag`` the call
     can be repeated: once its delta is committed, a later call returns the counts of the first. If another writer commits rows
     meanwhile, the delta is made anew from the newest state. Then the deltas are compacted when there are over
     ``most_deltas``.
@@ -61,11 +62,12 @@ def _publish_changes(base_path, state, changes, embedder, scratch, tag, options)
     index = load_index(spark, base_path, state.version)
     read, written = Observation(), Observation()
     feed = changes.observe(read, F.count(F.lit(1)).alias("rows"))
-    delta = refresh_delta(index, feed, embedder, scratch=scratch, dimensions=state.dimensions or UNKNOWN, **options)
+    known = state.dimensions or UNKNOWN
+    delta = refresh_delta(index, feed, embedder, renew=True, scratch=scratch, dimensions=known, **options)
     counted = delta.observe(
         written,
         F.count_if(F.col("status") == NEW).alias("added"),
-        F.count_if(F.col("status") != NEW).alias("updated"),
+        F.count_if(~F.col("status").isin(NEW, RENEWED)).alias("updated"),
     )
     seen = _Together(read, written)
     publish_delta(counted.select(*INDEX_COLUMNS), base_path, tag, after=state.version, counted=seen)
@@ -138,8 +140,8 @@ def start_refresh_stream(
 ) -> StreamingQuery:
     """Keep the index below ``base_path`` current from a streaming change feed.
 
-    State lives in the index itself, so the stream needs no watermark, and a batch repeated after a failure finds its own
-    tag committed. Batches are numbered per checkpoint folder, so its name is part of their tags. Deltas are compacted
+    State lives in the index itself, so the stream needs no watermark, batches may come in any order, and a batch repeated
+    after a failure finds its own tag committed. Batches are numbered per checkpoint folder, so its name is part of their tags. Deltas are compacted
     between batches.
     """
     owner = hashlib.md5(checkpoint.encode()).hexdigest()[:12]

@@ -280,6 +280,25 @@ def test_stream_in_many_batches_equals_one_batch(spark, tables, tmp_path):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(columns).collect()))
 
 
+def test_batches_in_any_order_end_in_the_last_state(spark, index, tmp_path):
+    base = str(tmp_path / "order")
+    publish_index(index, base)
+    vector = by_id(load_index(spark, base))["2"].embedding
+    steps = [
+        (("2", "two", "second", None, at(1), 1), 0),  # confirms the stored row, which has no time
+        (("2", "two", "second", None, at(9), 5), 0),  # confirms it later
+        (("2", "two", "between", None, at(5), 3), 0),  # and a change before that arrives late
+        (("2", "two", "after", None, at(10), 6), 1),
+    ]
+    for row, updated in steps:
+        stats = apply_changes(base, feed(spark, row), EMBEDDER)
+        assert stats == {"added": 0, "updated": updated, "skipped": 1 - updated}
+        stored = by_id(load_index(spark, base))["2"]
+        if not updated:
+            assert (stored.semantic_text, stored.tags, stored.link, stored.embedding) == ("second", "t2", "l2", vector)
+    assert stored.semantic_text == "after" and load_index(spark, base).count() == index.count()
+
+
 def test_every_vector_is_checked(spark, index):
     odd = index.limit(1).withColumn("embedding", F.array(F.lit(1.0).cast("float")))
     with pytest.raises(ValueError, match="dimension mismatch"):
