@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from recordlens.functions.vectors import MIN_NORM
 
 TOKEN_BREAK = r"[^\p{L}\p{N}]+"
+BLOCK = 1 << 18  # tokens
 
 
 class Embedder:
@@ -52,20 +53,27 @@ class HashEmbedder(Embedder):
         return hash_tokens(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_BREAK))
 
 
-def _hash_vectors(tokens: pa.ListArray, dim: int) -> pa.ListArray:
+def _hash_vectors(tokens: pa.ListArray, dim: int, block: int = BLOCK) -> pa.ListArray:
+    """Unit vectors of token lists. Tokens are counted ``block`` at a time, so that the wide arrays do not grow with the
+    batch; the sums are whole numbers, so blocks change no bit of them."""
     n = len(tokens)
-    row = np.repeat(np.arange(n, dtype=np.int64), np.diff(tokens.offsets.to_numpy()))
+    ends = tokens.offsets.to_numpy().astype(np.int64)
+    ends -= ends[0]
     encoded = tokens.flatten().dictionary_encode()
     words = encoded.dictionary.to_pylist()
     digests = [hashlib.md5(w.encode()).hexdigest() for w in words]
     bucket = np.array([int(d[:8], 16) % dim for d in digests], dtype=np.int64)
-    sign = np.array([0 if not w else 1 if d[8] < "8" else -1 for w, d in zip(words, digests)])
-    code = encoded.indices.to_numpy()
-    sums = np.bincount(
-        row * dim + bucket[code] if len(code) else row,
-        weights=sign[code] if len(code) else None,
-        minlength=n * dim,
-    ).reshape(n, dim)
+    sign = np.array([0.0 if not w else 1.0 if d[8] < "8" else -1.0 for w, d in zip(words, digests)])
+    codes = encoded.indices.to_numpy()
+    sums = np.zeros((n, dim))
+    for start in range(0, len(codes), block):
+        code = codes[start : start + block]
+        stop = start + len(code)
+        # The rows from first to before last have tokens in this block.
+        first, last = np.searchsorted(ends, start, "right") - 1, np.searchsorted(ends, stop, "left")
+        row = np.repeat(np.arange(last - first), np.diff(np.clip(ends[first : last + 1], start, stop)))
+        counted = np.bincount(row * dim + bucket[code], weights=sign[code], minlength=(last - first) * dim)
+        sums[first:last] += counted.reshape(-1, dim)
     length = np.sqrt((sums * sums).sum(axis=1))
     unit = (sums / np.maximum(length, MIN_NORM)[:, None]).astype(np.float32)
     offsets = pa.array(np.arange(n + 1) * dim, pa.int32())

@@ -3,11 +3,14 @@
 import hashlib
 import math
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from recordlens.embedders import _hash_vectors
 from recordlens.functions import display, links, text, vectors
 from recordlens.operators.ordering import display_sort
 
@@ -181,3 +184,21 @@ def test_short_timestamp(spark):
         display.short_timestamp(F.col("t"))
     )
     assert got.first()[0] == "05 Jan 2024 03:04 PM"
+
+
+def test_hash_vectors_are_the_same_in_blocks():
+    rows = pa.array([["a"], ["b", "c", "", "d"] * 5, [], ["e", "a"] * 7, [], []], pa.list_(pa.string()))
+    want = _hash_vectors(rows, 8).to_pylist()
+    assert all(_hash_vectors(rows, 8, block).to_pylist() == want for block in (1, 2, 3, 7, 36, 100))
+    assert _hash_vectors(rows.slice(1, 3), 8, 2).to_pylist() == want[1:4]
+    assert want[2] == [0.0] * 8 and _hash_vectors(rows.slice(0, 0), 8).to_pylist() == []
+
+
+def test_hash_vectors_of_a_large_batch_need_little_memory():
+    rows = pa.array([["some", "words", "of", "text"] * 500] * 1000, pa.list_(pa.string()))  # two million tokens
+    tracemalloc.start()
+    try:
+        _hash_vectors(rows, 8)
+        assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    finally:
+        tracemalloc.stop()
