@@ -3,7 +3,9 @@
 import hashlib
 import random
 import struct
+import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -73,3 +75,24 @@ def test_decode_column(spark, vocabulary):
     encoded = byte_bpe.encode(df, vocabulary)
     found = encoded.select("doc_id", byte_bpe.decode(encoded["ids"], vocabulary, spark).alias("text")).collect()
     assert {r.doc_id: bytes(r.text).decode() for r in found} == {1: "Grüße 😀", 2: ""}
+
+
+@pytest.mark.parametrize("long", [2, 16, 1 << 30])
+def test_words_fold_as_in_the_library(vocabulary, library, long, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "LONG", long)  # above it by heap, below it all words together
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeé日 1") for _ in range(rng.randrange(1, 90))).encode() for _ in range(500)]
+    words += [vocabulary.pieces[rng.randrange(len(vocabulary.pieces))] for _ in range(500)] + [b"ab" * 300]
+    single = {piece[0]: i for i, piece in enumerate(vocabulary.pieces) if len(piece) == 1}
+    tokens = np.array([single[b] for w in words for b in w])
+    rank = byte_bpe.PairRanks.of(vocabulary.pair_ranks(), len(vocabulary.pieces))
+    ids, lengths = byte_bpe.fold_words(tokens, np.array([len(w) for w in words]), rank)
+    want = [library._core_bpe.encode_single_piece(w) for w in words]
+    assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_a_very_long_word_ends(spark, vocabulary, library):
+    docs = [(1, "xyab" * 25_000), (2, "e" * 20_000)]
+    start = time.monotonic()
+    assert got(byte_bpe.digests(spark.createDataFrame(docs, "doc_id long, text string"), vocabulary)) == expected(docs, library)
+    assert time.monotonic() - start < 60
