@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from recordlens.llm import source_divergence
 from recordlens.llm.queries import op12_source_divergence
@@ -77,6 +78,36 @@ def test_small_slices_segments_and_flushes(spark, monkeypatch):
     assert got(source_divergence.audit(df, most_terms=20)) == expected(docs, most=20)
 
 
+def test_tasks_write_rows_per_bucket_not_per_term(spark):
+    docs = [("en" if i % 2 else "de", f"s{i % 5}", " ".join(f"w{chr(97 + (i + j) % 26) * (j % 40 + 1)}" for j in range(200))) for i in range(50)]
+    df = spark.createDataFrame(docs, "lang string, source string, text string").coalesce(1)
+    rows = source_divergence.packed_counts(df, buckets=8).collect()
+    assert 0 < len(rows) <= 2 * 8
+    assert sum(len(r.lengths) // 4 for r in rows) > 10 * len(rows)
+
+
+def test_blocks_and_long_texts_count_alike(monkeypatch):
+    rng = random.Random(3)
+    words = ["The", "\u00c9a", "x", "don't", "\u00df9\u00e9", "", "--", "caf\u00e9", "yy" * 9, "\U0001f600z"]
+    docs = [(rng.choice(["en", ""]), f"s{i % 6}", rng.choice([" ", ",", ""]).join(rng.choices(words, k=rng.randrange(30)))) for i in range(200)]
+    for name, value in (("SLICE", 40), ("HELD_BYTES", 300)):
+        monkeypatch.setattr(source_divergence, name, value)
+    table = pa.table({"lang": [d[0] for d in docs], "source": [d[1] for d in docs], "text": [d[2] for d in docs]})
+    rows = pa.Table.from_batches(source_divergence._count_terms(3)(table.to_batches(max_chunksize=16))).sort_by("bucket")
+    found = pa.Table.from_batches(source_divergence._add_up(3)(rows.to_batches(max_chunksize=5)))
+    want = []
+    for lang in ("en", ""):
+        terms = [(source, Counter(TERM.findall(text.translate(LOWER)))) for one, source, text in docs if one == lang]
+        for term in set().union(*(c for _, c in terms)):
+            counts = sum((Counter({s: c[term]}) for s, c in terms), Counter())
+            if sum(term in c for _, c in terms) >= 3:
+                want.append((lang, term, counts.total(), sorted(counts.items())))
+        per_source = Counter(s for s, _ in terms)
+        want.append((lang, "", len(terms), sorted(per_source.items())))
+    rows = [(r["lang"], r["term"], r["total"], [(x["source"], x["n"]) for x in r["by_source"]]) for r in found.to_pylist()]
+    assert sorted(rows) == sorted(want)
+
+
 def test_terms_in_slices(monkeypatch):
     monkeypatch.setattr(source_divergence, "SLICE", 7)
     text = "One two,three FOUR éé 5six sevenseven eight"
