@@ -15,7 +15,8 @@ same order. This is a set containment join of windows with documents, by the pre
 While documents are read, a bitmap passes over shingles that no window has. Its size is bounded whatever the benchmark's:
 beyond ``common.MOST_BITS`` more shingles pass it by chance and meet nothing in the join. Windows are broadcast while they are
 small and joined in pieces beyond that, so a passage that a third of all rows hold does not gather in one task. Texts are
-read in blocks; per hit a task holds its words only.
+read in blocks of about ``HELD_BYTES`` whatever the Arrow batch holds, and a text beyond that in parts with the words around
+them, so the arrays of a task have a bounded size; per hit it holds the words around it only.
 
 Defined cases: null texts have no words. Texts and items without words match nothing. Rows with one item_id are one item,
 with the windows of all of them; a null item_id marks hits, but is not counted or listed. Repeated rows are documents of
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,7 @@ from recordlens.session import materialize, scratch_path
 
 WINDOW, SHINGLE = 10, 3
 BLOCK = 1 << 18
+HELD_BYTES = 1 << 20  # of text, for which a task has arrays at once; for words of one letter these take about 45 times as much
 # A byte of a word in lower case; all others become spaces.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -113,24 +116,85 @@ class Texts:
             yield at, _mixed(value[at])
 
 
-def _windows_of(window: int, shingle: int):
+@dataclass
+class Block:
+    """Some rows of an Arrow column, or a part of the text of one row."""
+
+    rows: slice
+    texts: Texts
+    own: slice  # the words that are no other block's; a part has words of its neighbours around them
+    before: int  # words of the text in the parts before this one
+    last: bool  # no part of the text follows
+
+    def shingles(self, widths: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(first word, hash) of the shingles that begin with an own word."""
+        for at, value in self.texts.shingles(widths):
+            mine = slice(*np.searchsorted(at, [self.own.start, self.own.stop]))
+            yield at[mine], value[mine]
+
+
+def blocks(column: pa.Array, around: int, size: int = HELD_BYTES) -> Iterator[Block]:
+    """The texts of a column in order, about ``size`` bytes at once; parts have ``around`` words more to either side."""
+    column = column.fill_null("").cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    low = 0
+    while low < len(column):
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + size, "right")) - 1)
+        if offsets[high] - offsets[low] > size:
+            raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[low] : offsets[high]]
+            yield from _parts(raw, slice(low, high), around, size)
+        else:
+            texts = Texts(column.slice(low, high - low))
+            yield Block(slice(low, high), texts, slice(0, len(texts.start)), 0, True)
+        low = high
+
+
+def _parts(raw: np.ndarray, rows: slice, around: int, size: int) -> Iterator[Block]:
+    low = at = before = 0  # first byte of the words around, first own byte, words before
+    while at < len(raw):
+        stop = _gap(raw, at + size)
+        reach = 64 * around
+        while True:
+            end = _gap(raw, stop + reach)
+            inside = _LOW[raw[stop:end]] != 32  # begins in a gap, so each word has a first byte after another
+            if end == len(raw) or np.count_nonzero(inside[1:] & ~inside[:-1]) >= around:
+                break
+            reach *= 2
+        texts = Texts(pa.array([raw[low:end].tobytes()], pa.large_binary()))
+        own = slice(*np.searchsorted(texts.start, [at - low, stop - low]).tolist())
+        yield Block(rows, texts, own, before, stop == len(raw))
+        low = low + int(texts.start[max(0, own.stop - around)]) if own.stop else stop
+        at, before = stop, before + own.stop - own.start
+
+
+def _gap(raw: np.ndarray, at: int) -> int:
+    """The first place from ``at`` that no word covers, or the end."""
+    while at < len(raw):
+        found = np.flatnonzero(_LOW[raw[at : at + BLOCK]] == 32)
+        if len(found):
+            return at + int(found[0])
+        at += BLOCK
+    return len(raw)
+
+
+def _windows_of(window: int, shingle: int, block: int):
     """Items (item_id, text) to their windows with the shingles of each in order."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = Texts(batch.column("text"))
+        for ids, found in ((b.column("item_id"), x) for b in batches for x in blocks(b.column("text"), window, block)):
+            texts = found.texts
             by_width = {}
             for width in range(1, shingle + 1):
                 value = np.zeros(len(texts.start), np.uint64)
-                for at, found in texts.shingles([width]):
-                    value[at] = found
+                for at, hashed in texts.shingles([width]):
+                    value[at] = hashed
                 by_width[width] = value.view(np.int64)
             item, words, n, shingles = [], [], [], []
-            for i, own in enumerate(batch.column("item_id").to_pylist()):
+            for i, own in enumerate(ids[found.rows].to_pylist()):
                 low, high = int(texts.first[i]), int(texts.first[i + 1])
                 size = min(window, high - low)
                 width = min(shingle, size)
-                for at in range(low, high - size + 1 if size else low):
+                for at in range(max(low, found.own.start), min(high - size + 1, found.own.stop) if size else low):
                     item.append(own)
                     words.append(texts.words(at, at + size))
                     n.append(size)
@@ -155,17 +219,17 @@ def _window_batch(item, words, n, shingles) -> pa.RecordBatch:
     )
 
 
-def windows_of(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+def windows_of(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = HELD_BYTES) -> DataFrame:
     """(item, words, n, shingles) of every window of every item."""
     named = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    return named.mapInArrow(_windows_of(window, shingle), "item string, words string, n int, shingles array<bigint>")
+    return named.mapInArrow(_windows_of(window, shingle, block), "item string, words string, n int, shingles array<bigint>")
 
 
-def _count_shingles(held: bytes, widths: list[int]):
+def _count_shingles(held: bytes, widths: list[int], block: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(held, np.uint8)
-        for batch in batches:
-            for _, value in Texts(batch.column("text")).shingles(widths):
+        for texts in (x for batch in batches for x in blocks(batch.column("text"), max(widths, default=0), block)):
+            for _, value in texts.shingles(widths):
                 found, n = np.unique(value[passing(value, bits)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["shingle", "n"])
 
@@ -177,45 +241,57 @@ CANDIDATES = T.ArrayType(
 )
 
 
-def _find_shingles(held: bytes, widths: list[int], window: int):
+_FOUND = pa.struct([("shingle", pa.int64()), ("at", pa.int32()), ("before", pa.int32()), ("words", pa.string())])
+
+
+def _find_shingles(held: bytes, widths: list[int], window: int, block: int):
     """Rows (row, text) to rows (row, n_words, candidates); a candidate has the words around it and how many lie before."""
 
+    def of_block(found: Block, bits: np.ndarray) -> tuple[np.ndarray, pa.StructArray]:
+        """The text of each candidate of a block, and the candidates."""
+        texts = found.texts
+        hits = [(at[p], value[p]) for at, value in found.shingles(widths) if len(p := np.flatnonzero(passing(value, bits)))]
+        at = np.concatenate([h[0] for h in hits]) if hits else np.empty(0, np.int64)
+        value = np.concatenate([h[1] for h in hits]) if hits else np.empty(0, np.uint64)
+        order = np.argsort(at, kind="stable")
+        at, value = at[order], value[order].view(np.int64)
+        text = np.searchsorted(texts.first, at, "right") - 1
+        low = np.maximum(texts.first[text], at - window + 1)
+        high = np.minimum(texts.first[text + 1], at + window)
+        words = [texts.words(a, b) for a, b in zip(low.tolist(), high.tolist())]
+        columns = [
+            pa.array(value, pa.int64()),
+            pa.array(at - texts.first[text] - found.own.start + found.before, pa.int32()),
+            pa.array(at - low, pa.int32()),
+            pa.array(words, pa.binary()).view(pa.string()),
+        ]
+        return text, pa.StructArray.from_arrays(columns, fields=list(_FOUND))
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(held, np.uint8)
-        kind = pa.struct([("shingle", pa.int64()), ("at", pa.int32()), ("before", pa.int32()), ("words", pa.string())])
-        for batch in batches:
-            texts = Texts(batch.column("text"))
-            found = [(at[p], value[p]) for at, value in texts.shingles(widths) if len(p := np.flatnonzero(passing(value, bits)))]
-            at = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
-            value = np.concatenate([f[1] for f in found]) if found else np.empty(0, np.uint64)
-            order = np.argsort(at, kind="stable")
-            at, value = at[order], value[order].view(np.int64)
-            text = np.searchsorted(texts.first, at, "right") - 1
-            low = np.maximum(texts.first[text], at - window + 1)
-            high = np.minimum(texts.first[text + 1], at + window)
-            words = [texts.words(a, b) for a, b in zip(low.tolist(), high.tolist())]
-            entries = pa.StructArray.from_arrays(
-                [
-                    pa.array(value, pa.int64()),
-                    pa.array(at - texts.first[text], pa.int32()),
-                    pa.array(at - low, pa.int32()),
-                    pa.array(words, pa.binary()).view(pa.string()),
-                ],
-                fields=list(kind),
-            )
-            offsets = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), entries)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(np.diff(texts.first), pa.int64()), lists], names=["row", "n_words", "candidates"]
-            )
+        parts: list[pa.StructArray] = []
+        for rows, found in ((b.column("row"), x) for b in batches for x in blocks(b.column("text"), window, block)):
+            text, entries = of_block(found, bits)
+            rows = rows[found.rows]
+            parts.append(entries)
+            if not found.last:
+                continue
+            if found.before or len(parts) > 1:
+                counts, offsets = [found.before + found.own.stop - found.own.start], [0, sum(map(len, parts))]
+            else:
+                counts, offsets = np.diff(found.texts.first), np.searchsorted(text, np.arange(len(rows) + 1))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(parts))
+            parts = []
+            yield pa.RecordBatch.from_arrays([rows, pa.array(counts, pa.int64()), lists], names=["row", "n_words", "candidates"])
 
     return find
 
 
-def _prefixes(docs: DataFrame, windows: DataFrame, widths: list[int], folder: str) -> DataFrame:
+def _prefixes(docs: DataFrame, windows: DataFrame, widths: list[int], folder: str, block: int) -> DataFrame:
     """(number, words, n, shingle, offset): the windows all of whose shingles occur, each with the rarest of them."""
     shingles = materialize(windows.select(F.explode("shingles").alias("shingle")).distinct(), "shingles", folder)
-    counted = docs.select("text").mapInArrow(_count_shingles(bitmap(shingles, "shingle"), widths), "shingle bigint, n bigint")
+    count = _count_shingles(bitmap(shingles, "shingle"), widths, block)
+    counted = docs.select("text").mapInArrow(count, "shingle bigint, n bigint")
     counted = counted.groupBy("shingle").agg(F.sum("n").alias("often"))
     often = materialize(counted.join(shingles, "shingle", "left_semi"), "often", folder)
     places = windows.select("number", F.posexplode("shingles").alias("offset", "shingle"), F.size("shingles").alias("due"))
@@ -229,7 +305,8 @@ def _prefixes(docs: DataFrame, windows: DataFrame, widths: list[int], folder: st
 
 
 def find(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, keep: list[str] | None = None
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, keep: list[str] | None = None,
+    block: int = HELD_BYTES,
 ) -> DataFrame:
     """Per document ``row`` (a struct of its columns), n_words, ``spans`` (word ranges that are hit, end exclusive) and ``items``.
 
@@ -238,16 +315,16 @@ def find(
     """
     spark = docs.sparkSession
     folder = scratch_path(spark, "decontamination")
-    by_item = materialize(windows_of(items, window, shingle).distinct(), "windows", folder)
+    by_item = materialize(windows_of(items, window, shingle, block).distinct(), "windows", folder)
     windows = by_item.groupBy("words", "n", "shingles").agg(F.count("*").alias("items"))
     windows = materialize(windows.withColumn("number", F.monotonically_increasing_id()), "numbered", folder)
     widths = [r[0] for r in windows.select(F.least("n", F.lit(shingle))).distinct().orderBy(1).collect()]  # at most SHINGLE values
-    prefixes = materialize(_prefixes(docs, windows, widths, folder), "prefixes", folder)
+    prefixes = materialize(_prefixes(docs, windows, widths, folder, block), "prefixes", folder)
     held = bitmap(prefixes.select("shingle").distinct(), "shingle")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), F.col("text").alias("text"))
     # A schema object, as names of columns may hold any character.
     schema = T.StructType([rows.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("candidates", CANDIDATES)])
-    read = rows.mapInArrow(_find_shingles(held, widths, window), schema)
+    read = rows.mapInArrow(_find_shingles(held, widths, window, block), schema)
     read = materialize(read.withColumn("uid", F.monotonically_increasing_id()), "read", folder)
     candidates = read.where(F.size("candidates") > 0).select("uid", F.inline("candidates"))
     candidates = materialize(candidates.withColumnRenamed("words", "around"), "candidates", folder)
@@ -294,9 +371,9 @@ def merged(ranges: Column) -> Column:
     return F.aggregate(sorted_ranges, start.cast(kind), step, finish)
 
 
-def report(docs: DataFrame, items: DataFrame) -> DataFrame:
+def report(docs: DataFrame, items: DataFrame, block: int = HELD_BYTES) -> DataFrame:
     """One row per document: words, words hit, items and the digest of their ids."""
-    found = find(docs, items, keep=["doc_id"])
+    found = find(docs, items, keep=["doc_id"], block=block)
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["high"] - s["low"])
     return found.select(
         "row.doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),

@@ -127,3 +127,28 @@ def test_words_of_a_column(kind):
     assert found.first.tolist() == [0, 2, 2, 3, 3, 4, 5, 7]
     hashes = found.hashes()
     assert hashes[-1] == hashes[-2] and len(set(hashes.tolist())) == 6
+
+
+@pytest.mark.parametrize("block", [1, 7, 40, 300])
+def test_small_blocks_and_long_texts_in_parts(spark, block):
+    rng = random.Random(block)
+    some = lambda n: " ,\n"[n % 3].join(rng.choice("a b c dd eeeeeeeee".split()) for _ in range(n))
+    docs = [(i, some(rng.randrange(90)) + " ." * (i % 40)) for i in range(60)] + edge_docs()[:14]
+    items = [(i, some(rng.choice([1, 2, 5, 9, 10, 11, 40]))) for i in range(20)] + [(99, "\u00e9" * 500 + " a b"), (100, "x" * 500)]
+    docs += [(200 + i, f"a b {text} {some(4)}") for i, text in items] + [(300, "\u00e9" * 500 + " a  b"), (301, "." * 500)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")
+    assert got(decontamination.report(df, bench, block=block)) == expected(docs, items)
+
+
+@pytest.mark.parametrize("texts", [["a b " * 250] * 8000, ["a b " * 2_000_000]])
+def test_arrays_do_not_grow_with_the_batch(texts):
+    import tracemalloc
+
+    held = bytes(1 << 17)
+    batch = pa.RecordBatch.from_pydict({"row": list(range(len(texts))), "text": texts})
+    for work in (decontamination._count_shingles(held, [1, 2, 3], 1 << 20), decontamination._find_shingles(held, [1, 2, 3], 10, 1 << 20)):
+        tracemalloc.start()
+        rows = [b.num_rows for b in work(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum(rows) in (0, len(texts)) and peak < 80 << 20, (peak, len(rows))
